@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, leakage, lookalike, mixing, neardup, packing
+from . import encoding, leakage, lookalike, mixing, neardup, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(*(_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "common_words")))
+
+
+def p2_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_quality(*(_table(spark, sf_dir, t) for t in ("documents", "doc_labels", "common_words")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "pack_records"), _table(spark, sf_dir, "pack_limits"))
     return packed.where("pieces > 1").select("record_id").distinct()
@@ -71,7 +79,7 @@ def p7_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p3_found, p3_packed, p3_report, p4_found, p4_uses, p4_shares, p5_ids, p6_found, p6_matches, p6_clean, p7_found, p7_one_form)
+    for f in (p1_found, p1_groups, p2_found, p2_stats, p3_found, p3_packed, p3_report, p4_found, p4_uses, p4_shares, p5_ids, p6_found, p6_matches, p6_clean, p7_found, p7_one_form)
 }
 ORACLES: dict[str, str] = {
     "p3_found": """
