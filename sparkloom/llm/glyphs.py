@@ -32,7 +32,7 @@ def _width(c: str) -> str:
     if c in _LIGATURES:
         return _LIGATURES[c]
     if "＀" <= c <= "￯" and unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")):
-        return unicodedata.normalize("NFKC", c)
+        return chr(int(unicodedata.decomposition(c).split()[1], 16))  # one step, so that jamo don't join
     return c
 
 

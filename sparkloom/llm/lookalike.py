@@ -10,7 +10,8 @@ from .shared import checkpointed
 from .words import MIN_WORDS
 
 _WORD = r"(?:\p{IsHan}|[\p{L}\p{M}\p{Nd}&&[^\p{IsHan}]]++)"
-_LONG_ENOUGH = rf"(?:{_WORD}[^\p{{L}}\p{{M}}\p{{Nd}}]*+){{{MIN_WORDS}}}"
+# anchored, so that a text of one endless word is read once
+_LONG_ENOUGH = rf"^[^\p{{L}}\p{{M}}\p{{Nd}}]*+(?:{_WORD}[^\p{{L}}\p{{M}}\p{{Nd}}]*+){{{MIN_WORDS}}}"
 
 
 def normalized(documents: DataFrame, text_col: str = "text", out: str = "one_form") -> DataFrame:

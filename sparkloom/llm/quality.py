@@ -305,7 +305,7 @@ def _scorer(facts: dict, common_rows: list[tuple[str, str]]):
                     [
                         part.column(0), pa.array(w.astype(np.int64)), pa.array(m.astype(np.int64)), ratio(total(lines.letters), w), ratio(total(lines.symbols), v), ratio(total(lines.digits), v),
                         ratio(total(lines.upper), v), ratio(total(lines.common), w), ratio(total(lines.stops), m), pa.array(lang, pa.string()), ratio(contribution.sum(1), (v > 0).astype(float)),
-                        pa.MapArray.from_arrays(offsets, pa.array(list(STATS) * n, pa.string()), pa.array(contribution.ravel())), ratio(share, (v > 0).astype(float)), pa.array(guess, pa.string()),
+                        pa.MapArray.from_arrays(offsets, pa.array(list(STATS) * n, pa.string()), pa.array(contribution.ravel(), pa.float64())), ratio(share, (v > 0).astype(float)), pa.array(guess, pa.string()),
                     ],
                     names=[c.split()[0] for c in SCORED.split(", ")],
                 )
