@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ..registry import ORACLES, QUERIES
+from . import joins, metrics, ordered, packing, selection, streams, texts  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
