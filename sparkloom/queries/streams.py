@@ -1 +1,284 @@
-"""."""
+"""Readers, sinks, streams and the function surfaces."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators.relational import numbered
+from ..registry import query, table
+from ..scratch import scratch
+from ..sources import readers, sinks
+from ..streaming import events as S
+from .selection import CALLS, LINES, calls, lines
+
+TEXTS = "SELECT text FROM documents WHERE text IS NOT NULL"
+
+
+def texts(spark, sf):
+    return table(spark, sf, "documents").where("text is not null").select("text")
+
+
+def items(spark, sf, bench):
+    return table(spark, sf, "eval_items").where(F.col("bench") == bench)
+
+
+@query(TEXTS)
+def s01_json_scan(spark, sf):
+    path = scratch(spark)
+    sinks.rotating_json(texts(spark, sf), path, shard_rows=200)
+    return readers.json_texts(spark, path)
+
+
+@query(TEXTS)
+def s02_streaming_scan(spark, sf):
+    path = scratch(spark)
+    texts(spark, sf).write.json(path)
+    return S.drained(readers.stream_texts(spark, path), scratch(spark))
+
+
+@query(f"SELECT ((row_number() OVER (ORDER BY doc_id, line) - 1) // 100 + 5)::BIGINT AS shard, line FROM {LINES} WHERE contains(line, ' -> ')")
+def s04_converted_shards(spark, sf):
+    hit = lines(spark, sf).where("contains(line, ' -> ')").select("doc_id", "line")
+    return numbered(hit, ["doc_id", "line"]).select((F.floor(F.col("idx") / 100) + 5).alias("shard"), "line")
+
+
+FILLED = "list_reduce(list_prepend(question, list_reverse(list_transform(range(len(string_split(numbers, ' '))), lambda i: i::VARCHAR))), lambda t, i: replace(t, 'number' || i, string_split(numbers, ' ')[i::INTEGER + 1]))"
+
+
+@query(f"SELECT {FILLED} AS question, answers FROM eval_items WHERE bench = 'math_word'")
+def s05_word_problems(spark, sf):
+    path = scratch(spark)
+    items(spark, sf, "math_word").select("question", "numbers", F.lit("x").alias("equation"), F.get("answers", F.lit(0)).alias("answer")).write.csv(path, header=True, escape='"')
+    return readers.word_problems(spark, path)
+
+
+@query(r"SELECT 'Complete: ' || trim(string_split(question, '[MASK]')[1]) AS question, answers[1:1] AS answers FROM eval_items WHERE bench = 'masked_fact' AND regexp_matches(question, '\[MASK\]\s*[.,!?]?$')")
+def s06_masked_facts(spark, sf):
+    path = scratch(spark)
+    items(spark, sf, "masked_fact").select(F.array("question").alias("masked_sentences"), F.get("answers", F.lit(0)).alias("obj_label")).write.json(path)
+    return readers.masked_facts(spark, path)
+
+
+@query("SELECT question, answers FROM eval_items WHERE bench = 'alias_qa'")
+def s07_web_questions(spark, sf):
+    path = scratch(spark)
+    target = F.concat(F.lit("(list "), F.array_join(F.transform("answers", lambda a: F.concat(F.lit('(description "'), a, F.lit('")'))), " "), F.lit(")"))
+    items(spark, sf, "alias_qa").agg(F.collect_list(F.struct(F.col("question").alias("utterance"), target.alias("targetValue"))).alias("a")).select(F.to_json("a").alias("value")).write.text(path)
+    return readers.web_questions(spark, path)
+
+
+@query("SELECT question || ' ?' AS question, answers FROM eval_items WHERE bench = 'open_qa'")
+def s08_open_questions(spark, sf):
+    path = scratch(spark)
+    items(spark, sf, "open_qa").select("question", F.col("answers").alias("answer")).write.json(path)
+    return readers.open_questions(spark, path)
+
+
+@query("SELECT question, answers FROM eval_items WHERE bench IN ('alias_qa', 'open_qa')")
+def s09_alias_union(spark, sf):
+    paths = [scratch(spark), scratch(spark)]
+    for bench, path in zip(("alias_qa", "open_qa"), paths, strict=True):
+        items(spark, sf, bench).agg(F.collect_list(F.struct(F.col("question").alias("Question"), F.struct(F.col("answers").alias("NormalizedAliases")).alias("Answer"))).alias("Data")).write.json(path)
+    return readers.alias_questions(spark, *paths)
+
+
+@query("SELECT context, question, answers[1:1] AS answers FROM eval_items WHERE context IS NOT NULL")
+def s10_nested_qa(spark, sf):
+    path = scratch(spark)
+    qa = F.array(F.struct("question", F.transform("answers", lambda a: F.struct(a.alias("text"))).alias("answers")))
+    it = table(spark, sf, "eval_items").where("context is not null").select(F.struct("context", qa.alias("qas")).alias("p"))
+    it.agg(F.array(F.struct(F.collect_list("p").alias("paragraphs"))).alias("data")).write.json(path)
+    return readers.nested_qa(spark, path)
+
+
+@query("""
+    SELECT n AS id, 'What day of the week is ' || strftime(d, '%Y-%m-%d') || '?' AS question, dayname(d) AS answer FROM (SELECT n, (DATE '2000-01-01' + (n * 37 % 9000)::INTEGER)::DATE AS d FROM range(0, 200) t(n))
+    UNION ALL SELECT n + 200, 'How many days are left until ' || strftime(d, '%Y-%m-%d') || '?', date_diff('day', DATE '2000-01-01', d)::VARCHAR FROM (SELECT n, (DATE '2000-01-01' + (n * 37 % 9000)::INTEGER)::DATE AS d FROM range(0, 200) t(n))""")
+def s11_date_questions(spark, sf):
+    d = spark.range(200).select("id", F.date_add(F.to_date(F.lit("2000-01-01")), (F.col("id") * 37 % 9000).cast("int")).alias("d"))
+    day = F.date_format("d", "yyyy-MM-dd")
+    a = d.select("id", F.concat(F.lit("What day of the week is "), day, F.lit("?")).alias("question"), F.date_format("d", "EEEE").alias("answer"))
+    return a.unionByName(d.select((F.col("id") + 200).alias("id"), F.concat(F.lit("How many days are left until "), day, F.lit("?")).alias("question"), F.datediff("d", F.to_date(F.lit("2000-01-01"))).cast("string").alias("answer")))
+
+
+@query(TEXTS)
+def s12_plain_documents(spark, sf):
+    path = scratch(spark)
+    texts(spark, sf).write.json(f"{path}/a")
+    return readers.plain_documents(spark, path)
+
+
+RECORDS = "(SELECT DISTINCT record_id, input_ids FROM pack_records WHERE len(input_ids) > 0)"
+
+
+@query(f"SELECT record_id, len(input_ids)::INTEGER AS size, input_ids[3:7] AS part FROM {RECORDS}")
+def s15_partial_read(spark, sf):
+    r = table(spark, sf, "pack_records").where("size(input_ids) > 0").select("record_id", "input_ids").distinct()
+    return r.select("record_id", F.size("input_ids").alias("size"), F.slice("input_ids", 3, 5).alias("part"))
+
+
+@query("""
+    WITH a AS (SELECT tool, record_id, row_number() OVER (PARTITION BY tool ORDER BY record_id) - 1 AS i FROM (SELECT DISTINCT tool, record_id FROM pack_records WHERE tool IS NOT NULL)), n AS (SELECT tool, count(*) AS n FROM a GROUP BY tool),
+    o AS (SELECT tool, coalesce(sum(n) OVER (ORDER BY tool ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n)
+    SELECT record_id, (i + before)::BIGINT AS position FROM a JOIN o USING (tool)""")
+def s17_merge_offsets(spark, sf):
+    r = table(spark, sf, "pack_records").where("tool is not null").select("tool", "record_id").distinct()
+    return numbered(r, ["tool", "record_id"]).select("record_id", F.col("idx").cast("bigint").alias("position"))
+
+
+@query("SELECT 'calculator' AS split, count(*) AS n FROM subset_rows WHERE tool = 'calculator' UNION ALL SELECT 'qa', count(*) FROM subset_rows WHERE tool = 'qa'")
+def s22_split_container(spark, sf):
+    r = table(spark, sf, "subset_rows")
+    splits = {s: r.where(F.col("tool") == s) for s in ("calculator", "qa")}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(s).alias("split"), "n") for s, df in splits.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query("SELECT DISTINCT prediction AS text FROM qa_predictions WHERE prediction <> '' AND NOT regexp_matches(prediction, '[\\r\\n]')")
+def s25_text_sink(spark, sf):
+    path = scratch(spark)
+    p = table(spark, sf, "qa_predictions").where("prediction <> '' and not prediction rlike '[\\\\r\\\\n]'").select("prediction").distinct()
+    sinks.text_lines(p, "prediction", path)
+    return readers.text_lines(spark, path).select("text")
+
+
+@query("SELECT word AS token, min(freq_rank)::BIGINT AS id FROM common_words GROUP BY word")
+def s27_vocabulary_json(spark, sf):
+    v = table(spark, sf, "common_words").groupBy(F.col("word").alias("token")).agg(F.min("freq_rank").cast("bigint").alias("id"))
+    text = sinks.vocabulary_to_json(v)
+    return text.select(F.explode(F.from_json("json", "map<string,bigint>")).alias("token", "id"))
+
+
+@query("SELECT vec_id::VARCHAR AS token, len(embedding)::INTEGER AS d FROM embeddings UNION ALL SELECT '[UNK]', 64 UNION ALL SELECT '[PAD]', 64")
+def s28_embedding_table(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("token"), "embedding")
+    extra = spark.createDataFrame([("[UNK]",), ("[PAD]",)], "token string").withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))
+    return e.unionByName(extra).select("token", F.size("embedding").alias("d"))
+
+
+@query("SELECT question AS text, item_id::VARCHAR AS id, 0 AS start, 5 AS \"end\", lang AS label FROM eval_items")
+def s29_annotations(spark, sf):
+    path = scratch(spark)
+    r = F.struct(F.col("item_id").cast("string").alias("id"), F.lit("labels").alias("type"), F.struct(F.lit(0).alias("start"), F.lit(5).alias("end"), F.array("lang").alias("labels")).alias("value"))
+    table(spark, sf, "eval_items").select(F.struct(F.col("question").alias("text")).alias("data"), F.array(F.struct(F.array(r).alias("result"))).alias("annotations")).write.json(path)
+    return readers.annotations(spark.read.schema(readers.ANNOTATIONS).json(path))
+
+
+# --- streams ---
+
+
+def events(spark, sf):
+    # a pattern, so that one file and a folder of files are both read
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT event_id, value * 2 AS doubled FROM events WHERE value > 10")
+def m01_stream_map_filter(spark, sf):
+    return S.drained(events(spark, sf).where("value > 10").select("event_id", (F.col("value") * 2).alias("doubled")), scratch(spark))
+
+
+@query("""
+    WITH RECURSIVE r AS (SELECT user_id % 8 AS shard, event_id AS item, (10 + event_id % 90) AS size, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS k FROM events),
+    f AS (SELECT shard, item, size AS fill, 0 AS pack, k FROM r WHERE k = 1 UNION ALL SELECT r.shard, r.item, CASE WHEN f.fill + r.size <= 256 THEN f.fill + r.size ELSE r.size END, CASE WHEN f.fill + r.size <= 256 THEN f.pack ELSE f.pack + 1 END, r.k FROM f JOIN r ON r.shard = f.shard AND r.k = f.k + 1)
+    SELECT shard, item, pack::BIGINT AS pack FROM f""")
+def m02_streaming_packing(spark, sf):
+    rows = events(spark, sf).select(F.pmod("user_id", F.lit(8)).alias("shard"), F.col("event_id").alias("item"), (10 + F.col("event_id") % 90).alias("size"))
+    return S.drained(S.packed(rows, 256), scratch(spark))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def m06_tumbling(spark, sf):
+    w = S.drained(S.tumbling(events(spark, sf), "1 hour", "10 minutes", ["event_type"]), scratch(spark), "complete")
+    return w.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+    WITH s AS (SELECT user_id, ts, sum((prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE)::INTEGER) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events))
+    SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k""")
+def m06_sessions(spark, sf):
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.sessions(e, "30 minutes", "10 minutes", "user_id").select("user_id", F.col("w.start").cast("timestamp_ntz").alias("first"), "n")
+
+
+# --- function surfaces ---
+
+
+@query("SELECT doc_id, reverse(text) AS value FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*')")
+def g01_scalar_function(spark, sf):
+    back = F.pandas_udf(lambda s: s.str[::-1], T.StringType())
+    d = table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z"))
+    return d.select("doc_id", back("text").alias("value"))
+
+
+@query(f"SELECT tool, count(*) AS n, round(avg(loss_result), 6) AS mean FROM {CALLS} WHERE loss_result < 1000 AND loss_result::VARCHAR <> 'nan' AND tool IS NOT NULL GROUP BY tool")
+def g02_metric_protocol(spark, sf):
+    # partial sums by hash slice, then one row a tool: the form of any metric that accumulates
+    c = calls(spark, sf).where("loss_result < 1000 and not isnan(loss_result) and tool is not null")
+    part = c.groupBy("tool", F.pmod(F.xxhash64("cand_id"), F.lit(16))).agg(F.sum("loss_result").alias("s"), F.count("*").alias("k"))
+    return part.groupBy("tool").agg(F.sum("k").alias("n"), F.round(F.sum("s") / F.sum("k"), 6).alias("mean"))
+
+
+@query(f"SELECT doc_id, line FROM {LINES} WHERE line <> ''")
+def g03_table_function(spark, sf):
+    def cut(batches):
+        for b in batches:
+            ids, out = [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = [x for x in t.split("\n") if x]
+                ids += [d] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "line"])
+
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").mapInArrow(cut, "doc_id bigint, line string")
+
+
+@query("SELECT doc_id, upper(left(trim(text), 20)) AS head FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*')")
+def g04_compose(spark, sf):
+    d = table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z")).select("doc_id", "text")
+    steps = (lambda x: x.withColumn("text", F.trim("text")), lambda x: x.withColumn("text", F.left("text", F.lit(20))), lambda x: x.select("doc_id", F.upper("text").alias("head")))
+    for s in steps:
+        d = d.transform(s)
+    return d
+
+
+@query()
+def g05_model_stage(spark, sf):
+    from ..plans.models import LengthModel, scored
+
+    return scored(table(spark, sf, "eval_items").select("item_id", "question"), "question", LengthModel())
+
+
+@query("SELECT a.vec_id, round(list_dot_product(a.e, b.e), 4)::DOUBLE AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id - 1 AS vec_id, embedding::DOUBLE[] AS e FROM embeddings) b USING (vec_id)")
+def g08_pair_similarity(spark, sf):
+    from ..functions.arrays import dot
+
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f"))
+    return e.join(b, "vec_id").select("vec_id", F.round(dot(F.col("e"), F.col("f")), 4).alias("score"))
+
+
+@query("SELECT vec_id, list_filter(range(len(embedding)), lambda i: 1 / (1 + exp(-embedding[i + 1]::DOUBLE)) > 0.55)::INTEGER[] AS labels FROM embeddings")
+def g10_zero_shot(spark, sf):
+    from ..functions.arrays import indices_over
+
+    p = F.transform("embedding", lambda v: 1 / (1 + F.exp(-v.cast("double"))))
+    return table(spark, sf, "embeddings").select("vec_id", indices_over(p, F.lit(0.55)).alias("labels"))
+
+
+@query("SELECT vec_id, round(ln(list_avg(list_transform(embedding[1:4], lambda x: exp(x::DOUBLE)))), 9) AS mean_word, round(list_max(embedding[5:8])::DOUBLE, 6) AS max_word FROM embeddings")
+def g11_verbalizer(spark, sf):
+    first, second = F.slice("embedding", 1, 4), F.slice("embedding", 5, 4)
+    mean = F.ln(F.aggregate(F.transform(first, lambda x: F.exp(x.cast("double"))), F.lit(0.0), lambda a, b: a + b) / 4)
+    return table(spark, sf, "embeddings").select("vec_id", F.round(mean, 9).alias("mean_word"), F.round(F.array_max(second).cast("double"), 6).alias("max_word"))
+
+
+@query("SELECT item_id, 'Q: ' || question || ' A:' || ' [MASK]' AS prompt FROM eval_items")
+def g12_prompt_template(spark, sf):
+    from ..plans.templates import render
+
+    return table(spark, sf, "eval_items").select("item_id", render('Q: {"text": "question"} A: {"mask": true}').alias("prompt"))
+
+
