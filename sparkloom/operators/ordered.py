@@ -75,7 +75,7 @@ def pack_greedily(lengths: Column, most: int) -> Column:
 
 def viterbi(scores: Column, penalty: float = 1000.0) -> Column:
     """Best tags 0/1/2 = O/I/B of rows of three scores; an I after an O costs ``penalty``."""
-    first = F.struct(F.array(F.lit(0.0), F.lit(-penalty), F.lit(0.0)).alias("best"), F.array().cast("array<array<int>>").alias("back"))
+    first = F.struct(F.array(F.lit(0.0), F.lit(-1e9), F.lit(-1e9)).alias("best"), F.array().cast("array<array<int>>").alias("back"))
 
     def step(acc: Column, s: Column) -> Column:
         def come(to: int) -> Column:
