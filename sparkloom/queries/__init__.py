@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from ..registry import ORACLES, QUERIES
-from . import folds, joins, metrics, ordered, packing, selection, streams, texts  # noqa: F401
+from . import folds, joins, metrics, ordered, others, packing, selection, streams, texts  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

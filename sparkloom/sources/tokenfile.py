@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the format.
 MAGIC = b"MMIDIDX\x00\x00"
+LEGACY_MAGIC = b"TNTIDX\x00\x00"
 CODES = {1: np.uint8, 2: np.int8, 3: np.int16, 4: np.int32, 5: np.int64, 6: np.float64, 7: np.float32, 8: np.uint16, 9: np.uint32, 10: np.uint64}
 _CODE = {np.dtype(t): c for c, t in CODES.items()}
 
@@ -48,6 +49,35 @@ def read_index(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarra
     return np.dtype(CODES[code]), sizes, pointers, np.frombuffer(raw, np.int64, d, at + 12 * n)
 
 
+def write_legacy_index(prefix: str, items: list[np.ndarray], docs: list[int], dtype=np.int32) -> None:
+    """The older index beside the same flat ``.bin``: offsets in dimensions and elements instead of byte pointers."""
+    sizes = np.array([len(x) for x in items], np.int64)
+    data = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    kind = np.dtype(dtype)
+    with open(f"{prefix}.idx", "wb") as f:
+        f.write(LEGACY_MAGIC + struct.pack("<QQQQQQ", 1, _CODE[kind], kind.itemsize, len(items), len(sizes), len(docs)))
+        f.write(np.arange(len(items) + 1, dtype=np.int64).tobytes() + data.tobytes() + sizes.tobytes() + np.array(docs, np.int64).tobytes())
+
+
+def read_legacy_index(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray]:
+    """(type, sizes, byte pointers, document starts), as of the newer index."""
+    with open(f"{prefix}.idx", "rb") as f:
+        raw = f.read()
+    if raw[:8] != LEGACY_MAGIC:
+        raise ValueError(f"{prefix}.idx is no legacy index")
+    _, code, width, n, m, d = struct.unpack_from("<QQQQQQ", raw, 8)
+    at = 8 + 48 + 8 * (n + 1)
+    data = np.frombuffer(raw, np.int64, n + 1, at)
+    sizes = np.frombuffer(raw, np.int64, m, at + 8 * (n + 1))
+    return np.dtype(CODES[code]), sizes.astype(np.int32), data[:-1] * width, np.frombuffer(raw, np.int64, d, at + 8 * (n + 1 + m))
+
+
+def index_of(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray]:
+    """Either index, told by its first bytes."""
+    with open(f"{prefix}.idx", "rb") as f:
+        return (read_legacy_index if f.read(8) == LEGACY_MAGIC else read_index)(prefix)
+
+
 def write(df: DataFrame, folder: str, doc: str, order: str, tokens: str) -> DataFrame:
     """Writes ``folder/part-N.bin`` and ``.idx``, a pair a partition, a document whole in one; returns what was written."""
 
@@ -97,7 +127,7 @@ class TokenFileReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out, before, kind = [], 0, None
         for p in self.prefixes:
-            dtype, sizes, _, _ = read_index(p)
+            dtype, sizes, _, _ = index_of(p)
             if kind not in (None, dtype):
                 raise ValueError("the files' types differ")
             kind = dtype
@@ -106,7 +136,7 @@ class TokenFileReader(DataSourceReader):
         return out
 
     def read(self, part: _Range):
-        dtype, sizes, pointers, docs = read_index(part.prefix)
+        dtype, sizes, pointers, docs = index_of(part.prefix)
         with open(f"{part.prefix}.bin", "rb") as f:
             for i in range(part.first, part.last):
                 f.seek(int(pointers[i]))

@@ -91,6 +91,14 @@ def test_token_index_layout(tmp_path):
         tokenfile.read_index(str(tmp_path / "y"))
 
 
+def test_legacy_index(spark, tmp_path):
+    items, prefix = [np.array([1, 2, 3]), np.array([4, 5])], str(tmp_path / "z")
+    tokenfile.write_pair(prefix, items, [0, 1, 2])
+    tokenfile.write_legacy_index(prefix, items, [0, 1, 2])
+    tokenfile.register(spark)
+    assert sorted(map(tuple, spark.read.format("tokenfile").load(prefix).collect())) == [(0, 0, [1, 2, 3]), (1, 1, [4, 5])]
+
+
 def test_core_stands_alone():
     code = "import sys; sys.modules['sparkloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'subset_translator' in q and set(e.oracle_sql()) <= set(q); assert not any(m.startswith('sparkloom.llm.') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
