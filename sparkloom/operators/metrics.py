@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ngrams
+from .ordered import running
 
 
 def token_overlap(a: Column, b: Column) -> Column:
@@ -20,12 +20,11 @@ def f1(overlap: Column, n_a: Column, n_b: Column) -> Column:
     return F.when((n_a == 0) | (n_b == 0), (n_a == n_b).cast("double")).when(overlap == 0, F.lit(0.0)).otherwise(2.0 * overlap / (n_a + n_b))
 
 
-def best_threshold(df: DataFrame, score: str, gain: str, tie: str) -> DataFrame:
+def best_threshold(df: DataFrame, score: str, gain: str) -> DataFrame:
     """The threshold at which keeping all rows up to it gains most: the first strict maximum of the running sum of ``gain``
-    in the order of ``score``. The sums run over the distinct scores, after pre-aggregation; scores rounded to a bounded
-    number of steps keep that table small."""
+    in the order of ``score``. Rows of one score are added up first; the sums run over ranges of the scores in parallel."""
     by = df.groupBy(score).agg(F.sum(gain).alias("_g"))
-    run = by.withColumn("total", F.sum("_g").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    run = running(by, [score], "_g", "_before").withColumn("total", F.col("_before") + F.col("_g"))
     return run.orderBy(F.desc("total"), score).limit(1).select(F.col(score).alias("threshold"), "total")
 
 

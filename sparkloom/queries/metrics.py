@@ -68,7 +68,7 @@ def a03_breakdown(spark, sf):
 def a04_best_threshold(spark, sf):
     s = scored(spark, sf).where("na_prob is not null")
     gain = F.when(F.col("has_ans"), F.col("em")).otherwise(F.when(F.col("form") == "", 0.0).otherwise(-1.0))
-    return M.best_threshold(s.withColumn("gain", gain), "na_prob", "gain", "pred_id")
+    return M.best_threshold(s.withColumn("gain", gain), "na_prob", "gain")
 
 
 @query(f"WITH {SCORED} SELECT run_id, round(avg(CASE WHEN na_prob > 0.5 THEN (NOT has_ans)::INTEGER::DOUBLE ELSE f1 END), 9) AS f1 FROM s GROUP BY run_id")
