@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,11 +38,9 @@ def other_script(text: Column) -> Column:
 
 def date_text(text: Column) -> Column:
     """A date, a weekday, a relative day or a holiday's name."""
-    low = F.lower(text)
-    hit = text.rlike("|".join(DATES))
-    for word in (*RELATIVE_DAYS, *(h.lower() for h in HOLIDAYS)):
-        hit = hit | low.contains(word)
-    return hit
+    words = (*RELATIVE_DAYS, *(h.lower() for h in HOLIDAYS))
+    # an array of one binds the lower-case text, so that it is made once a row
+    return text.rlike("|".join(DATES)) | F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (low.contains(w) for w in words)))
 
 
 def arithmetic_text(text: Column, span: int = 100) -> Column:
@@ -52,18 +52,19 @@ def arithmetic_text(text: Column, span: int = 100) -> Column:
         lambda x: F.struct(x["at"].alias("at"), F.when(x["t"].endswith("%"), F.rtrim(x["t"], F.lit("%")).cast("double") / 100).otherwise(x["t"].try_cast("double")).alias("v")),
     )
 
-    def fits(i: Column) -> Column:
-        x = [F.get(numbers, i + k) for k in range(3)]
-        small = x[0]["v"] < 100
-        for k in (1, 2):
-            small = small & (x[k]["v"] < 100)
-        hit = F.lit(False)
-        for p in permutations(range(3)):
-            a, b, c = (x[k]["v"] for k in p)
-            hit = hit | (a + b == c) | (a - b == c) | (a * b == c) | F.coalesce(F.try_divide(a, b) == c, F.lit(False))
-        return (x[2]["at"] - x[0]["at"] < span) & ~small & hit
-
-    return F.when(F.size(numbers) < 3, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), F.greatest(F.size(numbers) - 3, F.lit(0))), fits))
+    def fits(n: Column, i: Column) -> Column:
+        x = [F.get(n, i + k) for k in range(3)]
+        small = reduce(lambda p, q: p & q, (v["v"] < 100 for v in x))
+        hits = []
+        for a, b, c in permutations([v["v"] for v in x]):
+            hits += [a + b == c, a - b == c, a * b == c, F.coalesce(F.try_divide(a, b) == c, F.lit(False))]
+        return (x[2]["at"] - x[0]["at"] < span) & ~small & reduce(or_, hits)
+
+    def any_three(n: Column) -> Column:
+        return (F.size(n) >= 3) & F.exists(F.sequence(F.lit(0), F.greatest(F.size(n) - 3, F.lit(0))), lambda i: F.coalesce(fits(n, i), F.lit(False)))
+
+    # an array of one binds the numbers, so that they are found once a row
+    return F.coalesce(F.exists(F.array(numbers), any_three), F.lit(False))
 
 
 def hash_keep(key: Column, share: float) -> Column:
