@@ -215,13 +215,13 @@ class Model:
         return x, d, parts
 
 
-def fit(texts: list[str], prose: np.ndarray, kinds: list[str], common: Common) -> dict:
+def fit(texts: list[str], prose: np.ndarray, kinds: list[str], common: Common) -> dict | None:
     """A model's facts from rated texts: trimmed estimates over the lines of prose, by language, and the threshold
-    at which documents agree best with the raters."""
+    at which documents agree best with the raters. None if too few lines of prose are rated."""
     lines = Lines(texts, common)
     x, good = lines.stats(), prose[lines.doc]
     if good.sum() < LEAST_LINES:
-        raise ValueError(f"prose can't be fitted on {int(good.sum())} rated lines; it takes {LEAST_LINES}")
+        return None
     groups = {-1: good} | {lang: good & (lines.lang == lang) for lang in np.unique(lines.lang).tolist() if lang >= 0}
     found = {k: trimmed(x[own]) for k, own in groups.items() if own.sum() >= LEAST_LINES}
     # a language's covariance is drawn halfway to that within all languages, as a few hundred lines may all end alike
@@ -262,15 +262,17 @@ def _fitter(common_rows: list[tuple[str, str]]):
     return run
 
 
+#: Stands in where nothing is fitted; what it gives is not reported.
+UNFITTED = {"prose": {-1: ([0.0] * len(STATS), np.eye(len(STATS)).tolist())}, "threshold": float("inf"), "other": {}}
 SCORED = (
     "doc_id bigint, n_words bigint, n_lines bigint, mean_word_length double, symbol_share double, digit_share double, upper_share double, common_share double, "
     "punctuated_lines double, lang string, distance double, contributions map<string,double>, outlying_share double, kind string"
 )
 
 
-def _scorer(facts: dict, common_rows: list[tuple[str, str]]):
+def _scorer(facts: dict | None, common_rows: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = Common(common_rows), Model(facts)
+        common, model = Common(common_rows), Model(facts or UNFITTED)
         kinds = sorted(model.other)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -299,13 +301,14 @@ def _scorer(facts: dict, common_rows: list[tuple[str, str]]):
                 for j, k in enumerate(kinds):
                     mean, precision, size = model.other[k]
                     near[:, j] = total(np.where(out, (distances(x, mean, precision)[0] + size) * lines.visible, 0))
-                guess = [("prose" if s <= 0.5 else kinds[j] if kinds else "junk") if lit else None for s, j, lit in zip(share.tolist(), near.argmin(1).tolist() if kinds else [0] * n, (v > 0).tolist(), strict=True)]
+                known = (v > 0) & (facts is not None)
+                guess = [("prose" if s <= 0.5 else kinds[j] if kinds else "junk") if lit else None for s, j, lit in zip(share.tolist(), near.argmin(1).tolist() if kinds else [0] * n, known.tolist(), strict=True)]
                 offsets = pa.array(np.arange(n + 1) * len(STATS), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array(w.astype(np.int64)), pa.array(m.astype(np.int64)), ratio(total(lines.letters), w), ratio(total(lines.symbols), v), ratio(total(lines.digits), v),
-                        ratio(total(lines.upper), v), ratio(total(lines.common), w), ratio(total(lines.stops), m), pa.array(lang, pa.string()), ratio(contribution.sum(1), (v > 0).astype(float)),
-                        pa.MapArray.from_arrays(offsets, pa.array(list(STATS) * n, pa.string()), pa.array(contribution.ravel(), pa.float64())), ratio(share, (v > 0).astype(float)), pa.array(guess, pa.string()),
+                        ratio(total(lines.upper), v), ratio(total(lines.common), w), ratio(total(lines.stops), m), pa.array(lang, pa.string()), ratio(contribution.sum(1), known.astype(float)),
+                        pa.MapArray.from_arrays(offsets, pa.array(list(STATS) * n, pa.string()), pa.array(contribution.ravel(), pa.float64())), ratio(share, known.astype(float)), pa.array(guess, pa.string()),
                     ],
                     names=[c.split()[0] for c in SCORED.split(", ")],
                 )
@@ -324,19 +327,18 @@ def rated_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     return docs.join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"])
 
 
-def fitted(documents: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE) -> tuple[dict, list[tuple[str, str]]]:
-    """The model's facts and the common words, both small, for ``text_quality``."""
+def fitted(documents: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE) -> tuple[dict | None, list[tuple[str, str]]]:
+    """The model's facts, None if no prose is rated to speak of, and the common words; both small, for ``text_quality``."""
     rows = [(r.lang, r.word) for r in common.where("lang is not null and word is not null").select("lang", "word").distinct().orderBy("lang", "word").toLocalIterator()]
     got = rated_sample(documents, labels, sample).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_fitter(rows), "model string").collect()
-    if not got:
-        raise ValueError("no document is rated")
-    return json.loads(got[0].model), rows
+    return (json.loads(got[0].model) if got else None), rows
 
 
 def text_quality(documents: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row a document: its statistics, distance from prose with each statistic's contribution (means over its lines,
     weighed by visible characters), the share of visible characters in outlying lines, and the kind (prose if that is half
-    at most). Null and blank texts have no words and null shares, distance and kind; repeated rows stay repeated. Other
+    at most). Null and blank texts have no words and null shares, distance and kind; without rated prose
+    (fewer than ``LEAST_LINES`` lines) the statistics come out with null distance, share and kind; repeated rows stay repeated. Other
     columns are ignored. One pass, no shuffle but that of the bounded sample."""
     facts, rows = fitted(documents, labels, common, sample)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))

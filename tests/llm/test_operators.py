@@ -149,8 +149,10 @@ def test_quality_on_odd_rows(spark, odd):
     assert r.n_words == len(words(rows[1][1])) and r.lang == "en" and abs(sum(r.contributions.values()) - r.distance) < 1e-6
     assert {r.doc_id for r in quality.not_prose(all_docs, labels, common).collect()} >= {i for i in range(100, 220) if i % 4 == 0}
     assert quality.text_quality(all_docs, labels, common).count() == all_docs.count()
-    with pytest.raises(ValueError):
-        quality.text_quality(all_docs, labels.limit(0), common)
+    unrated = {r.doc_id: r for r in quality.text_quality(all_docs, labels.limit(0), common).collect()}
+    assert unrated[101].n_words == r.n_words and unrated[101].kind is None and unrated[101].outlying_share is None
+    assert quality.not_prose(all_docs, labels.limit(0), common.limit(0)).count() == 0
+    assert quality.text_quality(all_docs.limit(0), labels, common).count() == 0
 
 
 # --- packing ---
