@@ -27,6 +27,8 @@ STATS = ("line_words", "word_length", "symbol_share", "digit_share", "upper_shar
 SAMPLE, KEEP = 20_000, 0.93
 #: Lines of a language it takes for estimates of its own, and the weight of a line's neighbours in its distance.
 LEAST_LINES, NEIGHBOURS = 60, 0.5
+#: Lines from which a language has a mean of its own.
+FEW_LINES = 6
 LONG_LINE = 30
 
 _SPACE, _WORD, _DIGIT, _SYMBOL, _UPPER, _HAN, _STOP, _CLOSE = 1, 2, 4, 8, 16, 32, 64, 128
@@ -224,11 +226,13 @@ def fit(texts: list[str], prose: np.ndarray, kinds: list[str], common: Common) -
         return None
     groups = {-1: good} | {lang: good & (lines.lang == lang) for lang in np.unique(lines.lang).tolist() if lang >= 0}
     found = {k: trimmed(x[own]) for k, own in groups.items() if own.sum() >= LEAST_LINES}
-    # a language's covariance is drawn halfway to that within all languages, as a few hundred lines may all end alike
+    # a language's covariance is drawn halfway to that within all languages, as a few hundred lines may all end alike;
+    # one of few lines has the median of them and the covariance within all
     count = {k: int(groups[k].sum()) for k in found if k >= 0}
     if count:
         within = sum(n * found[k][1] for k, n in count.items()) / sum(count.values())
         found |= {k: (found[k][0], (found[k][1] + within) / 2) for k in count}
+        found |= {k: (np.median(x[own], 0), within) for k, own in groups.items() if k not in found and own.sum() >= FEW_LINES}
     facts = {"prose": {k: (m.tolist(), np.linalg.inv(c).tolist()) for k, (m, c) in found.items()}, "threshold": 0.0, "other": {}}
     _, d, _ = Model(facts).score(lines)
     best = (-1.0, 0.0)

@@ -1,4 +1,5 @@
 import base64
+import os
 import random
 
 import numpy as np
@@ -288,3 +289,23 @@ def test_words_and_shingles():
     assert words(None) == words("…") == []
     tokens, at = shingles([[b"a", b"b", b"c", b"a", b"b", b"c"], [], [b"a", b"b"], [b"a", b"b", b"c"]])
     assert np.diff(at).tolist() == [3, 0, 0, 1] and tokens[-1] in tokens[:3]
+
+
+def test_quality_held_out():
+    """Fitted on half of the rated documents, judged on the other half; about one label in thirty is wrong."""
+    duckdb = pytest.importorskip("duckdb")
+    sf = os.environ.get("HELD_OUT_SF_DIR", "/root/testdata/sf0.1")
+    con = duckdb.connect()
+    common = quality.Common(con.sql(f"SELECT DISTINCT lang, word FROM '{sf}/common_words.parquet' WHERE lang IS NOT NULL AND word IS NOT NULL ORDER BY ALL").fetchall())
+    rated = con.sql(f"SELECT doc_id, text, min(kind) FROM '{sf}/doc_labels.parquet' JOIN '{sf}/documents.parquet' USING (doc_id) WHERE kind IS NOT NULL AND text IS NOT NULL GROUP BY doc_id, text HAVING count(DISTINCT kind) = 1 ORDER BY md5(doc_id::VARCHAR)").fetchall()
+    rated = [r for r in rated if len(words(r[1])) >= 12]
+    half = len(rated) // 2
+    train, test = rated[:half], rated[half:]
+    facts = quality.fit([t for _, t, _ in train], np.array([k == "prose" for *_, k in train]), [k for *_, k in train], common)
+    model, lines = quality.Model(facts), quality.Lines([t for _, t, _ in test], common)
+    bad = quality._share(lines, model.score(lines)[1] > model.threshold) > 0.5
+    truth = np.array([k != "prose" for *_, k in test])
+    hit = int((bad & truth).sum())
+    f1 = 2 * hit / (bad.sum() + truth.sum())
+    print(f"held out: {len(test)} documents, precision {hit / bad.sum():.3f}, recall {hit / truth.sum():.3f}, F1 {f1:.3f}")
+    assert f1 > 0.85
