@@ -94,6 +94,15 @@ def test_duplicates_match_brute_force(spark):
     assert pairs(found) == brute(rows)
 
 
+@pytest.mark.parametrize(("inner", "outer"), [(31, 56), (63, 105)])
+def test_texts_inside_longer_versions_are_all_found(spark, inner, outer):
+    rnd, rows = random.Random(inner), []
+    for base in range(200):
+        ws = [f"w{rnd.randrange(10**6)}" for _ in range(outer + 2)]
+        rows += [(base * 2, " ".join(ws[: inner + 2]), None), (base * 2 + 1, " ".join(ws), None)]
+    assert pairs(neardup.duplicate_pairs(docs(spark, rows))) == [(base * 2, base * 2 + 1) for base in range(200)]
+
+
 def test_duplicate_groups(spark, odd):
     rnd = random.Random(1)
     ws = [f"w{i}" for i in range(80)]
