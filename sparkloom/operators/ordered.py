@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.folds import per_row
 from .relational import numbered
 
 
@@ -55,10 +57,18 @@ def blocks(df: DataFrame, keys: list[str], order: str, starts: Column, out: str)
 def pairs_by_end(starts: Column, ends: Column) -> Column:
     """Each end with the latest start that meets no earlier end first: of start s the end is the smallest at or over it,
     and of an end the largest such start stays."""
-    met = F.transform(starts, lambda s: F.struct(F.array_min(F.filter(ends, lambda e: e >= s)).alias("e"), s.alias("s")))
-    met = F.filter(met, lambda m: m["e"].isNotNull())
-    kept = F.filter(met, lambda m: ~F.exists(met, lambda o: (o["e"] == m["e"]) & (o["s"] > m["s"])))
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))))
+    pairs = per_row(_pairs_by_end, T.ArrayType(T.ArrayType(T.IntegerType())))(starts, ends)
+    return F.transform(pairs, lambda p: F.struct(p[0].alias("s"), p[1].alias("e")))
+
+
+def _pairs_by_end(starts, ends) -> list[list[int]]:
+    last, after, i = {}, sorted(set(ends)), 0
+    for s in sorted(set(starts)):
+        while i < len(after) and after[i] < s:
+            i += 1
+        if i < len(after):
+            last[after[i]] = s
+    return [[s, e] for e, s in last.items()]
 
 
 def pack_greedily(lengths: Column, most: int) -> Column:
@@ -75,18 +85,17 @@ def pack_greedily(lengths: Column, most: int) -> Column:
 
 def viterbi(scores: Column, penalty: float = 1000.0) -> Column:
     """Best tags 0/1/2 = O/I/B of rows of three scores; an I after an O costs ``penalty``."""
-    first = F.struct(F.array(F.lit(0.0), F.lit(-1e9), F.lit(-1e9)).alias("best"), F.array().cast("array<array<int>>").alias("back"))
-
-    def step(acc: Column, s: Column) -> Column:
-        def come(to: int) -> Column:
-            return F.array_max(F.array(*[F.struct((acc["best"][f] - (penalty if to == 1 and f == 0 else 0.0)).alias("v"), F.lit(-f).alias("f")) for f in range(3)]))
-
-        won = [come(to) for to in range(3)]
-        return F.struct(F.array(*[won[t]["v"] + s[t] for t in range(3)]).alias("best"), F.array_append(acc["back"], F.array(*[-won[t]["f"] for t in range(3)])).alias("back"))
-
-    def trace(acc: Column) -> Column:
-        last = F.array_position(acc["best"], F.array_max(acc["best"])).cast("int") - 1
-        path = F.aggregate(F.reverse(acc["back"]), F.array(last), lambda p, b: F.array_prepend(p, b[F.get(p, F.lit(0))]))
-        return F.slice(path, F.lit(2), F.size(acc["back"]))
 
-    return F.aggregate(scores, first, step, trace)
+    def decode(rows) -> list[int]:
+        best, back = [0.0, -1e9, -1e9], []
+        for s in rows:
+            come = [max((best[f] - (penalty if to == 1 and f == 0 else 0.0), -f) for f in range(3)) for to in range(3)]
+            back.append([-f for _, f in come])
+            best = [v + x for (v, _), x in zip(come, s, strict=True)]
+        tag, out = best.index(max(best)), []
+        for b in reversed(back):
+            out.append(tag)
+            tag = b[tag]
+        return out[::-1]
+
+    return per_row(decode, T.ArrayType(T.IntegerType()))(scores)

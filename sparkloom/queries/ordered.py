@@ -107,15 +107,28 @@ def w14_blocks(spark, sf):
 TAGS = f"(SELECT record_id, unnest([x % 3 for x in input_ids]) AS tag, generate_subscripts(input_ids, 1) - 1 AS pos FROM {RECORDS} WHERE len(input_ids) < 200)"
 
 
-def tags(spark, sf):
-    return records(spark, sf).where("size(input_ids) < 200").select("record_id", F.posexplode(F.transform("input_ids", lambda x: x % 3)).alias("pos", "tag"))
+#: The records of the queries whose SQL twin is for short ones; the same names with _whole take all.
+TWINNED = "size(input_ids) < 200"
+
+
+def tags(spark, sf, keep="true"):
+    return records(spark, sf).where(keep).select("record_id", F.posexplode(F.transform("input_ids", lambda x: x % 3)).alias("pos", "tag"))
 
 
 @query(f"""
     WITH b AS (SELECT *, sum((tag = 2 OR (tag = 1 AND coalesce(prev, 0) = 0))::INTEGER) OVER (PARTITION BY record_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM (SELECT *, lag(tag) OVER (PARTITION BY record_id ORDER BY pos) AS prev FROM {TAGS}))
     SELECT record_id, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last FROM b WHERE tag > 0 GROUP BY record_id, span""")
 def w15_tags_to_spans(spark, sf):
-    t = tags(spark, sf).withColumn("prev", F.lag("tag").over(W.partitionBy("record_id").orderBy("pos")))
+    return spans(tags(spark, sf, TWINNED))
+
+
+@query()
+def w15_tags_to_spans_whole(spark, sf):
+    return spans(tags(spark, sf))
+
+
+def spans(t):
+    t = t.withColumn("prev", F.lag("tag").over(W.partitionBy("record_id").orderBy("pos")))
     t = O.blocks(t, ["record_id"], "pos", (F.col("tag") == 2) | ((F.col("tag") == 1) & (F.coalesce("prev", F.lit(0)) == 0)), "span").where("tag > 0")
     return t.groupBy("record_id", "span").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("span")
 
@@ -124,15 +137,23 @@ def w15_tags_to_spans(spark, sf):
     WITH s AS (SELECT record_id, pos FROM {TAGS} WHERE tag = 2), e AS (SELECT record_id, pos FROM {TAGS} WHERE tag = 1), m AS (SELECT s.record_id, s.pos AS s, min(e.pos) AS e FROM s JOIN e ON s.record_id = e.record_id AND e.pos >= s.pos GROUP BY ALL)
     SELECT record_id, max(s)::INTEGER AS start, e::INTEGER AS stop FROM m GROUP BY record_id, e""")
 def w16_pointer_match(spark, sf):
-    at = tags(spark, sf).groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(F.col("tag") == 2, F.col("pos")))).alias("starts"), F.array_sort(F.collect_list(F.when(F.col("tag") == 1, F.col("pos")))).alias("ends"))
+    return pointers(tags(spark, sf, TWINNED))
+
+
+@query()
+def w16_pointer_match_whole(spark, sf):
+    return pointers(tags(spark, sf))
+
+
+def pointers(t):
+    at = t.groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(F.col("tag") == 2, F.col("pos")))).alias("starts"), F.array_sort(F.collect_list(F.when(F.col("tag") == 1, F.col("pos")))).alias("ends"))
     return at.select("record_id", F.explode(O.pairs_by_end(F.col("starts"), F.col("ends"))).alias("p")).select("record_id", F.col("p.s").alias("start"), F.col("p.e").alias("stop"))
 
 
 @query()
 def w17_viterbi(spark, sf):
-    r = records(spark, sf).where("size(input_ids) < 100")
     scores = F.transform("input_ids", lambda x: F.array((x % 5).cast("double"), (x % 7).cast("double"), (x % 3).cast("double")))
-    return r.select("record_id", O.viterbi(scores).alias("tags"))
+    return records(spark, sf).select("record_id", O.viterbi(scores).alias("tags"))
 
 
 @query(f"SELECT sample_id, pos, arg_max(cand_id, (length(call_text), -cand_id)) AS cand_id FROM {CALLS} WHERE call_text IS NOT NULL GROUP BY ALL")
@@ -153,8 +174,17 @@ def w19_partial_transcripts(spark, sf):
 @query(f"""
     SELECT record_id, pos::INTEGER AS pos, (tag = 2 OR (tag = 1 AND coalesce(prev, 0) = 0)) AS is_start, (tag > 0 AND coalesce(next, 0) <> 1) AS is_end FROM (SELECT *, lag(tag) OVER w AS prev, lead(tag) OVER w AS next FROM {TAGS} WINDOW w AS (PARTITION BY record_id ORDER BY pos))""")
 def w21_tag_flags(spark, sf):
+    return flags(tags(spark, sf, TWINNED))
+
+
+@query()
+def w21_tag_flags_whole(spark, sf):
+    return flags(tags(spark, sf))
+
+
+def flags(t):
     w = W.partitionBy("record_id").orderBy("pos")
-    t = tags(spark, sf).withColumn("prev", F.coalesce(F.lag("tag").over(w), F.lit(0))).withColumn("next", F.coalesce(F.lead("tag").over(w), F.lit(0)))
+    t = t.withColumn("prev", F.coalesce(F.lag("tag").over(w), F.lit(0))).withColumn("next", F.coalesce(F.lead("tag").over(w), F.lit(0)))
     tag = F.col("tag")
     return t.select("record_id", "pos", ((tag == 2) | ((tag == 1) & (F.col("prev") == 0))).alias("is_start"), ((tag > 0) & (F.col("next") != 1)).alias("is_end"))
 
