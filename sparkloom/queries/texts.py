@@ -177,8 +177,16 @@ def x45_penalty_temperature(spark, sf):
 @query("""
     SELECT record_id, g[1]::INTEGER AS token, list_sort(list_distinct(list(g[2])))::INTEGER[] AS banned FROM (SELECT record_id, unnest([[input_ids[i], input_ids[i + 1]] for i in range(1, len(input_ids))]) AS g FROM (SELECT DISTINCT record_id, input_ids FROM pack_records WHERE len(input_ids) BETWEEN 2 AND 60)) GROUP BY ALL""")
 def x45_ngram_ban(spark, sf):
-    recs = table(spark, sf, "pack_records").where("size(input_ids) between 2 and 60").select("record_id", "input_ids").distinct()
-    g = recs.select("record_id", F.explode(F.arrays_zip(F.expr("slice(input_ids, 1, size(input_ids) - 1)").alias("token"), F.expr("slice(input_ids, 2, size(input_ids) - 1)").alias("next"))).alias("g"))
+    return banned_next(table(spark, sf, "pack_records").where("size(input_ids) between 2 and 60"))
+
+
+@query()
+def x45_ngram_ban_whole(spark, sf):
+    return banned_next(table(spark, sf, "pack_records").where("size(input_ids) >= 2"))
+
+
+def banned_next(recs):
+    g = recs.select("record_id", "input_ids").distinct().select("record_id", F.explode(F.arrays_zip(F.expr("slice(input_ids, 1, size(input_ids) - 1)").alias("token"), F.expr("slice(input_ids, 2, size(input_ids) - 1)").alias("next"))).alias("g"))
     return g.groupBy("record_id", F.col("g.token").alias("token")).agg(F.array_sort(F.collect_set("g.next")).alias("banned"))
 
 

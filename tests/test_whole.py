@@ -51,3 +51,12 @@ def test_viterbi_of_long_records(spark, ids):
             path = [[*path[f], to] for to, f in enumerate(come.argmax(0).tolist())]
             best = come.max(0) + s
         assert got[r] == path[int(best.argmax())]
+
+
+def test_ngram_ban_of_long_records(spark, ids):
+    want = {}
+    for r, x in ids.items():
+        for a, b in zip(x, x[1:]):
+            want.setdefault((r, a), set()).add(b)
+    assert max(map(len, ids.values())) > 60
+    assert rows(spark, "x45_ngram_ban_whole") == sorted((r, a, sorted(b)) for (r, a), b in want.items())
