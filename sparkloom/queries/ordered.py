@@ -32,6 +32,11 @@ def w02_fixed_samples(spark, sf):
     return O.fixed_samples(records(spark, sf).where("tool = 'calendar'"), ["record_id"], "input_ids", 64)
 
 
+@query()
+def w02_fixed_samples_whole(spark, sf):
+    return O.fixed_samples(records(spark, sf), ["record_id"], "input_ids", 64)
+
+
 @query(f"SELECT tool, ceil((1000 * 128 + 1) / sum(len(input_ids)))::BIGINT AS epochs FROM {RECORDS} GROUP BY tool")
 def w03_epochs(spark, sf):
     return records(spark, sf).groupBy("tool").agg(F.ceil(F.lit(1000 * 128 + 1) / F.sum(F.size("input_ids"))).alias("epochs"))

@@ -60,3 +60,8 @@ def test_ngram_ban_of_long_records(spark, ids):
             want.setdefault((r, a), set()).add(b)
     assert max(map(len, ids.values())) > 60
     assert rows(spark, "x45_ngram_ban_whole") == sorted((r, a, sorted(b)) for (r, a), b in want.items())
+
+
+def test_fixed_samples_of_all_tools(spark, ids):
+    stream = [t for x in ids.values() for t in x]
+    assert rows(spark, "w02_fixed_samples_whole") == [(i, stream[i * 64 : i * 64 + 65]) for i in range((len(stream) - 1) // 64)]
