@@ -208,8 +208,16 @@ def m06_sessions(spark, sf):
 
 @query("SELECT doc_id, reverse(text) AS value FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*')")
 def g01_scalar_function(spark, sf):
+    return reversed_texts(table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z")))
+
+
+@query()
+def g01_scalar_function_whole(spark, sf):
+    return reversed_texts(table(spark, sf, "documents").where("text is not null"))
+
+
+def reversed_texts(d):
     back = F.pandas_udf(lambda s: s.str[::-1], T.StringType())
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z"))
     return d.select("doc_id", back("text").alias("value"))
 
 
@@ -237,7 +245,15 @@ def g03_table_function(spark, sf):
 
 @query("SELECT doc_id, upper(left(trim(text), 20)) AS head FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*')")
 def g04_compose(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z")).select("doc_id", "text")
+    return heads(table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z")).select("doc_id", "text"))
+
+
+@query()
+def g04_compose_whole(spark, sf):
+    return heads(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"))
+
+
+def heads(d):
     steps = (lambda x: x.withColumn("text", F.trim("text")), lambda x: x.withColumn("text", F.left("text", F.lit(20))), lambda x: x.select("doc_id", F.upper("text").alias("head")))
     for s in steps:
         d = d.transform(s)

@@ -65,3 +65,10 @@ def test_ngram_ban_of_long_records(spark, ids):
 def test_fixed_samples_of_all_tools(spark, ids):
     stream = [t for x in ids.values() for t in x]
     assert rows(spark, "w02_fixed_samples_whole") == [(i, stream[i * 64 : i * 64 + 65]) for i in range((len(stream) - 1) // 64)]
+
+
+def test_functions_over_all_texts(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").select("doc_id", "text").collect()]
+    assert any("\n" in t for _, t in texts) and not all(t.isascii() for _, t in texts)
+    assert rows(spark, "g01_scalar_function_whole") == sorted((i, t[::-1]) for i, t in texts)
+    assert rows(spark, "g04_compose_whole") == sorted((i, t.strip(" ")[:20].upper()) for i, t in texts)
