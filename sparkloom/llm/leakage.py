@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
 from .words import MIN_WORDS, words
 
 #: Successive words that make a leak, and of texts in Han characters successive characters.
@@ -175,5 +176,11 @@ def leaking_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``documents`` without those that hold a test passage."""
-    return documents.join(leaked(documents, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    """``documents`` without those that hold a test passage; rows with a null id are searched by their text."""
+    bad = leaked(documents, items).select("doc_id").distinct()
+    nameless = documents.where("doc_id is null")
+    # written once, so that the numbers stay
+    texts = checkpointed(nameless.where("text is not null").select("text").distinct().select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    held = texts.join(leaked(texts, items).select("doc_id").distinct(), "doc_id").select("text")
+    kept = documents.where("doc_id is not null").join(bad, "doc_id", "left_anti")
+    return kept.unionByName(nameless.join(held, "text", "left_anti"))

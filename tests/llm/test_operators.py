@@ -269,6 +269,14 @@ def test_leaks(spark, odd):
     assert leakage.leaked(odd, items).count() == 0 and leakage.leaked(odd, items.limit(0)).count() == 0
 
 
+def test_clean_without_ids(spark):
+    passage = "which painter of the northern coast gave lamps and boats to the keeper of the old harbour town"
+    items = spark.createDataFrame([(1, "b", "en", passage, None, None, None, None)], ITEMS)
+    rows = [(None, PROSE, "a"), (None, f"{PROSE} {passage}", "a"), (None, None, "a"), (1, f"{passage} {PROSE}", "a"), (2, PROSE, "a")]
+    got = leakage.clean(docs(spark, rows), items)
+    assert got.columns[0] == "doc_id" and sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, ""), (0, PROSE), (2, PROSE)]
+
+
 def test_suffix_arrays_match_brute_force(monkeypatch):
     rnd = random.Random(6)
     vocabulary = [f"v{i}" for i in range(12)]
