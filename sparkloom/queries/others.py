@@ -110,10 +110,18 @@ def p04_map(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND length(text) > 10")
 def p05_stream_filter(spark, sf):
-    d = table(spark, sf, "documents")
-    for keep in (F.col("doc_id") % 2 == 0, F.length("text") > 10):
+    return kept(table(spark, sf, "documents"), F.col("doc_id") % 2 == 0, F.length("text") > 10).select("doc_id")
+
+
+@query()
+def p05_stream_filter_whole(spark, sf):
+    return kept(table(spark, sf, "documents"), F.contains("text", F.lit(" ")), F.length("text") > 10).select("doc_id")
+
+
+def kept(d, *predicates):
+    for keep in predicates:
         d = d.where(keep)
-    return d.select("doc_id")
+    return d
 
 
 @query()

@@ -136,8 +136,16 @@ def f09_call_splice(spark, sf):
 @query("""
     SELECT shard, count(*) AS n FROM (SELECT ((row_number() OVER (ORDER BY doc_id) - 1) // 25)::BIGINT AS shard FROM documents WHERE text IS NOT NULL) WHERE shard < 10 GROUP BY shard""")
 def s03_rotating_shards(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null")
-    return R.numbered(docs, ["doc_id"]).withColumn("shard", F.floor(F.col("idx") / 25)).where("shard < 10").groupBy("shard").agg(F.count("*").alias("n"))
+    return shard_sizes(table(spark, sf, "documents"), 25)
+
+
+@query()
+def s03_rotating_shards_whole(spark, sf):
+    return shard_sizes(table(spark, sf, "documents"), 100_000)
+
+
+def shard_sizes(docs, size):
+    return R.numbered(docs.where("text is not null"), ["doc_id"]).withColumn("shard", F.floor(F.col("idx") / size)).where("shard < 10").groupBy("shard").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, substr(text, 1, 40) AS head FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[A-Z]')")

@@ -72,3 +72,9 @@ def test_functions_over_all_texts(spark):
     assert any("\n" in t for _, t in texts) and not all(t.isascii() for _, t in texts)
     assert rows(spark, "g01_scalar_function_whole") == sorted((i, t[::-1]) for i, t in texts)
     assert rows(spark, "g04_compose_whole") == sorted((i, t.strip(" ")[:20].upper()) for i, t in texts)
+
+
+def test_shards_and_filters_by_content(spark):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").select("doc_id", "text").collect()]
+    assert 25 < len(texts) <= 100_000 and rows(spark, "s03_rotating_shards_whole") == [(0, len(texts))]
+    assert rows(spark, "p05_stream_filter_whole") == sorted((i,) for i, t in texts if " " in t and len(t) > 10)
