@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from itertools import permutations
 from operator import or_
@@ -9,18 +10,27 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a number, a date, a relative day, another script.
-NUMBER = r"^[-+]?[0-9]+(\.[0-9]+)?%?$"
+# What counts as a number, a date, a relative day, another script. Blanks, digits and word characters are
+# those of any script; the classes are spelled out so that they mean the same to every engine.
+BLANKS = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+_D, _S, _W = r"\p{Nd}", BLANKS, r"[\p{L}\p{N}_]"
+_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+NUMBER = rf"^[-+]?{_D}+(\.{_D}+)?%?\z"
+#: The digits of other scripts, and what they count.
+_DIGITS = tuple(map("".join, zip(*((chr(c), str(unicodedata.digit(chr(c)))) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Nd"), strict=True)))
+#: Dates as whole words.
 DATES = (
-    r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}",
-    r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}",
-    r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}",
-    r"(January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{1,2}, [0-9]{4}",
-    r"[0-9]{1,2} (January|February|March|April|May|June|July|August|September|October|November|December) [0-9]{4}",
-    r"(Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday)",
+    rf"{_D}{{4}}[-/]{_D}{{1,2}}[-/]{_D}{{1,2}}",
+    rf"{_D}{{1,2}}[-/]{_D}{{1,2}}[-/]{_D}{{2,4}}",
+    rf"{_D}{{1,2}} ?{_MONTH}{_W}* ?{_D}{{2,4}}",
+    rf"{_MONTH}{_W}* {_D}{{1,2}},? {_D}{{4}}",
 )
-RELATIVE_DAYS = ("today", "tomorrow", "yesterday", "day before yesterday", "day after tomorrow")
-OTHER_SCRIPTS = "[ء-يäöüßÄÖÜáéíóúñ¿¡ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹऀ-ॿ一-鿿]"
+#: Distances in days, anywhere.
+DISTANCES = (rf"{_D}+{_S}+days{_S}+ago", rf"in{_S}+{_D}+{_S}+days")
+RELATIVE_DAYS = ("tomorrow", "today", "yesterday", "the day after tomorrow", "the day before yesterday")
+ARABIC, GERMAN, SPANISH, HINDI, CHINESE = "\u0600-\u06ff", "äöüßÄÖÜ", "ñáéíóúüÁÉÍÓÚÜ", "\u0900-\u097f", "\u4e00-\u9fff"
+VIETNAMESE = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠàáâãèéêìíòóôõùúăđĩũơƯư"
+OTHER_SCRIPTS = f"[{ARABIC}{GERMAN}{SPANISH}{VIETNAMESE}{HINDI}{CHINESE}]"
 HOLIDAYS = (
     "New Year's Day", "Martin Luther King Jr. Day", "Washington's Birthday", "Memorial Day", "Juneteenth National Independence Day",
     "Independence Day", "Labor Day", "Columbus Day", "Veterans Day", "Thanksgiving", "Christmas Day",
@@ -28,19 +38,21 @@ HOLIDAYS = (
 
 
 def tokens(text: Column) -> Column:
-    """Tokens between blanks, none empty; null for null text."""
-    return F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda t: t != "")
+    """Tokens between blanks of any kind, none empty; null for null text."""
+    return F.filter(F.split(text, BLANKS + "+"), lambda t: t != "")
 
 
 def other_script(text: Column) -> Column:
+    """A letter of Arabic, German, Spanish, Vietnamese, Hindi or Chinese that English lacks."""
     return text.rlike(OTHER_SCRIPTS)
 
 
 def date_text(text: Column) -> Column:
-    """A date, a weekday, a relative day or a holiday's name."""
+    """A date, a distance in days, a relative day or a holiday's name."""
     words = (*RELATIVE_DAYS, *(h.lower() for h in HOLIDAYS))
+    whole = rf"(?<!{_W})(?:{'|'.join(DATES)})(?!{_W})"
     # an array of one binds the lower-case text, so that it is made once a row
-    return text.rlike("|".join(DATES)) | F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (low.contains(w) for w in words)))
+    return text.rlike(f"{whole}|{'|'.join(DISTANCES)}") | F.exists(F.array(F.lower(text)), lambda low: reduce(or_, (low.contains(w) for w in words)))
 
 
 def arithmetic_text(text: Column, span: int = 100) -> Column:
@@ -48,8 +60,8 @@ def arithmetic_text(text: Column, span: int = 100) -> Column:
     of the four operations; a percent sign divides by 100."""
     at = F.transform(tokens(text), lambda t, i: F.struct(i.alias("at"), t.alias("t")))
     numbers = F.transform(
-        F.filter(at, lambda x: x["t"].rlike(NUMBER)),
-        lambda x: F.struct(x["at"].alias("at"), F.when(x["t"].endswith("%"), F.rtrim(x["t"], F.lit("%")).cast("double") / 100).otherwise(x["t"].try_cast("double")).alias("v")),
+        F.transform(F.filter(at, lambda x: x["t"].rlike(NUMBER)), lambda x: F.struct(x["at"].alias("at"), F.translate(x["t"], *_DIGITS).alias("t"))),
+        lambda x: F.struct(x["at"].alias("at"), F.when(x["t"].endswith("%"), F.rtrim(x["t"], F.lit("%")).try_cast("double") / 100).otherwise(x["t"].try_cast("double")).alias("v")),
     )
 
     def fits(n: Column, i: Column) -> Column:

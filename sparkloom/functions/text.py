@@ -89,13 +89,13 @@ def decoded_clean_up(t: Column) -> Column:
 
 def with_period(t: Column) -> Column:
     """A final ' .' unless the line is empty, a section mark, or ends already."""
-    return F.when((t == "") | t.startswith("@highlight") | t.rlike("[.!?…'`\")’”]$"), t).otherwise(F.concat(t, F.lit(" .")))
+    return F.when((t == "") | t.startswith("@highlight") | t.rlike("[.!?…'`\")’”]\\z"), t).otherwise(F.concat(t, F.lit(" .")))
 
 
 def option_prompt(t: Column) -> Column:
     """The options in a trailing [a,b] sorted, each once."""
-    inside = F.regexp_extract(t, r"\[([^\[\]]*)\]$", 1)
-    return F.when(inside == "", t).otherwise(F.concat(F.regexp_replace(t, r"\[[^\[\]]*\]$", "["), F.array_join(F.array_sort(F.array_distinct(F.split(inside, ","))), ","), F.lit("]")))
+    inside = F.regexp_extract(t, r"\[([^\[\]]*)\]\z", 1)
+    return F.when(inside == "", t).otherwise(F.concat(F.regexp_replace(t, r"\[[^\[\]]*\]\z", "["), F.array_join(F.array_sort(F.array_distinct(F.split(inside, ","))), ","), F.lit("]")))
 
 
 def call_bracket(t: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import ast
 import operator
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.USub: operator.neg, ast.UAdd: operator.pos}
+_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
 def calculate(expression: str) -> float | int | None:
@@ -30,32 +31,24 @@ def calculate(expression: str) -> float | int | None:
         return None
 
 
+#: What a call holds, up to the last bracket that closes, and the lone number that is no sum.
+_INSIDE, _LONE = re.compile(r"Calculator\((.*)\)"), re.compile(r"\s*-?\s*\d+(\.\d+)?\s*%?\s*")
+
+
 def _called(text: str | None) -> str | None:
-    if not text or "Calculator(" not in text:
-        return text
-    inside, closed, _ = text.split("Calculator(", 1)[1].rpartition(")")
-    if not closed or inside.strip().replace(".", "", 1).isdigit():
-        return text
-    found = calculate(inside)
+    call = _INSIDE.search(text or "")
+    found = None if call is None or _LONE.fullmatch(call[1]) else calculate(call[1])
     if found is None:
         return text
-    head, bracket, tail = text.partition("]")
-    return f"{head} -> {round(found, 2) if isinstance(found, float) else found} ]{tail}" if bracket else f"{text} -> {found} ]"
-
-
-def calculator_udf():
-    """The whole grammar, evaluated without eval."""
-    return F.pandas_udf(lambda s: s.map(_called, na_action="ignore"), T.StringType())
+    head, _, tail = text.partition("]")
+    return f"{head} -> {found} ]{tail}"
 
 
-def calculator(call: Column) -> Column:
-    """The binary calls 'Calculator(a op b)' of whole numbers, inside the JVM: the result before the bracket, else unchanged."""
-    pattern = r"Calculator\(\s*([0-9]{1,9})\s*([-+*/])\s*([0-9]{1,9})\s*\)"
-    a, op, b = (F.regexp_extract(call, pattern, i) for i in (1, 2, 3))
-    x, y = a.try_cast("bigint"), b.try_cast("bigint")
-    value = F.when(op == "+", (x + y).cast("string")).when(op == "-", (x - y).cast("string")).when(op == "*", (x * y).cast("string"))
-    value = value.when((op == "/") & (y != 0), F.format_string("%.2f", F.try_divide(x.cast("double"), y.cast("double"))))
-    return F.when(value.isNull(), call).otherwise(F.concat(F.substring_index(call, "]", 1), F.lit(" -> "), value, F.lit(" ]"), F.when(F.instr(call, "]") > 0, F.substring(call, F.instr(call, "]") + 1, F.length(call))).otherwise(F.lit(""))))
+def calculator(text: Column) -> Column:
+    """The text with its call answered before the first bracket that closes, or unchanged: no call, a lone number, or an
+    expression of anything but numbers, + - * / // % and brackets. Evaluated without eval; only texts with a call leave the JVM."""
+    answer = F.pandas_udf(lambda s: s.map(_called, na_action="ignore"), T.StringType())
+    return F.coalesce(answer(F.when(F.contains(text, F.lit("Calculator(")), text)), text)
 
 
 #: Name, month, and the day: a date, or (weekday 0=Monday, which one; -1 the last).

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ngrams
-from .ordered import running
+from .relational import running
 
 
 def token_overlap(a: Column, b: Column) -> Column:

@@ -8,26 +8,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.folds import per_row
-from .relational import numbered
-
-
-def running(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all rows before, in parallel: parts of the numbered rows are summed first."""
-    n = numbered(df, order, "_i").withColumn("_p", F.floor(F.col("_i") / 50_000))
-    before = n.groupBy("_p").agg(F.sum(value).alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    own = F.coalesce(F.sum(value).over(W.partitionBy("_p").orderBy("_i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return n.join(before, "_p").withColumn(out, F.col("_b") + own).drop("_p", "_b", "_i")
+from .relational import numbered, running
 
 
 def fixed_samples(df: DataFrame, order: list[str], tokens: str, length: int) -> DataFrame:
     """``(sample, tokens)``: the documents end to end, sample i the ``length`` + 1 tokens from i·length on. A token at a
     sample's border belongs to both. No fold: positions are prefix sums."""
-    placed = running(df.withColumn("_n", F.size(tokens)).where("_n > 0"), order, "_n", "_at")
-    t = placed.select("_at", F.posexplode(tokens).alias("_k", "token")).select((F.col("_at") + F.col("_k")).alias("p"), "token")
-    total = placed.agg(F.sum("_n")).collect()[0][0] or 0
-    both = F.when((F.col("p") % length == 0) & (F.col("p") > 0), F.array(F.floor(F.col("p") / length), F.floor(F.col("p") / length) - 1)).otherwise(F.array(F.floor(F.col("p") / length)))
-    t = t.select("p", "token", F.explode(both).alias("sample")).where(F.col("sample") < (total - 1) // length)
-    return t.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "token"))), lambda x: x["token"]).alias("tokens"))
+    placed = running(df.select(*order, F.col(tokens).alias("_t"), F.size(tokens).alias("_n")).where("_n > 0"), order, "_n", "_at", total="_total")
+    # a document is cut at the borders first, so that what is shuffled are arrays, a piece a sample it touches
+    first, last = F.floor(F.greatest(F.col("_at") - 1, F.lit(0)) / length), F.floor((F.col("_at") + F.col("_n") - 1) / length)
+    cut = placed.withColumn("sample", F.explode(F.sequence(first, last))).where(F.col("sample") < F.floor((F.col("_total") - 1) / length))
+    start = F.greatest(F.col("sample") * length - F.col("_at"), F.lit(0))
+    stop = F.least((F.col("sample") + 1) * length + 1 - F.col("_at"), F.col("_n"))
+    piece = F.slice("_t", (start + 1).cast("int"), F.greatest(stop - start, F.lit(0)).cast("int"))
+    cut = cut.select("sample", F.struct(F.col("_at").alias("at"), piece.alias("t")).alias("p")).where("size(p.t) > 0")
+    return cut.groupBy("sample").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"])).alias("tokens"))
 
 
 def split_by_position(df: DataFrame, order: list[str], weights: str) -> DataFrame:
@@ -35,12 +30,12 @@ def split_by_position(df: DataFrame, order: list[str], weights: str) -> DataFram
     rounding error taken from them all."""
     w = [float(x) for x in weights.replace("/", ",").split(",")][:3]
     w += [0.0] * (3 - len(w))
-    n, cuts = df.count(), [0]
+    cuts = [F.lit(0.0)]
     for x in w:
-        cuts.append(cuts[-1] + round(x / sum(w) * n))
-    cuts = [cuts[0], *[c - (cuts[-1] - n) for c in cuts[1:]]]
-    i = F.col("idx")
-    return numbered(df, order).withColumn("split", F.when(i < cuts[1], "train").when(i < cuts[2], "valid").otherwise("test"))
+        cuts.append(cuts[-1] + F.rint(F.lit(x / sum(w)) * F.col("_total")))
+    i, over = F.col("idx"), cuts[-1] - F.col("_total")
+    n = numbered(df, order, total="_total")
+    return n.withColumn("split", F.when(i < cuts[1] - over, "train").when(i < cuts[2] - over, "valid").otherwise("test")).drop("_total")
 
 
 def blend(df: DataFrame, source: str, order: list[str], weights: DataFrame) -> DataFrame:

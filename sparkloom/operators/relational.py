@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import checkpointed
+
 
 def _cols(order: list) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -20,17 +22,41 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return part.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*_cols(order)))).where(F.col("_rn") <= k).drop("_rn", "_salt")
 
 
-def numbered(df: DataFrame, order: list, out: str = "idx") -> DataFrame:
-    """Rows numbered from 0 over the whole table, in parallel: ranges of the order are counted, then each numbers its own.
-    ``order`` must leave no ties, or rows that tie are numbered either way.
+#: Bits of a row's number within its part, as ``monotonically_increasing_id`` gives them.
+_WITHIN = 33
+
+
+def _parts(df: DataFrame, order: list) -> tuple[DataFrame, Column, Column]:
+    """The rows ranged and sorted by ``order`` and written once, so that a row's part and its place there are fixed
+    whatever reads them later; with the columns of the part and the place. One shuffle."""
+    ranged = df.repartitionByRange(*_cols(order)).sortWithinPartitions(*_cols(order))
+    fixed = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()))
+    return fixed, F.shiftright("__id", _WITHIN), F.col("__id").bitwiseAND(F.lit((1 << _WITHIN) - 1))
+
+
+def numbered(df: DataFrame, order: list, out: str = "idx", total: str | None = None) -> DataFrame:
+    """Rows numbered from 0 over the whole table, in parallel: ranges of the order are counted, then each adds what lies
+    before it; ``total`` names a column for the number of all rows. ``order`` must leave no ties, or rows that tie are
+    numbered either way. Of a part only its count is shuffled, a row a part.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *_cols(order)).sortWithinPartitions(*_cols(order))
-    marked = ranged.withColumn("_part", F.spark_partition_id())
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = W.partitionBy("_part").orderBy(*_cols(order))
-    return marked.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.row_number().over(own) - 1).drop("_part", "_before")
+    fixed, part, place = _parts(df, order)
+    counts = fixed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("__total", F.sum("__n").over(W.partitionBy())).drop("__n")
+    got = fixed.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + place)  # a row a part
+    return (got.withColumn(total, F.col("__total")) if total else got).drop("__id", "__part", "__before", "__total")
+
+
+def running(df: DataFrame, order: list, value: str, out: str, total: str | None = None) -> DataFrame:
+    """Sum of ``value`` over all rows before, in parallel: the parts of the order are summed first. ``total`` names a column
+    for the sum of all rows."""
+    fixed, part, _ = _parts(df, order)
+    sums = fixed.groupBy(part.alias("__part")).agg(F.sum(value).alias("__s"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.withColumn("__total", F.sum("__s").over(W.partitionBy())).drop("__s")
+    own = F.coalesce(F.sum(value).over(W.partitionBy("__part").orderBy("__id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    got = fixed.withColumn("__part", part).withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + F.col("__own"))
+    return (got.withColumn(total, F.col("__total")) if total else got).drop("__id", "__part", "__own", "__before", "__total")
 
 
 def ordered_list(order: str, *cols: str) -> Column:
@@ -50,8 +76,7 @@ def weighted_loss(probabilities: Column, decay: float = 0.2, failed: float = 100
 
 def sharded(df: DataFrame, order: list, modulo: int, contiguous: int) -> DataFrame:
     """``modulo_shard`` by row number, ``contiguous_shard`` in runs of which the first ones are a row longer."""
-    n = numbered(df, order)
-    n = n.withColumn("_c", F.lit(df.count()))
+    n = numbered(df, order, total="_c")
     size, longer = F.floor(F.col("_c") / contiguous), F.col("_c") % contiguous
     edge = longer * (size + 1)
     run = F.when(F.col("idx") < edge, F.floor(F.col("idx") / (size + 1))).otherwise(longer + F.floor((F.col("idx") - edge) / F.greatest(size, F.lit(1))))

@@ -209,6 +209,6 @@ def u07_dedup(spark, sf):
 
 @query("SELECT DISTINCT regexp_replace(site, '\\.[a-z]+$', '') AS prefix FROM documents WHERE site IS NOT NULL")
 def u08_prefix_dedup(spark, sf):
-    return table(spark, sf, "documents").where("site is not null").select(F.regexp_replace("site", r"\.[a-z]+$", "").alias("prefix")).distinct()
+    return table(spark, sf, "documents").where("site is not null").select(F.regexp_replace("site", r"\.[a-z]+\z", "").alias("prefix")).distinct()
 
 

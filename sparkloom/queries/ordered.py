@@ -22,7 +22,7 @@ def records(spark, sf):
 @query(f"SELECT record_id, (coalesce(sum(len(input_ids)) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 4)::BIGINT AS pointer FROM {RECORDS}")
 def w01_prefix_pointers(spark, sf):
     r = records(spark, sf).select("record_id", F.size("input_ids").alias("n"))
-    return O.running(r, ["record_id"], "n", "before").select("record_id", (F.col("before") * 4).cast("bigint").alias("pointer"))
+    return R.running(r, ["record_id"], "n", "before").select("record_id", (F.col("before") * 4).cast("bigint").alias("pointer"))
 
 
 @query(f"""
@@ -55,8 +55,8 @@ def w05_document_index(spark, sf):
     r = records(spark, sf).select("record_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("epoch"))
     r = r.withColumn("mark", F.md5(F.concat_ws("-", F.col("epoch").cast("string"), F.col("record_id").cast("string"))))
     n = R.numbered(r, ["epoch", "mark"])
-    first = n.groupBy("epoch").agg(F.min("idx").alias("first"))
-    return n.join(first, "epoch").select("record_id", "epoch", (F.col("idx") - F.col("first")).cast("bigint").alias("at"))
+    first = n.groupBy("epoch").agg(F.min("idx").alias("first"))  # a row an epoch
+    return n.join(F.broadcast(first), "epoch").select("record_id", "epoch", (F.col("idx") - F.col("first")).cast("bigint").alias("at"))
 
 
 @query("SELECT doc_id, CASE WHEN i < 100 THEN 0 ELSE 100 END + row_number() OVER (PARTITION BY i >= 100 ORDER BY md5(doc_id::VARCHAR)) - 1 AS at FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)")
@@ -199,8 +199,8 @@ def flags(t):
 INDEXED = "(SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)"
 
 
-def indexed(spark, sf):
-    return R.numbered(table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), ["doc_id"], "i")
+def indexed(spark, sf, total=None):
+    return R.numbered(table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), ["doc_id"], "i", total)
 
 
 @query(f"SELECT doc_id, ((i // 50) * 50 + row_number() OVER (PARTITION BY i // 50 ORDER BY md5(doc_id::VARCHAR)) - 1)::BIGINT AS at FROM {INDEXED}")
@@ -222,10 +222,11 @@ def t03_batches(spark, sf):
 
 @query(f"SELECT rank, count(*) AS n FROM (SELECT (i % 3)::BIGINT AS rank FROM {INDEXED} UNION ALL SELECT r FROM (SELECT count(*) AS c FROM documents), range(0, 3) t(r) WHERE c % 3 > 0 AND r >= c % 3) GROUP BY rank")
 def t04_sampler_shard(spark, sf):
-    n = indexed(spark, sf)
-    c = n.count()
-    pad = spark.range(c % 3 or 3, 3).select(F.col("id").alias("rank"))
-    return n.select((F.col("i") % 3).cast("bigint").alias("rank")).unionByName(pad).groupBy("rank").agg(F.count("*").alias("n"))
+    n = indexed(spark, sf, "c")
+    # the last row stands for the shards it leaves short, so that no count is taken beforehand
+    short = F.when(F.col("i") == F.col("c") - 1, F.filter(F.sequence(F.lit(0), F.lit(2)), lambda r: (F.col("c") % 3 > 0) & (r >= F.col("c") % 3)))
+    ranks = F.concat(F.array((F.col("i") % 3).cast("int")), F.coalesce(short, F.array().cast("array<int>")))
+    return n.select(F.explode(ranks).alias("rank")).groupBy(F.col("rank").cast("bigint").alias("rank")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT doc_id, (i // 32)::BIGINT AS batch, ((i // 8) % 4)::BIGINT AS rank FROM {INDEXED} WHERE i >= 64")
@@ -237,9 +238,8 @@ def t05_distributed_batches(spark, sf):
 @query(f"""
     SELECT doc_id, x::BIGINT AS at FROM (SELECT doc_id, i AS x FROM {INDEXED} UNION ALL SELECT doc_id, (SELECT count(*) FROM documents) + i FROM {INDEXED} WHERE i < (16 - (SELECT count(*) FROM documents) % 16) % 16)""")
 def t06_wraparound(spark, sf):
-    n = indexed(spark, sf)
-    c = n.count()
-    return n.select("doc_id", F.col("i").alias("at")).unionByName(n.where(F.col("i") < (16 - c % 16) % 16).select("doc_id", (F.col("i") + c).alias("at"))).select("doc_id", F.col("at").cast("bigint").alias("at"))
+    i, c = F.col("i"), F.col("c")
+    return indexed(spark, sf, "c").select("doc_id", F.explode(F.when(i < (16 - c % 16) % 16, F.array(i, i + c)).otherwise(F.array(i))).alias("at")).withColumn("at", F.col("at").cast("bigint"))
 
 
 @query(f"SELECT tool, cand_id FROM (SELECT tool, cand_id, row_number() OVER (PARTITION BY tool ORDER BY loss_result, cand_id) AS rn FROM {CALLS} WHERE loss_result::VARCHAR <> 'nan' AND tool IS NOT NULL) WHERE rn <= 20")

@@ -9,13 +9,31 @@ from ..functions import predicates as P
 from ..operators import relational as R
 from ..registry import query, table
 
-# SQL pieces of the twins
-SCRIPT = P.OTHER_SCRIPTS
+# SQL pieces of the twins, written from the rules and not from the engine's own patterns
+SCRIPT = (
+    "[\\x{0600}-\\x{06FF}\\x{0900}-\\x{097F}\\x{4E00}-\\x{9FFF}]|[äöüß]|[ÄÖÜ]|[ñáéíóúü]|[ÁÉÍÓÚÜ]|"
+    "[ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯ]|[àáâãèéêìíòóôõùúăđĩũơư]"
+)
 LINES = "(SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 CALLS = "(SELECT DISTINCT * FROM call_candidates)"
-TOKENS = r"list_filter(regexp_split_to_array({0}, '[ \t\n\r\f]+'), lambda t: t <> '')"
-_DATES = "(" + " OR ".join([f"regexp_matches({{0}}, '{d}')" for d in P.DATES] + [f"contains(lower({{0}}), '{w.lower().replace(chr(39), chr(39) * 2)}')" for w in (*P.RELATIVE_DAYS, *P.HOLIDAYS)]) + ")"
-
+TOKENS = r"list_filter(regexp_split_to_array({0}, '[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}]+'), lambda t: t <> '')"
+_DIGITS = "'٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९０１２３４５６７８９', '" + "0123456789" * 4 + "'"
+_EDGES = r"(^|[^\p{L}\p{N}_])%s($|[^\p{L}\p{N}_])"
+_MONTHS = r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[\p{L}\p{N}_]*"
+_WHITE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]+"
+_PATTERNS = (
+    _EDGES % r"\p{Nd}{4}[-/]\p{Nd}{1,2}[-/]\p{Nd}{1,2}",
+    _EDGES % r"\p{Nd}{1,2}[-/]\p{Nd}{1,2}[-/]\p{Nd}{2,4}",
+    _EDGES % (r"\p{Nd}{1,2} ?" + _MONTHS + r" ?\p{Nd}{2,4}"),
+    _EDGES % (_MONTHS + r" \p{Nd}{1,2},? \p{Nd}{4}"),
+    rf"\p{{Nd}}{_WHITE}days{_WHITE}ago",
+    rf"in{_WHITE}\p{{Nd}}+{_WHITE}days",
+)
+_NAMES = (
+    "tomorrow", "today", "yesterday", "new year''s day", "martin luther king jr. day", "washington''s birthday", "memorial day", "juneteenth national independence day",
+    "independence day", "labor day", "columbus day", "veterans day", "thanksgiving", "christmas day",
+)
+_DATES = "(" + " OR ".join([f"regexp_matches({{0}}, '{d}')" for d in _PATTERNS] + [f"contains(lower({{0}}), '{w}')" for w in _NAMES]) + ")"
 
 
 def date_hit(col: str) -> str:
@@ -63,7 +81,7 @@ def p13_empty_drop(spark, sf):
                unnest(list_zip(range(len(ls)), ls)) AS u(t0), (SELECT t0[1] AS line_no, t0[2] AS line) AS t),
     n AS (SELECT doc_id, line_no, u.x[1] AS i, u.x[2] AS tok FROM (SELECT *, {TOKENS.format('line')} AS ts FROM l) q, unnest(list_zip(range(len(ts)), ts)) AS u(x)),
     v AS (SELECT doc_id, line_no, i, CASE WHEN right(tok, 1) = '%' THEN rtrim(tok, '%')::DOUBLE / 100 ELSE tok::DOUBLE END AS a
-          FROM n WHERE regexp_full_match(tok, '[-+]?[0-9]+(\.[0-9]+)?%?')),
+          FROM (SELECT doc_id, line_no, i, translate(tok, {_DIGITS}) AS tok FROM n WHERE regexp_full_match(tok, '[-+]?\p{{Nd}}+(\.\p{{Nd}}+)?%?'))),
     w AS (SELECT *, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(i, 2) OVER o - i AS span FROM v WINDOW o AS (PARTITION BY doc_id, line_no ORDER BY i))
     SELECT DISTINCT doc_id, line_no::INTEGER AS line_no FROM w WHERE span < 100 AND NOT (a < 100 AND b < 100 AND c < 100) AND (
       {" OR ".join(f"{x}+{y}={z} OR {x}-{y}={z} OR {x}*{y}={z} OR (CASE WHEN {y}=0 THEN false ELSE {x}/{y}={z} END)" for x, y, z in ("abc", "acb", "bac", "bca", "cab", "cba"))})""")

@@ -40,7 +40,7 @@ def masked_facts(spark: SparkSession, path: str) -> DataFrame:
     """The first masked sentence of either shape, where the mask ends it; cut before the mask."""
     df = spark.read.schema("masked_sentences ARRAY<STRING>, evidences ARRAY<STRUCT<masked_sentence: STRING>>, obj_label STRING").json(path)
     s = F.coalesce(F.get("masked_sentences", F.lit(0)), F.get("evidences", F.lit(0))["masked_sentence"])
-    return df.select(s.alias("s"), F.array("obj_label").alias("answers")).where(F.col("s").rlike(r"\[MASK\]\s*[.,!?]?$")).select(F.concat(F.lit("Complete: "), F.trim(F.substring_index("s", "[MASK]", 1))).alias("question"), "answers")
+    return df.select(s.alias("s"), F.array("obj_label").alias("answers")).where(F.col("s").rlike(r"\[MASK\]\s*[.,!?]?\z")).select(F.concat(F.lit("Complete: "), F.trim(F.substring_index("s", "[MASK]", 1))).alias("question"), "answers")
 
 
 def web_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +80,7 @@ def delimited(spark: SparkSession, path: str, columns: dict[str, int], skip: int
 
 def text_lines(spark: SparkSession, path: str, out: str = "text") -> DataFrame:
     """Lines with their number in the file: ``file, line_no, text``."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r?\n$", ""), "\r?\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n").alias("lines"))
     return whole.select("file", F.posexplode("lines").alias("line_no", out))
 
 

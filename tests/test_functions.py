@@ -42,11 +42,27 @@ def test_calculate(e, want):
 
 
 def test_calculator_calls(spark):
-    rows = ["[ Calculator(18 + 12 * 3) ]", "no call", "[ Calculator(5) ]", "[ Calculator(1+", "[ Calculator(8 / 4)", None]
-    df = spark.createDataFrame([(r,) for r in rows], "v string").select(tools.calculator_udf()("v").alias("r"))
-    assert [r.r for r in df.collect()] == ["[ Calculator(18 + 12 * 3)  -> 54 ]", "no call", "[ Calculator(5) ]", "[ Calculator(1+", "[ Calculator(8 / 4) -> 2.0 ]", None]
-    assert one(spark, "[ Calculator(7 / 2) ]", "string", tools.calculator) == "[ Calculator(7 / 2)  -> 3.50 ]"
-    assert one(spark, "[ Calculator(7 / 0) ]", "string", tools.calculator) == "[ Calculator(7 / 0) ]"
+    rows = ["[ Calculator(18 + 12 * 3) ]", "no call", "[ Calculator(5) ]", "[ Calculator(1+", "[ Calculator(8 / 4)", None, "[ Calculator(7 / 2) ] and more", "[ Calculator(7 / 0) ]", "[ Calculator(-12.5%) ]", "[ Calculator(1 + 1) ] (2) ]"]
+    df = spark.createDataFrame([(r,) for r in rows], "v string").select(tools.calculator(F.col("v")).alias("r"))
+    want = ["[ Calculator(18 + 12 * 3)  -> 54 ]", "no call", "[ Calculator(5) ]", "[ Calculator(1+", "[ Calculator(8 / 4) -> 2.0 ]", None, "[ Calculator(7 / 2)  -> 3.5 ] and more", *rows[7:]]
+    assert [r.r for r in df.collect()] == want
+
+
+@pytest.mark.parametrize("t", ["2024-07-08", "on 2024/07/08.", "08-07-2024", "8/7/24", "8 Jul 2024", "8July2024", "July 8 2024", "Jul 8, 2024", "3 days ago", "in 5  days", "TODAY", "at thanksgiving time", "१२-०७-२०२४"])
+def test_date_texts(spark, t):
+    assert one(spark, t, "string", predicates.date_text) is True
+
+
+@pytest.mark.parametrize("t", ["Monday", "x2024-07-08", "2024-07-081", "8.7.2024", "8 jul 2024", "July 8th 2024", "days ago", "in five days", ""])
+def test_no_date_texts(spark, t):
+    assert one(spark, t, "string", predicates.date_text) is False
+
+
+def test_other_script_letters(spark):
+    for c in "àãèìòõùĩũÀÃÉÍÑÓÜÚßäñéĂĐƠƯعअ中":
+        assert one(spark, f"a{c}b", "string", predicates.other_script) is (c != "Ñ"), c
+    for c in "¿¡ếạÑçøåЖ日本語"[:-3] + "ひ":
+        assert one(spark, f"a{c}b", "string", predicates.other_script) is False, c
 
 
 def test_calendar(spark):
@@ -115,6 +131,28 @@ def test_numbered_and_top_k(spark):
     assert relational.numbered(df.limit(0), ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("parts", ["3", "64"])
+def test_numbers_of_many_rows(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        # more rows than the sample behind the ranges, in more partitions than one; the number is read apart from other columns
+        df = spark.range(60_000, numPartitions=9).select(F.xxhash64("id").alias("k"), (F.col("id") % 5).alias("v"), F.md5(F.col("id").cast("string")).alias("wide"))
+        rows = sorted((r.k, r.v) for r in df.collect())
+        n = relational.numbered(df, ["k"], total="all")
+        assert n.select("idx").distinct().count() == 60_000
+        assert sorted((r.idx, r.k, r.all) for r in n.select("idx", "k", "all").collect()) == [(i, k, 60_000) for i, (k, _) in enumerate(rows)]
+        got = {r.k: r.b for r in relational.running(df, ["k"], "v", "b").select("k", "b").collect()}
+        total = 0
+        for k, v in rows:
+            assert got[k] == total
+            total += v
+        down = relational.numbered(df.select("k"), [F.desc("k")])
+        assert [r.k for r in down.where("idx < 3").orderBy("idx").collect()] == [k for k, _ in rows[::-1][:3]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_fuzzy_pairs_match_all_pairs(spark):
     rnd = random.Random(3)
     a = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
