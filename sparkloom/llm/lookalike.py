@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .glyphs import one_form
-from .shared import checkpointed
+from .shared import across, checkpointed
 from .words import MIN_WORDS
 
 _WORD = r"(?:\p{IsHan}|[\p{L}\p{M}\p{Nd}&&[^\p{IsHan}]]++)"
@@ -23,7 +23,8 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """Every two documents with one form and different stored characters: ``(doc_id_a, doc_id_b)``, the smaller id first.
 
     Documents under ``MIN_WORDS`` words, null and empty ones are left out; a repeated row counts once. Only digests are
-    shuffled. Distinct stored texts are paired first, so copies cost nothing beyond the pairs they stand for.
+    shuffled. Distinct stored texts are paired first, so copies cost nothing beyond the pairs they stand for; those of
+    a text with very many copies meet in blocks.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
     forms = docs.select("doc_id", F.md5("text").alias("stored"), one_form(F.col("text")).alias("form")).where(F.col("form").rlike(_LONG_ENOUGH))
@@ -31,8 +32,7 @@ def look_alike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     kinds = keyed.select("form", "stored").distinct()
     several = kinds.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     kinds = kinds.join(several, "form")
-    pairs = kinds.join(kinds.select("form", F.col("stored").alias("other")), "form").where("stored < other").select("stored", "other")
-    left = keyed.select("stored", F.col("doc_id").alias("a"))
-    right = keyed.select(F.col("stored").alias("other"), F.col("doc_id").alias("b"))
-    found = pairs.join(left, "stored").join(right, "other").where("a <> b")
-    return found.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+    pairs = checkpointed(kinds.join(kinds.select("form", F.col("stored").alias("other")), "form").where("stored < other").select(F.col("stored").alias("a"), F.col("other").alias("b")))
+    told = keyed.join(kinds.select("stored"), "stored", "left_semi").select("stored", "doc_id")
+    found = across(pairs, checkpointed(told), "stored", "doc_id").where("left <> right")
+    return found.select(F.least("left", "right").alias("doc_id_a"), F.greatest("left", "right").alias("doc_id_b")).distinct()

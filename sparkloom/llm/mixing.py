@@ -1,9 +1,9 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every use of a document waits in its source's queue, shuffled by a hash; its virtual finish time is the source's
-characters up to and with it over the source's weight. All uses are then ordered by that time, over ranges of it,
-and the mix ends where the budget is full. A source with too little is used again, up to its cap, and what it
-still lacks goes to the others by their weights.
+characters up to and with it over the source's weight. All uses are then range-sorted by that time, and the mix ends
+where the budget is full. A source with too little is used again, up to its cap, and what it still lacks goes to the
+others by their weights. The sources' totals say beforehand which time the mix can reach at most; later uses never wait.
 """
 
 from __future__ import annotations
@@ -12,38 +12,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.relational import running
 from .shared import checkpointed
 
-#: Queue entries in one slice of a running sum, about.
-SLICE = 50_000
-
 
 def source_key(source: Column) -> Column:
     """Sources compare without letter case and outer blanks."""
     return F.lower(F.regexp_replace(source, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
-def _running(rows: DataFrame, keys: list[str], at: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Running sum of ``value`` within ``keys`` in the order of (``at``, ``order``), ``at`` a slice number: slices are
-    summed first, so that no task holds more than a slice."""
-    sums = rows.groupBy(*keys, at).agg(F.sum(value).alias("_sum"))
-    before = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    own = W.partitionBy(*keys, at).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.join(sums, [*keys, at]).withColumn(out, F.col("_before") + F.sum(value).over(own)).drop("_before")
+def last_finish(supply: list[tuple[float, float]], budget: float) -> float:
+    """The virtual time at which sources of (weight, characters there are) have served the budget together, each at its
+    weight until it runs out; the time the last runs out if they hold less."""
+    done = time = 0.0
+    waiting = sorted((have / w, w) for w, have in supply if have > 0)
+    for i, (end, _) in enumerate(waiting):
+        rate = sum(w for _, w in waiting[i:])
+        if done + (end - time) * rate >= budget:
+            return time + (budget - done) / rate
+        done, time = done + (end - time) * rate, end
+    return time
+
+
+def _rounds(uses: list[tuple[int, float]], wanted: float) -> int:
+    """How many uses of each document are needed at most for ``wanted`` characters, of (uses, characters) of documents."""
+    have, n = 0.0, 0
+    left = sum(chars for _, chars in uses)
+    for k, chars in sorted(uses):
+        if left > 0 and have + (k - n) * left >= wanted:
+            return n + int(-(-(wanted - have) // left))
+        have, n, left = have + (k - n) * left, k, left - chars
+    return n
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(uses, report). A use is ``doc_id, source, use_no, n_chars, finish, start``: the document's place in the mix by
     ``start``, its first character. The report has a row a source of ``targets``: ``source, target_chars,
-    available_chars, used_chars, target_share, actual_share, reachable``.
+    available_chars, used_chars, target_share, actual_share, ran_out, reachable``.
 
     The budget is the characters (code points) of all documents of a source in ``targets``. A text is used at most
-    ``max_repeats`` times, counted over all its copies in the source, so copies don't lift the cap; ``reachable`` asks
-    only whether ``max_repeats`` times the source's characters are the target or more. Documents of other or null
-    sources, null and empty texts are no part of the mix; a repeated id is one document. Targets without a positive
-    weight are left out, of several rows of a source the first by weight and cap holds. The last use is kept whole
-    if it starts before the budget's end.
+    ``max_repeats`` times, counted over all its copies in the source, so copies don't lift the cap. ``ran_out`` says that
+    every use a source has stands in the mix and its share is still not reached; a source that ran out is ``reachable``
+    if only the cap over copies kept it from its share, that is if ``max_repeats`` times its characters are the target or
+    more. Documents of other or null sources, null and empty texts are no part of the mix; a repeated id is one document.
+    Targets without a positive weight are left out, of several rows of a source the first by weight and cap holds. The
+    last use is kept whole if it starts before the budget's end.
     """
     goals = targets.select(source_key(F.col("source")).alias("source"), F.struct("weight", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("cap")).alias("g")).where("source is not null and weight > 0")
     goals = goals.groupBy("source").agg(F.min("g").alias("g")).select("source", "g.weight", "g.cap")
@@ -51,52 +64,57 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, id_col: str =
     goals = checkpointed(goals.withColumn("share", F.col("weight") / F.sum("weight").over(whole)))
 
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), F.length(text_col).cast("bigint").alias("n_chars"), F.unhex(F.md5(text_col)).alias("digest"))
-    docs = docs.where("n_chars > 0").join(goals, "source").groupBy("source", "weight", "cap", "share", "doc_id").agg(F.min(F.struct("digest", "n_chars")).alias("d"))
-    docs = checkpointed(docs.select("source", "weight", "cap", "share", "doc_id", "d.digest", "d.n_chars"))
-    stock = docs.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.count("*").alias("docs"))
-    stock = goals.join(stock, "source", "left").fillna(0, ["chars", "docs"]).withColumn("budget", F.sum("chars").over(whole))
-    # alone, no source would be served longer than this; and so many uses wait at most
-    longest = F.least("budget", F.col("chars") * F.col("cap")) / F.col("weight")
-    stock = checkpointed(stock.withColumns({"last": F.max(longest).over(whole), "uses": F.sum(F.col("docs") * F.col("cap")).over(whole)}))
+    docs = docs.where("n_chars > 0").join(goals, "source").groupBy("source", "weight", "cap", "doc_id").agg(F.min(F.struct("digest", "n_chars")).alias("d"))
+    docs = checkpointed(docs.select("source", "weight", "cap", "doc_id", "d.digest", "d.n_chars"))
+    stock = docs.groupBy("source").agg(F.sum("n_chars").alias("chars"))
+    stock = checkpointed(goals.join(stock, "source", "left").fillna(0, ["chars"]).withColumn("budget", F.sum("chars").over(whole)))
 
     # copies of a text take turns: the copy of rank j has the uses j, j + copies, ... below the cap; ranks beyond the cap have none
-    first = W.partitionBy("source", "digest").orderBy("doc_id")
-    copies = docs.groupBy("source", "digest").agg(F.count("*").alias("copies"))
-    lone = docs.join(copies.where("copies > 1"), ["source", "digest"], "left_anti").withColumn("rank", F.lit(1)).withColumn("copies", F.lit(1).cast("bigint"))
+    several = docs.groupBy("source", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
+    known = docs.join(several, ["source", "digest"], "left")
+    lone = known.where("copies is null").withColumn("rank", F.lit(1)).withColumn("copies", F.lit(1).cast("bigint"))
     # of each hash slice of the copies only the first `cap` ids can matter, so a text with very many copies is cut down in parallel
-    shared = docs.join(copies.where("copies > 1"), ["source", "digest"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    shared = known.where("copies is not null").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     shared = shared.withColumn("rank", F.row_number().over(W.partitionBy("source", "digest", "part").orderBy("doc_id"))).where("rank <= cap").drop("part")
-    shared = shared.withColumn("rank", F.row_number().over(first)).where("rank <= cap")
+    shared = shared.withColumn("rank", F.row_number().over(W.partitionBy("source", "digest").orderBy("doc_id"))).where("rank <= cap")
     cols = ["source", "weight", "cap", "doc_id", "n_chars", "rank", "copies"]
     queue = lone.select(cols).unionByName(shared.select(cols)).where("cap > 0")
-    queue = queue.withColumn("use_no", F.explode(F.sequence(F.lit(1), F.ceil((F.col("cap") - F.col("rank") + 1) / F.least("copies", F.col("cap").cast("bigint"))).cast("int"))))
-    queue = queue.withColumn("mark", F.xxhash64(F.lit(seed), "source", "doc_id"))
-    size = stock.select("source", "budget", "last", "uses", F.greatest(F.lit(1), F.ceil(F.col("docs") / SLICE)).alias("slices"))
-    queue = queue.join(size, "source")
-    # the sign bit flipped, the mark runs from 0 to 1 in the order of the marks
-    queue = queue.withColumn("slice", F.floor((F.col("mark") / F.lit(2.0**64) + 0.5) * F.col("slices")) + F.col("use_no") * (F.col("slices") + 1))
-    queue = _running(queue, ["source"], "slice", ["mark", "doc_id"], "n_chars", "served")
-    queue = queue.withColumn("finish", F.col("served") / F.col("weight"))
-
-    # slices of virtual time of equal width
-    queue = queue.where(F.col("served") - F.col("n_chars") < F.col("budget"))
-    queue = queue.withColumn("range", F.floor(F.col("finish") / F.greatest("last", F.lit(1e-9)) * F.greatest(F.lit(1), F.ceil(F.col("uses") / SLICE * 4))))
-    queue = queue.withColumn("one", F.lit(1))
-    ordered = _running(queue, ["one"], "range", ["finish", "source", "doc_id", "use_no"], "n_chars", "end")
-    uses = ordered.withColumn("start", F.col("end") - F.col("n_chars")).where("start < budget")
-    uses = checkpointed(uses.select("doc_id", "source", "use_no", "n_chars", "finish", "start"))
+    queue = checkpointed(queue.withColumn("uses", F.ceil((F.col("cap") - F.col("rank") + 1) / F.least("copies", F.col("cap").cast("bigint"))).cast("int")))
+
+    # a row a source and number of uses, so as many as sources and caps allow
+    totals = queue.groupBy("source", "uses").agg(F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest")).collect()
+    facts = {r.source: r for r in stock.select("source", "weight", "budget").collect()}
+    by = {s: [(r.uses, float(r.chars)) for r in totals if r.source == s] for s in facts}
+    supply = {s: sum(k * n for k, n in by[s]) for s in facts}
+    # what is cut at a use's end may lack a use of each source
+    slack = sum(max((r.longest for r in totals if r.source == s), default=0) for s in facts)
+    latest = last_finish([(facts[s].weight, supply[s]) for s in facts], max((r.budget for r in facts.values()), default=0) + slack)
+    limits = documents.sparkSession.createDataFrame([(s, _rounds(by[s], facts[s].weight * latest), int(supply[s])) for s in facts], "source string, rounds int, supply bigint")
+
+    queue = queue.join(F.broadcast(limits), "source")  # a row a source of targets
+    queue = queue.select("source", "weight", "doc_id", "n_chars", F.explode(F.sequence(F.lit(1), F.least("uses", F.greatest("rounds", F.lit(1))))).alias("use_no"), F.xxhash64(F.lit(seed), "source", "doc_id").alias("mark"))
+    queue = running(queue, ["source", "use_no", "mark", "doc_id"], "n_chars", "before")
+    begins = queue.groupBy("source").agg(F.min("before").alias("begin"))
+    queue = queue.join(F.broadcast(begins), "source").withColumn("served", F.col("before") - F.col("begin") + F.col("n_chars"))
+    queue = queue.withColumn("finish", F.col("served") / F.col("weight")).where((F.col("served") - F.col("n_chars")) / F.col("weight") <= F.lit(latest))
+    queue = running(queue.select("doc_id", "source", "use_no", "n_chars", "finish"), ["finish", "source", "doc_id", "use_no"], "n_chars", "start")
+    budget = max((r.budget for r in facts.values()), default=0)
+    uses = queue.where(F.col("start") < budget).select("doc_id", "source", "use_no", "n_chars", "finish", "start")
 
     used = uses.groupBy("source").agg(F.sum("n_chars").alias("used_chars"))
-    report = stock.join(used, "source", "left").withColumn("all_used", F.sum("used_chars").over(whole)).select(
+    report = stock.join(limits, "source").join(used, "source", "left").withColumn("used_chars", F.coalesce("used_chars", F.lit(0))).withColumn("all_used", F.sum("used_chars").over(whole))
+    target = F.col("share") * F.col("budget")
+    report = report.withColumn("ran_out", (F.col("used_chars") >= F.col("supply")) & (F.col("used_chars") < target))
+    return uses, report.select(
         "source",
-        (F.col("share") * F.col("budget")).alias("target_chars"),
+        target.alias("target_chars"),
         F.col("chars").alias("available_chars"),
-        F.coalesce("used_chars", F.lit(0)).alias("used_chars"),
+        "used_chars",
         F.col("share").alias("target_share"),
-        F.coalesce(F.col("used_chars") / F.col("all_used"), F.lit(0.0)).alias("actual_share"),
-        (F.col("cap") * F.col("chars") >= F.col("share") * F.col("budget")).alias("reachable"),
+        F.coalesce(F.try_divide(F.col("used_chars").cast("double"), F.col("all_used").cast("double")), F.lit(0.0)).alias("actual_share"),
+        "ran_out",
+        (~F.col("ran_out") | (F.col("cap") * F.col("chars") >= target)).alias("reachable"),
     )
-    return uses, report
 
 
 def mixed_texts(uses: DataFrame, documents: DataFrame) -> DataFrame:

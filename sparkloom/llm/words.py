@@ -19,7 +19,7 @@ _ASCII = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32
 _HAN = regex.compile(r"\p{Han}")
 _BEYOND = re.compile("[\U00010000-\U0003ffff]")
 _ANY_RUN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{Nd}--\p{Han}]+", regex.V1)
-_OTHER_SCRIPTS = re.compile(f"[{chr(0x370)}-{chr(0x52F)}]")
+_OTHER_SCRIPTS = re.compile("[\u0370-\u058f\u13a0-\u13ff\uab70-\uabbf]")
 #: A capital that looks Latin makes its small letter equal to the small Latin one, where case is set aside.
 _SMALL = str.maketrans({a.lower(): b.lower() for a, b in look_alikes().items() if a.lower() != b.lower()})
 _PATTERNS: list[re.Pattern] = []
