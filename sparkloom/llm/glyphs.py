@@ -98,12 +98,19 @@ class Transducer:
                 for h in map(chr, range(0xFF66, 0xFF9E)):
                     if unicodedata.normalize("NFKC", h) == half[0]:
                         self.table[h + ("ﾞ" if half[1] == "゙" else "ﾟ")] = c
-        single = _charclass(c for c in self.table if len(c) == 1)
-        joins = _charclass({*marks, *_INVISIBLE, *_SELECTORS, *_TAGS, _KEYCAP, "ﾞ", "ﾟ", *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))})
+        single = {c for c in self.table if len(c) == 1}
+        joins = {*marks, *_INVISIBLE, *_SELECTORS, *_TAGS, _KEYCAP, "ﾞ", "ﾟ", *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
         pict = _charclass(chr(c) for x, y in _PICT for c in range(x, y + 1))
         part = f"[{pict}]{chr(0xFE0F)}?[{chr(0x1F3FB)}-{chr(0x1F3FF)}]?"
-        self._find = re.compile(f"{part}(?:{_ZWJ}{part})+|[^{joins}][{joins}]+|[{single}]|[{joins}]+", re.DOTALL)
-        self._any = re.compile(f"[{joins}{single}]")
+
+        def patterns(single: str, joins: str) -> tuple[re.Pattern, re.Pattern]:
+            return re.compile(f"[{joins}{single}]"), re.compile(f"{part}(?:{_ZWJ}{part})+|[^{joins}][{joins}]+|[{single}]|[{joins}]+", re.DOTALL)
+
+        # classes within the basic plane are looked up at once, others range by range; few texts need those
+        self._basic = patterns(*(_charclass(c for c in x if c <= "\uffff") for x in (single, joins)))
+        self._full = patterns(_charclass(single), _charclass(joins))
+        self._far = frozenset(c for c in single | joins if c > "\uffff")
+        self._beyond = re.compile("[\U00010000-\U0010ffff]")
         self._pict = re.compile(f"[{pict}]")
         self._memo: dict[str, str] = dict(self.table)
         self._fixed = len(self._memo)
@@ -138,13 +145,16 @@ class Transducer:
         return out
 
     def apply(self, text: str | None) -> str | None:
-        if text is None or text.isascii() or not self._any.search(text):
+        if text is None or text.isascii():
             return text
-        return self._find.sub(self._replace, text)
+        far = self._beyond.search(text) and not self._far.isdisjoint(self._beyond.findall(text))
+        touched, find = self._full if far else self._basic
+        return find.sub(self._replace, text) if touched.search(text) else text
 
     def conflicts(self) -> list[str]:
         """Rules whose output would be rewritten again; empty for a sound table."""
-        return [k for k, v in self.table.items() if v and self._find.sub(self._replace, v) != v]
+        find = self._full[1]
+        return [k for k, v in self.table.items() if v and find.sub(self._replace, v) != v]
 
 
 def _charclass(chars) -> str:

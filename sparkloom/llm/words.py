@@ -17,7 +17,8 @@ MIN_WORDS = 12
 
 _ASCII = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(256))
 _HAN = regex.compile(r"\p{Han}")
-_BEYOND = re.compile("[\U00010000-\U0003ffff]")
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_IN_WORDS = {"Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd"}
 _ANY_RUN = regex.compile(r"\p{Han}|[\p{L}\p{M}\p{Nd}--\p{Han}]+", regex.V1)
 _OTHER_SCRIPTS = re.compile("[\u0370-\u058f\u13a0-\u13ff\uab70-\uabbf]")
 #: A capital that looks Latin makes its small letter equal to the small Latin one, where case is set aside.
@@ -49,7 +50,9 @@ def words(text: str | None) -> list[bytes]:
     if _OTHER_SCRIPTS.search(low):
         low = low.translate(_SMALL)
     if _BEYOND.search(low):
-        return " ".join(_ANY_RUN.findall(low)).encode().split()
+        if any(unicodedata.category(c) in _IN_WORDS for c in set(_BEYOND.findall(low))):
+            return " ".join(_ANY_RUN.findall(low)).encode().split()
+        low = _BEYOND.sub(" ", low)  # emoji and the like
     gap, han = _patterns()
     low = gap.sub(" ", low)
     if han.search(low):
