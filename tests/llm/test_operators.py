@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import encoding, glyphs, leakage, lookalike, mixing, neardup, packing, quality
+from sparkloom.llm import encoding, glyphs, leakage, lookalike, mixing, neardup, packing, quality, shared
 from sparkloom.llm.words import shingles, words
 
 DOCS = "doc_id bigint, text string, lang string, source string, site string"
@@ -129,14 +129,40 @@ def test_rtree_finds_what_the_bound_allows():
         assert set(np.flatnonzero(ok).tolist()) <= got
 
 
-def test_large_cells_go_through_trees(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LEAF", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+def test_large_cells_are_set_aside():
     cell = np.array([7] * 5 + [9] * 2, np.uint32)
-    a, b, c, m = neardup._leaf_pairs(cell, np.array([5, 1, 2, 3, 4, 8, 9], np.uint64))
+    a, b, c, m = neardup._leaf_pairs(cell, np.array([5, 1, 2, 3, 4, 8, 9], np.uint64), largest=3)
     assert (a.tolist(), b.tolist()) == ([8], [9]) and m.tolist() == [1, 2, 3, 4, 5]
 
 
+def versions(rnd, n, length=60):
+    """Texts of one family: most are within the threshold of each other, some aren't, in three sizes."""
+    base = [f"w{i}" for i in range(length)]
+    return [(i, " ".join(edited(rnd, base[: length - i % 3 * (length // 4)], i % 9)), None) for i in range(n)]
+
+
+@pytest.mark.parametrize("limits", [{"cell": 2, "block": 5}, {"cell": 2, "block": 1000}, {"hot": 4, "block": 7}, {"cell": 300}])
+def test_cells_in_blocks_of_trees_lose_nothing(spark, limits):
+    rows = versions(random.Random(4), 90)
+    assert pairs(neardup.duplicate_pairs(docs(spark, rows), **limits)) == brute([(i, t) for i, t, _ in rows])
+
+
+def test_one_id_with_two_texts(spark):
+    rows = versions(random.Random(6), 6)
+    rows += [(1, rows[0][1], None), (7, rows[3][1], None)]
+    got = pairs(neardup.duplicate_pairs(docs(spark, rows)))
+    assert len(got) == len(set(got)) and (3, 7) in got and {(a, b) for a, b in brute([(i, t) for i, t, _ in rows[:6]])} <= set(got)
+
+
+def test_pairs_of_groups_in_blocks(spark):
+    members = spark.createDataFrame([(k, i) for k, n in ((1, 40), (2, 1), (3, 13)) for i in range(k * 100, k * 100 + n)], "g int, m int")
+    by = {k: range(k * 100, k * 100 + n) for k, n in ((1, 40), (2, 1), (3, 13))}
+    links = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    for block in (5, 100):
+        assert pairs(shared.within(members, "g", "m", block)) == sorted((x, y) for g in by.values() for x in g for y in g if x < y)
+        assert pairs(shared.across(links, members, "g", "m", block)) == sorted((x, y) for a, b in ((1, 2), (1, 3)) for x in by[a] for y in by[b])
+
+
 # --- quality ---
 
 
@@ -175,12 +201,12 @@ def packed(spark, rows, **kw):
     return packing.pack(records, spark.createDataFrame(LIMITS, "tool string, max_length int"), **kw)
 
 
-@pytest.mark.parametrize("backfill", [True, False])
-def test_packing_invariants(spark, backfill):
+@pytest.mark.parametrize("fill", [True, False])
+def test_packing_invariants(spark, fill):
     rnd = random.Random(4)
     rows = [(i, rnd.choice("ab"), [1] * rnd.choice([0, 1, 5, 30, 51, 100, 101, 350]), 0, 0) for i in range(400)]
     rows += rows[:30] + [(500, None, [1], 0, 0), (501, "c", [1], 0, 0), (502, "zz", [1, 2], 0, 0), (503, "a", None, 0, 0), (None, "a", [1], 0, 0), (504, "a", [1] * 20_000, 0, 0)]
-    got = packed(spark, rows, backfill=backfill, share=100).toPandas()
+    got = packed(spark, rows, fill=fill, share=100).toPandas()
     assert set(got.record_id) == {r[0] for r in rows if r[0] is not None}
     inside = got[got.container_id.notna()]
     size = {r[0]: len(r[2] or []) for r in rows}
@@ -192,9 +218,21 @@ def test_packing_invariants(spark, backfill):
 
 
 def test_harmonic_classes_hold_a_fixed_count():
-    box, _, used = packing.harmonic(np.array([60, 51, 40, 34, 49, 30, 26, 33]), 100)
+    box, _, used = packing.harmonic(np.array([60, 51, 40, 34, 49, 30, 26, 33]), 100, fill=False)
     assert np.bincount(box).tolist() == [1, 1, 2, 1, 3] and used == 5
-    assert packing.backfilled(np.array([60, 40, 50, 50, 25, 75]), 100)[2] == 3
+    # 49 fills the room beside 51, 40 that beside 60; of class 3 the last opens a container
+    box, start, used = packing.harmonic(np.array([60, 51, 40, 34, 49, 30, 26, 33]), 100)
+    assert used == 4 and box[0] == box[2] and box[1] == box[4] and box[3] == box[5] == box[7] and start[2] == 60
+    assert packing.harmonic(np.array([60, 40, 50, 50, 25, 75]), 100)[2] == 3
+    assert packing.harmonic(np.array([], np.int64), 100)[2] == 0
+
+
+def test_filling_leaves_little_unused():
+    rng = np.random.default_rng(1)
+    n = np.minimum(rng.geometric(0.02, 5000), 256)
+    for fill, most in ((True, 0.01), (False, 0.4)):
+        used = packing.harmonic(n, 256, fill)[2]
+        assert 1 - n.sum() / (used * 256) < most
 
 
 def test_packing_nothing(spark):
@@ -229,6 +267,39 @@ def test_mix_hits_reachable_shares(spark):
     assert all(abs(r.actual_share - r.target_share) < 0.002 for r in report.collect())
 
 
+@pytest.mark.parametrize("weights", [(1000.0, 1.0, 5.0), (1.0, 1.0, 1.0), (0.1, 900.0, 3.0)])
+def test_mix_matches_all_uses_sorted(spark, weights):
+    rnd = random.Random(11)
+    rows = [(i, "z" * rnd.randrange(1, 60) + str(i), "abc"[min(2, i % 5)]) for i in range(300)]
+    caps = (2, 40, 1)
+    targets = spark.createDataFrame([(s, w, c) for s, w, c in zip("abc", weights, caps, strict=True)], "source string, weight double, max_repeats int")
+    uses, report = mixing.mix(docs(spark, rows), targets, seed=7)
+    mark = {r.doc_id: r.m for r in docs(spark, rows).select("doc_id", F.xxhash64(F.lit(7), "source", "doc_id").alias("m")).collect()}
+    queue, budget = [], sum(len(t) for _, t, _ in rows)
+    for s, w, c in zip("abc", weights, caps, strict=True):
+        served = 0
+        for use in range(1, c + 1):
+            for i, t, own in sorted(rows, key=lambda r: (mark[r[0]], r[0])):
+                if own == s:
+                    served += len(t)
+                    queue.append((served / w, s, i, use, len(t)))
+    want, start = [], 0
+    for finish, s, i, use, n in sorted(queue):
+        if start < budget:
+            want.append((i, s, use, n, finish, start))
+        start += n
+    assert sorted(map(tuple, uses.collect())) == sorted(want)
+    by = {r.source: r for r in report.collect()}
+    for s, w, c in zip("abc", weights, caps, strict=True):
+        have = sum(len(t) for _, t, own in rows if own == s)
+        assert by[s].reachable == (c * have >= w / sum(weights) * budget) and by[s].ran_out == (not by[s].reachable)
+
+
+def test_virtual_time_and_rounds():
+    assert mixing.last_finish([(1, 10), (3, 6)], 8) == 2 and mixing.last_finish([(1, 10), (3, 6)], 100) == 10 and mixing.last_finish([], 5) == 0
+    assert mixing._rounds([(1, 10.0), (4, 5.0)], 15) == 1 and mixing._rounds([(1, 10.0), (4, 5.0)], 16) == 2 and mixing._rounds([(1, 10.0), (4, 5.0)], 99) == 4
+
+
 # --- encoding ---
 
 
