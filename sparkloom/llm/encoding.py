@@ -17,6 +17,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +108,14 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return _ENCODERS[path]
 
 
+def _there(path: str) -> str:
+    """The file on this machine: at its path, or as the session sent it."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(_there(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -128,6 +134,8 @@ def _run(path: str):
 
 def encode_corpus(documents: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` of every row, repeated rows too, in one pass without a shuffle. Null and empty texts have no ids, an empty list.
-    The vocabulary file must lie at that path on every worker; it is not copied."""
+    Workers that lack the vocabulary file at its path get it from the session."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    if os.path.exists(vocabulary):
+        documents.sparkSession.sparkContext.addFile(os.fspath(vocabulary))
     return docs.mapInArrow(_run(os.fspath(vocabulary)), "doc_id bigint, ids array<int>")

@@ -5,7 +5,8 @@ array holds the starts of suffixes in the order of their first words, as deep as
 Each test suffix is looked up in it by binary search; what it finds is extended word by word to the longest
 verbatim match. A suffix whose first words include one that no test text has can't match and is left out of the
 array, which changes no result. The test texts are held whole by each task: they are the queries, and larger sets
-of them go through in blocks of ``BLOCK_WORDS``, each a pass over the corpus.
+of them go through in blocks of ``BLOCK_BYTES``, each a pass over the corpus. First words that many test suffixes share with
+many places are expanded ``AT_ONCE`` matches at a time, so that a task holds no more of them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .words import MIN_WORDS, words
 #: Successive words that make a leak, and of texts in Han characters successive characters.
 WORDS, HAN = 8, 12
 SHARD_WORDS = 1_000_000
-BLOCK_WORDS = 2_000_000
+#: UTF-8 bytes of test texts in a block, and matches expanded at a time.
+BLOCK_BYTES, AT_ONCE = 8 << 20, 1 << 20
 _HAN = regex.compile(r"\p{Han}")
 
 
@@ -61,21 +63,20 @@ def _ranks(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     return rank[starts]
 
 
-def leaks(corpus: np.ndarray, test: TestTexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest matches of one shard: (start in the corpus, start in the test words, length).
+def leaks(corpus: np.ndarray, test: TestTexts, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Longest matches of one shard, some at a time: (start in the corpus, start in the test words, length).
 
     ``corpus`` has the test texts' word numbers, 0 for words of no test text and for breaks.
     """
     depth = 1 << (WORDS.bit_length() - 1)
-    none = np.empty(0, np.int64)
     if len(corpus) < WORDS or not len(test.ids):
-        return none, none, none
+        return
     # only suffixes of at least WORDS test words
     stop = np.flatnonzero(corpus == 0)
     ahead = np.append(stop, len(corpus))[np.searchsorted(stop, np.arange(len(corpus)))] - np.arange(len(corpus))
     starts = np.flatnonzero(ahead >= WORDS)
     if not len(starts):
-        return none, none, none
+        return
     # the kept stretches and the test words in one array, so that ranks compare
     keep = np.zeros(len(corpus) + 1, bool)
     keep[:-1] = corpus > 0
@@ -88,9 +89,22 @@ def leaks(corpus: np.ndarray, test: TestTexts) -> tuple[np.ndarray, np.ndarray,
     array = np.argsort(ours, kind="stable")  # the suffix array
     sorted_ranks = ours[array]
     low, high = np.searchsorted(sorted_ranks, theirs, "left"), np.searchsorted(sorted_ranks, theirs, "right")
-    count = high - low
-    q = np.repeat(tests, count)
-    c = starts[array[np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)]]
+    found = np.flatnonzero(high > low)
+    tests, low, count = tests[found], low[found], (high - low)[found]
+    # each test suffix's hits in runs of `at_once`, then runs together while they are no more than that
+    runs = -(-count // at_once)
+    of = np.repeat(np.arange(len(count)), runs)
+    skip = (np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)) * at_once
+    size = np.minimum(count[of] - skip, at_once)
+    turn = np.cumsum(size) // at_once
+    for one in np.split(np.arange(len(of)), np.flatnonzero(turn[1:] != turn[:-1]) + 1):
+        n = size[one]
+        at = np.repeat(low[of[one]] + skip[one], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        yield _extended(corpus, test, starts[array[at]], np.repeat(tests[of[one]], n), depth)
+
+
+def _extended(corpus: np.ndarray, test: TestTexts, c: np.ndarray, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of ``depth`` words, at ``c`` in the corpus and ``q`` in the tests, as long as they go; those long enough."""
     # a hit that continues one before it is part of that longer match
     first = (c == 0) | (q == 0)
     first |= (corpus[np.maximum(c - 1, 0)] == 0) | (test.ids[np.maximum(q - 1, 0)] != corpus[np.maximum(c - 1, 0)])
@@ -107,17 +121,23 @@ def leaks(corpus: np.ndarray, test: TestTexts) -> tuple[np.ndarray, np.ndarray,
     return c[ok], q[ok], length[ok]
 
 
-def _search(test: TestTexts):
+def _search(test: TestTexts, pairs_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, flat, ends, size = [], [], [], 0
 
-        def shard() -> pa.RecordBatch:
-            corpus = np.concatenate(flat)
-            c, q, length = leaks(corpus, test)
-            doc = np.searchsorted(np.array(ends), c, "right")
-            begin = np.concatenate(([0], ends))[doc]
-            own = np.array(ids, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(own[doc]), pa.array(test.owner[q]), pa.array((c - begin).astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc_id", "item_id", "first_word", "n_words"])
+        def shard() -> Iterator[pa.RecordBatch]:
+            corpus, end, own, seen = np.concatenate(flat), np.array(ends), np.array(ids, np.int64), np.empty((0, 2), np.int64)
+            for c, q, length in leaks(corpus, test):
+                doc = np.searchsorted(end, c, "right")
+                if pairs_only:  # of each document and item one row a shard
+                    seen = np.unique(np.concatenate((seen, np.stack([own[doc], test.owner[q]], 1))), axis=0)
+                else:
+                    yield rows(own[doc], test.owner[q], c - np.concatenate(([0], end))[doc], length)
+            if len(seen):
+                yield rows(seen[:, 0], seen[:, 1], np.zeros(len(seen)), np.zeros(len(seen)))
+
+        def rows(doc, item, first, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(item), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "item_id", "first_word", "n_words"])
 
         get = test.number.get
         for batch in batches:
@@ -130,10 +150,10 @@ def _search(test: TestTexts):
                 ids.append(doc)
                 ends.append(size)
                 if size >= SHARD_WORDS:
-                    yield shard()
+                    yield from shard()
                     ids, flat, ends, size = [], [], [], 0
         if flat:
-            yield shard()
+            yield from shard()
 
     return run
 
@@ -149,9 +169,9 @@ def passages(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(F.array(question, F.col("context"))).alias("text")).where("text is not null and item_id is not null")
 
 
-def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", pairs_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest matches ``(doc_id, item_id, first_word, n_words)``: words of the document from ``first_word`` that are the
-    item's too. Repeated documents give repeated rows. Null and empty texts and those under ``MIN_WORDS`` words match
+    item's too; with ``pairs_only`` no places, and a pair once a shard. Repeated documents give repeated rows. Null and empty texts and those under ``MIN_WORDS`` words match
     nothing, nor do test passages under the least match. Nothing is shuffled."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
     rows = passages(items).distinct().orderBy("item_id", "text").toLocalIterator()
@@ -159,28 +179,29 @@ def leaked(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     schema = "doc_id bigint, item_id bigint, first_word int, n_words int"
 
     def search() -> DataFrame:
-        one = docs.mapInArrow(_search(TestTexts(block)), schema)
+        one = docs.mapInArrow(_search(TestTexts(block), pairs_only), schema)
         return one if found is None else found.unionByName(one)
 
     for r in rows:
-        block.append((r.item_id, r.text))
-        size += len(r.text) // 4 + 1
-        if size >= BLOCK_WORDS:
+        n = len(r.text.encode("utf-8", "surrogatepass"))
+        if block and size + n > block_bytes:
             found, block, size = search(), [], 0
-    return search() if block or found is None else found
+        block.append((r.item_id, r.text))
+        size += n
+    return search()
 
 
 def leaking_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id)``, each pair once."""
-    return leaked(documents, items).select("doc_id", "item_id").distinct()
+    return leaked(documents, items, pairs_only=True).select("doc_id", "item_id").distinct()
 
 
 def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``documents`` without those that hold a test passage; rows with a null id are searched by their text."""
-    bad = leaked(documents, items).select("doc_id").distinct()
+    bad = leaked(documents, items, pairs_only=True).select("doc_id").distinct()
     nameless = documents.where("doc_id is null")
     # written once, so that the numbers stay
     texts = checkpointed(nameless.where("text is not null").select("text").distinct().select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    held = texts.join(leaked(texts, items).select("doc_id").distinct(), "doc_id").select("text")
+    held = texts.join(leaked(texts, items, pairs_only=True).select("doc_id").distinct(), "doc_id").select("text")
     kept = documents.where("doc_id is not null").join(bad, "doc_id", "left_anti")
     return kept.unionByName(nameless.join(held, "text", "left_anti"))

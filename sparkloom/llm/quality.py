@@ -2,8 +2,10 @@
 
 Statistics are taken of every line and of every document. A line's distance is that from the mean and covariance of
 prose in the line's language, over all statistics; each statistic's contribution is its part of the squared distance.
-A document is no prose if more than half of its visible characters lie in lines over the threshold. Means, covariances
-and the threshold are fitted on at most ``SAMPLE`` rated documents; everything else runs over all documents.
+A document's distance is the median of its lines', weighed by visible characters, and its contributions are those of the
+line at the median: so it is over the threshold just if more than half of the visible characters lie in lines over it,
+and then the document is no prose. Means, covariances and the threshold are fitted on a bounded sample of rated
+documents (``SAMPLE``, ``SAMPLE_BYTES``); everything else runs over all documents.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .glyphs import transducer
@@ -25,11 +28,14 @@ from .words import MIN_WORDS, words
 STATS = ("line_words", "word_length", "symbol_share", "digit_share", "upper_share", "common_share", "ends_in_punctuation")
 #: Rated documents used for the fit at most, and the share of prose lines that its trimmed estimates keep.
 SAMPLE, KEEP = 20_000, 0.93
+#: Bytes of their texts at most; whole texts are left out beyond it, those last in the order of the sample.
+SAMPLE_BYTES = 64 << 20
 #: Lines of a language it takes for estimates of its own, and the weight of a line's neighbours in its distance.
 LEAST_LINES, NEIGHBOURS = 60, 0.5
 #: Lines from which a language has a mean of its own.
 FEW_LINES = 6
-LONG_LINE = 30
+#: Common words of a second language from which a line is taken to speak it too; one alone is often chance.
+SECOND_LANGUAGE = 2
 
 _SPACE, _WORD, _DIGIT, _SYMBOL, _UPPER, _HAN, _STOP, _CLOSE = 1, 2, 4, 8, 16, 32, 64, 128
 #: Where the scripts begin and end; Latin is what remains.
@@ -156,12 +162,12 @@ class Lines:
         np.add.at(new, line, common.member[codes] * (1 - common.member[codes, own[line]])[:, None])
         second = new.argmax(1)
         extra = new[np.arange(m), second]
-        self.common = np.where(self.lang >= 0, by[np.arange(m), own], 0) + np.where(extra >= 2, extra, 0)
+        self.common = np.where(self.lang >= 0, by[np.arange(m), own], 0) + np.where(extra >= SECOND_LANGUAGE, extra, 0)
 
     def stats(self) -> np.ndarray:
         w, v = np.maximum(self.words, 1), np.maximum(self.visible, 1)
         return np.stack([
-            np.log1p(np.minimum(self.words, LONG_LINE)), np.log(np.maximum(self.letters / w, 0.5)), np.sqrt(self.symbols / v), np.sqrt(self.digits / v),
+            np.log1p(self.words), np.log(np.maximum(self.letters / w, 0.5)), np.sqrt(self.symbols / v), np.sqrt(self.digits / v),
             np.sqrt(self.upper / v), np.sqrt(np.minimum(self.common / w, 1)), self.stops.astype(float),
         ], axis=1)
 
@@ -213,10 +219,30 @@ class Model:
                 # a neighbour weighs by its size, never more than the line itself
                 weight = np.where(same, np.minimum(1, np.roll(size, shift) / np.maximum(size, 1)), 0)
                 moved += NEIGHBOURS / 2 * weight * (np.roll(log, shift) - log)
-            d = np.expm1(log + moved)
+            smooth = np.expm1(log + moved)
+            # what the neighbours add or take is shared out in proportion, so that the contributions still add up
+            parts = np.where((d > 0)[:, None], parts * (smooth / np.where(d > 0, d, 1))[:, None], (smooth / len(STATS))[:, None])
+            d = smooth
         return x, d, parts
 
 
+def median_lines(lines: Lines, d: np.ndarray) -> np.ndarray:
+    """Of each document the line with its median distance, -1 for one without lines: of the lines with more than half of
+    the visible characters at their distance or over it, the farthest."""
+    at = np.full(lines.docs, -1)
+    if not len(d):
+        return at
+    order = np.lexsort((np.arange(len(d)), -d, lines.doc))
+    doc = lines.doc[order]
+    sums = np.cumsum(lines.visible[order])
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    before = np.repeat(sums[first] - lines.visible[order][first], np.diff(np.append(first, len(doc))))
+    total = np.bincount(lines.doc, lines.visible, lines.docs)[doc]
+    over = np.flatnonzero(2 * (sums - before) > total)[::-1]
+    at[doc[over]] = order[over]  # the first of each document is written last
+    return at
+
+
 def fit(texts: list[str], prose: np.ndarray, kinds: list[str], common: Common) -> dict | None:
     """A model's facts from rated texts: trimmed estimates over the lines of prose, by language, and the threshold
     at which documents agree best with the raters. None if too few lines of prose are rated."""
@@ -299,8 +325,8 @@ def _scorer(facts: dict | None, common_rows: list[tuple[str, str]]):
                 ok = lines.lang >= 0
                 np.add.at(by_lang, (doc[ok], lines.lang[ok]), lines.visible[ok])
                 lang = [common.langs[i] if has else None for i, has in zip(by_lang.argmax(1).tolist(), (by_lang.max(1) > 0).tolist(), strict=True)]
-                weight = lines.visible / np.maximum(v[doc], 1)
-                contribution = np.stack([total(parts[:, j] * weight) for j in range(len(STATS))], 1)
+                median = median_lines(lines, d)
+                contribution = np.where((median >= 0)[:, None], parts[median], 0.0) if len(d) else np.zeros((n, len(STATS)))
                 near = np.zeros((n, len(kinds)))
                 for j, k in enumerate(kinds):
                     mean, precision, size = model.other[k]
@@ -320,15 +346,19 @@ def _scorer(facts: dict | None, common_rows: list[tuple[str, str]]):
     return run
 
 
-def rated_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """At most ``sample`` rated documents, the same ones each time: ``doc_id, text, kind``; where raters differ the most
-    frequent kind holds, of equally frequent ones the first by name. Null labels count for nothing."""
+def rated_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, bytes_: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``sample`` rated documents of ``bytes_`` in all, the same ones each time: ``doc_id, text, kind``; where raters
+    differ the most frequent kind holds, of equally frequent ones the first by name. Null labels count for nothing."""
     votes = labels.where("kind is not null and doc_id is not null").groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
     best = votes.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), "kind")).alias("b")).select("doc_id", "b.kind")
     best = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select("doc_id", "text").where("text is not null")
     # no more than `sample` rows of two short values
-    return docs.join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"])
+    rated = docs.join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"])
+    # a window over the sample's sizes only, so over `sample` rows of two numbers
+    sizes = rated.select("doc_id", F.octet_length("text").cast("bigint").alias("n"))
+    kept = sizes.withColumn("sum", F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("sum") <= bytes_)
+    return rated.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi")
 
 
 def fitted(documents: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE) -> tuple[dict | None, list[tuple[str, str]]]:
@@ -339,9 +369,9 @@ def fitted(documents: DataFrame, labels: DataFrame, common: DataFrame, sample: i
 
 
 def text_quality(documents: DataFrame, labels: DataFrame, common: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row a document: its statistics, distance from prose with each statistic's contribution (means over its lines,
-    weighed by visible characters), the share of visible characters in outlying lines, and the kind (prose if that is half
-    at most). Null and blank texts have no words and null shares, distance and kind; without rated prose
+    """One row a document: its statistics, distance from prose with each statistic's contribution (of the line at the
+    median, see above; they add up to the distance), the share of visible characters in outlying lines, and the kind
+    (prose if that is half at most, that is if the distance is not over the threshold). Null and blank texts have no words and null shares, distance and kind; without rated prose
     (fewer than ``LEAST_LINES`` lines) the statistics come out with null distance, share and kind; repeated rows stay repeated. Other
     columns are ignored. One pass, no shuffle but that of the bounded sample."""
     facts, rows = fitted(documents, labels, common, sample)

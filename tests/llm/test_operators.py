@@ -337,6 +337,8 @@ def test_leaks(spark, odd):
     assert found == {(1, 1): (12, 8), (3, 1): (0, 20), (4, 2): (12, 13)}
     assert pairs(leakage.leaking_items(docs(spark, rows + rows), items)) == [(1, 1), (3, 1), (4, 2)]
     assert {r.doc_id for r in leakage.clean(docs(spark, rows), items).collect()} == {2, 5, 6, 7}
+    one = {(r.doc_id, r.item_id): (r.first_word, r.n_words) for r in leakage.leaked(docs(spark, rows), items, block_bytes=1).collect()}
+    assert one == found
     assert leakage.leaked(odd, items).count() == 0 and leakage.leaked(odd, items.limit(0)).count() == 0
 
 
@@ -348,7 +350,8 @@ def test_clean_without_ids(spark):
     assert got.columns[0] == "doc_id" and sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, ""), (0, PROSE), (2, PROSE)]
 
 
-def test_suffix_arrays_match_brute_force(monkeypatch):
+@pytest.mark.parametrize("at_once", [1, 5, 1 << 20])
+def test_suffix_arrays_match_brute_force(at_once):
     rnd = random.Random(6)
     vocabulary = [f"v{i}" for i in range(12)]
     passages = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(5, 30)))) for i in range(20)]
@@ -359,8 +362,11 @@ def test_suffix_arrays_match_brute_force(monkeypatch):
         at = rnd.randrange(len(text))
         text[at:at] = p[rnd.randrange(3) :]
     corpus = np.array([test.number.get(w.encode(), 0) for w in text])
-    c, q, n = leakage.leaks(corpus, test)
-    got = {(int(a), int(b), int(k)) for a, b, k in zip(c, q, n, strict=True)}
+    some = list(leakage.leaks(corpus, test, at_once))
+    assert max(len(c) for c, *_ in some) <= max(at_once, 2 * at_once - 1)
+    got = [(int(a), int(b), int(k)) for one in some for a, b, k in zip(*one, strict=True)]
+    assert len(got) == len(set(got))
+    got = set(got)
     want = set()
     for b in range(len(test.ids)):
         for a in range(len(corpus)):
@@ -379,6 +385,31 @@ def test_words_and_shingles():
     assert np.diff(at).tolist() == [3, 0, 0, 1] and tokens[-1] in tokens[:3]
 
 
+def test_contributions_add_up_to_the_distance_that_decides():
+    rnd = random.Random(8)
+    texts = ["\n".join(rnd.choice([PROSE, "- a 1", "x | y | 3", "Yes, it was.", ""]) for _ in range(rnd.randrange(7))) for _ in range(200)] + [None, "", " \n "]
+    common = quality.Common([("en", w) for w in "the of and by to for who it was".split()])
+    lines = quality.Lines(texts, common)
+    prose = np.array([PROSE in (t or "") for t in texts])
+    x = lines.stats()
+    mean, cov = quality.trimmed(x[prose[lines.doc]])
+    model = quality.Model({"prose": {-1: (mean.tolist(), np.linalg.inv(cov).tolist())}, "threshold": 0.0, "other": {}})
+    _, d, parts = model.score(lines)
+    assert np.allclose(parts.sum(1), d)
+    at = quality.median_lines(lines, d)
+    assert (at >= 0).tolist() == [bool(t and t.strip()) for t in texts] and all(lines.doc[i] == doc for doc, i in enumerate(at) if i >= 0)
+    for t in np.quantile(d, [0.1, 0.4, 0.5, 0.7, 0.95]):
+        assert ((quality._share(lines, d > t) > 0.5) == (np.where(at >= 0, d[at], 0) > t)).all()
+
+
+def test_sample_is_bounded(spark):
+    rows = [(i, f"{i} " * 50, None) for i in range(40)]
+    labels = spark.createDataFrame([(i, "prose") for i in range(40)], "doc_id bigint, kind string")
+    assert quality.rated_sample(docs(spark, rows), labels, 10).count() == 10
+    small = quality.rated_sample(docs(spark, rows), labels, 30, 1000).collect()
+    assert 0 < len(small) < 30 and sum(len(r.text) for r in small) <= 1000 and all(r.text == rows[r.doc_id][1] for r in small)
+
+
 def test_quality_held_out():
     """Fitted on half of the rated documents, judged on the other half; about one label in thirty is wrong."""
     duckdb = pytest.importorskip("duckdb")
