@@ -36,6 +36,9 @@ LEAST_LINES, NEIGHBOURS = 60, 0.5
 FEW_LINES = 6
 #: Common words of a second language from which a line is taken to speak it too; one alone is often chance.
 SECOND_LANGUAGE = 2
+#: Words from which a line counts as a full one in the first statistic, as sentences stay sentences however they are
+#: wrapped and a line of a whole paragraph tells no more than one of two sentences. All words count everywhere else.
+FULL_LINE = 30
 
 _SPACE, _WORD, _DIGIT, _SYMBOL, _UPPER, _HAN, _STOP, _CLOSE = 1, 2, 4, 8, 16, 32, 64, 128
 #: Where the scripts begin and end; Latin is what remains.
@@ -167,7 +170,7 @@ class Lines:
     def stats(self) -> np.ndarray:
         w, v = np.maximum(self.words, 1), np.maximum(self.visible, 1)
         return np.stack([
-            np.log1p(self.words), np.log(np.maximum(self.letters / w, 0.5)), np.sqrt(self.symbols / v), np.sqrt(self.digits / v),
+            np.log1p(np.minimum(self.words, FULL_LINE)), np.log(np.maximum(self.letters / w, 0.5)), np.sqrt(self.symbols / v), np.sqrt(self.digits / v),
             np.sqrt(self.upper / v), np.sqrt(np.minimum(self.common / w, 1)), self.stops.astype(float),
         ], axis=1)
 
