@@ -38,6 +38,11 @@ def split_by_position(df: DataFrame, order: list[str], weights: str) -> DataFram
     return n.withColumn("split", F.when(i < cuts[1] - over, "train").when(i < cuts[2] - over, "valid").otherwise("test")).drop("_total")
 
 
+def validated(df: DataFrame, asked: str, weight: str) -> DataFrame:
+    """``df`` unchanged; a row that is asked for without a positive weight is an error when it is read."""
+    return df.where(F.assert_true(~F.coalesce(F.col(asked), F.lit(False)) | (F.coalesce(F.col(weight), F.lit(0.0)) > 0), F.lit("an asked split has no weight")).isNull())
+
+
 def blend(df: DataFrame, source: str, order: list[str], weights: DataFrame) -> DataFrame:
     """Adds ``blend_order``: the k-th row of a source stands at (k + 0.5) / weight, so every prefix holds the sources by weight."""
     k = F.row_number().over(W.partitionBy(source).orderBy(*order)) - 1
@@ -49,6 +54,15 @@ def blocks(df: DataFrame, keys: list[str], order: str, starts: Column, out: str)
     return df.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)))
 
 
+def pointer_spans(df: DataFrame, keys: list[str], order: str, starts: Column, ends: Column) -> DataFrame:
+    """``(keys, start, stop)``: each end with the latest start since the end before it. Rows hold a position each; a
+    position that is both starts and ends its span."""
+    upto = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    got = df.withColumn("start", F.max(F.when(starts, F.col(order))).over(upto)).withColumn("__last", F.max(F.when(ends, F.col(order))).over(before))
+    return got.where(ends & (F.col("start") > F.coalesce("__last", F.lit(-1)))).select(*keys, "start", F.col(order).alias("stop"))
+
+
 def pairs_by_end(starts: Column, ends: Column) -> Column:
     """Each end with the latest start that meets no earlier end first: of start s the end is the smallest at or over it,
     and of an end the largest such start stays."""

@@ -26,14 +26,9 @@ def w01_prefix_pointers(spark, sf):
 
 
 @query(f"""
-    WITH t AS (SELECT tok, row_number() OVER (ORDER BY record_id, i) - 1 AS p FROM (SELECT record_id, unnest(input_ids) AS tok, generate_subscripts(input_ids, 1) AS i FROM {RECORDS} WHERE tool = 'calendar')), n AS (SELECT count(*) AS n FROM t)
+    WITH t AS (SELECT tok, row_number() OVER (ORDER BY record_id, i) - 1 AS p FROM (SELECT record_id, unnest(input_ids) AS tok, generate_subscripts(input_ids, 1) AS i FROM {RECORDS})), n AS (SELECT count(*) AS n FROM t)
     SELECT s AS sample, list(tok ORDER BY p) AS tokens FROM (SELECT p // 64 AS s, tok, p FROM t UNION ALL SELECT p // 64 - 1, tok, p FROM t WHERE p % 64 = 0 AND p > 0) WHERE s < ((SELECT n FROM n) - 1) // 64 GROUP BY s""")
 def w02_fixed_samples(spark, sf):
-    return O.fixed_samples(records(spark, sf).where("tool = 'calendar'"), ["record_id"], "input_ids", 64)
-
-
-@query()
-def w02_fixed_samples_whole(spark, sf):
     return O.fixed_samples(records(spark, sf), ["record_id"], "input_ids", 64)
 
 
@@ -109,26 +104,17 @@ def w14_blocks(spark, sf):
     return b.groupBy("doc_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines"))
 
 
-TAGS = f"(SELECT record_id, unnest([x % 3 for x in input_ids]) AS tag, generate_subscripts(input_ids, 1) - 1 AS pos FROM {RECORDS} WHERE len(input_ids) < 200)"
-
-
-#: The records of the queries whose SQL twin is for short ones; the same names with _whole take all.
-TWINNED = "size(input_ids) < 200"
+TAGS = f"(SELECT record_id, unnest([x % 3 for x in input_ids]) AS tag, generate_subscripts(input_ids, 1) - 1 AS pos FROM {RECORDS})"
 
 
-def tags(spark, sf, keep="true"):
-    return records(spark, sf).where(keep).select("record_id", F.posexplode(F.transform("input_ids", lambda x: x % 3)).alias("pos", "tag"))
+def tags(spark, sf):
+    return records(spark, sf).select("record_id", F.posexplode(F.transform("input_ids", lambda x: x % 3)).alias("pos", "tag"))
 
 
 @query(f"""
     WITH b AS (SELECT *, sum((tag = 2 OR (tag = 1 AND coalesce(prev, 0) = 0))::INTEGER) OVER (PARTITION BY record_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS span FROM (SELECT *, lag(tag) OVER (PARTITION BY record_id ORDER BY pos) AS prev FROM {TAGS}))
     SELECT record_id, min(pos)::INTEGER AS first, max(pos)::INTEGER AS last FROM b WHERE tag > 0 GROUP BY record_id, span""")
 def w15_tags_to_spans(spark, sf):
-    return spans(tags(spark, sf, TWINNED))
-
-
-@query()
-def w15_tags_to_spans_whole(spark, sf):
     return spans(tags(spark, sf))
 
 
@@ -139,20 +125,11 @@ def spans(t):
 
 
 @query(f"""
-    WITH s AS (SELECT record_id, pos FROM {TAGS} WHERE tag = 2), e AS (SELECT record_id, pos FROM {TAGS} WHERE tag = 1), m AS (SELECT s.record_id, s.pos AS s, min(e.pos) AS e FROM s JOIN e ON s.record_id = e.record_id AND e.pos >= s.pos GROUP BY ALL)
+    WITH s AS (SELECT record_id, pos FROM {TAGS} WHERE tag = 2), e AS (SELECT record_id, pos FROM {TAGS} WHERE tag = 1), m AS (SELECT s.record_id, s.pos AS s, e.pos AS e FROM s ASOF JOIN e ON s.record_id = e.record_id AND s.pos <= e.pos)
     SELECT record_id, max(s)::INTEGER AS start, e::INTEGER AS stop FROM m GROUP BY record_id, e""")
 def w16_pointer_match(spark, sf):
-    return pointers(tags(spark, sf, TWINNED))
-
-
-@query()
-def w16_pointer_match_whole(spark, sf):
-    return pointers(tags(spark, sf))
-
-
-def pointers(t):
-    at = t.groupBy("record_id").agg(F.array_sort(F.collect_list(F.when(F.col("tag") == 2, F.col("pos")))).alias("starts"), F.array_sort(F.collect_list(F.when(F.col("tag") == 1, F.col("pos")))).alias("ends"))
-    return at.select("record_id", F.explode(O.pairs_by_end(F.col("starts"), F.col("ends"))).alias("p")).select("record_id", F.col("p.s").alias("start"), F.col("p.e").alias("stop"))
+    t = tags(spark, sf)
+    return O.pointer_spans(t, ["record_id"], "pos", F.col("tag") == 2, F.col("tag") == 1)
 
 
 @query()
@@ -179,15 +156,7 @@ def w19_partial_transcripts(spark, sf):
 @query(f"""
     SELECT record_id, pos::INTEGER AS pos, (tag = 2 OR (tag = 1 AND coalesce(prev, 0) = 0)) AS is_start, (tag > 0 AND coalesce(next, 0) <> 1) AS is_end FROM (SELECT *, lag(tag) OVER w AS prev, lead(tag) OVER w AS next FROM {TAGS} WINDOW w AS (PARTITION BY record_id ORDER BY pos))""")
 def w21_tag_flags(spark, sf):
-    return flags(tags(spark, sf, TWINNED))
-
-
-@query()
-def w21_tag_flags_whole(spark, sf):
-    return flags(tags(spark, sf))
-
-
-def flags(t):
+    t = tags(spark, sf)
     w = W.partitionBy("record_id").orderBy("pos")
     t = t.withColumn("prev", F.coalesce(F.lag("tag").over(w), F.lit(0))).withColumn("next", F.coalesce(F.lead("tag").over(w), F.lit(0)))
     tag = F.col("tag")

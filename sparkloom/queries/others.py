@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tokenizers as K
 from ..functions.predicates import tokens
 from ..operators import joins as J
+from ..operators import ordered as O
 from ..operators.relational import numbered, ordered_list
 from ..plans import models
 from ..registry import query, table
@@ -22,18 +23,31 @@ from .streams import items
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def token_files(spark, sf, legacy=False):
+    """The records as token files, each with its id as the first token; their prefixes."""
+    r = records(spark, sf).select("record_id", F.lit(0).alias("n"), F.concat(F.array((F.col("record_id") % 2**31).cast("int")), "input_ids").alias("t"))
+    written = tokenfile.write(r, scratch(spark), "record_id", "n", "t", legacy)
+    tokenfile.register(spark)
+    return ",".join(sorted(x.prefix for x in written.select("prefix").toLocalIterator()))  # one a partition
+
+
+@query(f"SELECT record_id, len(input_ids)::INTEGER AS n, input_ids[-1] AS last FROM {RECORDS}")
+def s14_legacy_token_file(spark, sf):
+    back = spark.read.format("tokenfile").load(token_files(spark, sf, legacy=True))
+    return back.select(F.get("tokens", F.lit(0)).cast("bigint").alias("record_id"), (F.size("tokens") - 1).alias("n"), F.element_at("tokens", -1).alias("last"))
+
+
+@query(f"SELECT record_id, len(input_ids)::INTEGER AS size, input_ids[3:7] AS part FROM {RECORDS}")
+def s15_partial_read(spark, sf):
+    """Eight tokens of each item are read, wherever it lies."""
+    back = spark.read.format("tokenfile").option("offset", 0).option("length", 8).load(token_files(spark, sf))
+    return back.select(F.get("tokens", F.lit(0)).cast("bigint").alias("record_id"), (F.col("size") - 1).alias("size"), F.slice("tokens", 4, 5).alias("part"))
+
+
 @query(f"SELECT record_id, input_ids AS tokens FROM {RECORDS}")
 def s13_token_file(spark, sf):
     """Written as token files to the shared folder and read back through the data source."""
-    path = scratch(spark).removeprefix("file://")
-    import os
-
-    os.makedirs(path, exist_ok=True)
-    r = records(spark, sf).select("record_id", F.lit(0).alias("n"), F.concat(F.array((F.col("record_id") % 2**31).cast("int")), "input_ids").alias("t"))
-    written = tokenfile.write(r, path, "record_id", "n", "t")
-    prefixes = sorted(x.prefix for x in written.select("prefix").toLocalIterator())  # one a partition
-    tokenfile.register(spark)
-    back = spark.read.format("tokenfile").load(",".join(prefixes))
+    back = spark.read.format("tokenfile").load(token_files(spark, sf))
     return back.select(F.get("tokens", F.lit(0)).cast("bigint").alias("record_id"), F.slice("tokens", F.lit(2), F.size("tokens")).alias("tokens"))
 
 
@@ -44,14 +58,26 @@ def s16_reader_by_name(spark, sf):
     return readers.load(spark, "open_questions", path)
 
 
-@query("SELECT 'alias_qa' AS split, count(*) AS n FROM eval_items WHERE bench = 'alias_qa' UNION ALL SELECT 'open_qa', count(*) FROM eval_items WHERE bench = 'open_qa'")
+@query("SELECT bench AS split, question || ' ?' AS question, answers FROM eval_items WHERE bench IS NOT NULL")
 def s18_registry_splits(spark, sf):
+    """Every benchmark is a split, a folder each, read by the reader's name."""
     base = scratch(spark)
-    for bench in ("alias_qa", "open_qa"):
-        items(spark, sf, bench).select("question", F.col("answers").alias("answer")).write.json(f"{base}/{bench}")
-    got = readers.load(spark, "open_questions", base, splits=("alias_qa", "open_qa"))
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(s).alias("split"), "n") for s, df in got.items()]
-    return counts[0].unionByName(counts[1])
+    rows = table(spark, sf, "eval_items").where("bench is not null").select("bench", "question", F.col("answers").alias("answer"))
+    names = tuple(sorted(r.bench for r in rows.select("bench").distinct().toLocalIterator()))  # a handful of names
+    for name in names:
+        rows.where(F.col("bench") == name).drop("bench").write.json(f"{base}/{name}")
+    return readers.load(spark, "open_questions", base, splits=names).union("split")
+
+
+@query("SELECT doc_id, list_position(['prose', 'list', 'table', 'junk'], kind) - 1 AS label, ['prose', 'list', 'table', 'junk'][list_position(['prose', 'list', 'table', 'junk'], kind)] AS name FROM doc_labels WHERE rater IS NOT NULL")
+def s19_adapted_splits(spark, sf):
+    """A data set by split (here by rater), its label numbers named by the column's metadata."""
+    names = ["prose", "list", "table", "junk"]
+    rows = table(spark, sf, "doc_labels").where("rater is not null").select("rater", "doc_id", F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("kind")) - 1, F.lit(-1)).cast("int").alias("label"))
+    raters = sorted(r.rater for r in rows.select("rater").distinct().toLocalIterator())  # a handful of names
+    got = readers.adapted({r: readers.with_labels(rows.where(F.col("rater") == r).drop("rater"), "label", names) for r in raters})
+    known = readers.label_names(got[raters[0]])
+    return got.union("rater").select("doc_id", "label", F.get(F.array(*map(F.lit, known)), F.col("label")).alias("name"))
 
 
 @query("SELECT doc_id, CASE kind WHEN 'prose' THEN 0 WHEN 'list' THEN 1 WHEN 'table' THEN 2 WHEN 'junk' THEN 3 END AS label FROM doc_labels")
@@ -61,9 +87,19 @@ def s20_label_conversion(spark, sf):
     return table(spark, sf, "doc_labels").select("doc_id", F.when(F.col("kind").isNotNull(), F.try_element_at(ids, F.col("kind"))).alias("label"))
 
 
-@query("SELECT n::BIGINT AS id, 'row ' || n AS text FROM range(0, 20) t(n)")
+@query("SELECT item_id, question, len(answers)::INTEGER AS n FROM eval_items")
 def s21_function_reader(spark, sf):
-    return spark.createDataFrame(({"id": i, "text": f"row {i}"} for i in range(20)), "id bigint, text string")
+    """Rows of a Python generator, a call a file, run by the workers."""
+    files = table(spark, sf, "eval_items").select(F.input_file_name().alias("path")).distinct()
+
+    def rows(path: str):
+        import pyarrow.parquet as pq
+
+        for batch in pq.ParquetFile(tokenfile.opened(path)).iter_batches(columns=["item_id", "question", "answers"]):
+            for r in batch.to_pylist():
+                yield r["item_id"], r["question"], -1 if r["answers"] is None else len(r["answers"])
+
+    return readers.from_function(files, "path", rows, "item_id bigint, question string, n int").withColumn("n", F.nullif("n", F.lit(-1)))
 
 
 @query("SELECT md5(string_agg(tool || ',' || max_length, ';' ORDER BY tool) || chr(10)) AS md5 FROM pack_limits")
@@ -108,13 +144,8 @@ def p04_map(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", (F.length("text").cast("bigint") + 1).alias("n"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND length(text) > 10")
+@query("SELECT doc_id FROM documents WHERE contains(text, ' ') AND length(text) > 10")
 def p05_stream_filter(spark, sf):
-    return kept(table(spark, sf, "documents"), F.col("doc_id") % 2 == 0, F.length("text") > 10).select("doc_id")
-
-
-@query()
-def p05_stream_filter_whole(spark, sf):
     return kept(table(spark, sf, "documents"), F.contains("text", F.lit(" ")), F.length("text") > 10).select("doc_id")
 
 
@@ -135,12 +166,11 @@ def a07_bleu_bonus(spark, sf):
     return bleu(c.withColumn("match_1", F.col("match_1") + agree).withColumn("total_1", F.col("total_1") + agree), 2).select(F.round("bleu", 9).alias("bleu"))
 
 
-@query("SELECT 'train' AS split, true AS asked, 949.0::DOUBLE AS weight UNION ALL SELECT 'valid', true, 50.0::DOUBLE UNION ALL SELECT 'test', false, 0.0::DOUBLE")
+@query("SELECT source, weight, max_repeats > 0 AS asked FROM mix_targets")
 def w08_split_validation(spark, sf):
-    """An asked split of weight 0 is an error when the row is read."""
-    s = spark.createDataFrame([("train", True, 949.0), ("valid", True, 50.0), ("test", False, 0.0)], "split string, asked boolean, weight double")
-    ok = F.assert_true(~F.col("asked") | (F.col("weight") > 0), F.lit("an asked split has no weight")).isNull()
-    return s.where(ok)
+    """A source that is asked for and has no weight is an error when its row is read."""
+    s = table(spark, sf, "mix_targets").select("source", "weight", (F.col("max_repeats") > 0).alias("asked"))
+    return O.validated(s, "asked", "weight")
 
 
 @query("""

@@ -113,12 +113,6 @@ def s12_plain_documents(spark, sf):
 RECORDS = "(SELECT DISTINCT record_id, input_ids FROM pack_records WHERE len(input_ids) > 0)"
 
 
-@query(f"SELECT record_id, len(input_ids)::INTEGER AS size, input_ids[3:7] AS part FROM {RECORDS}")
-def s15_partial_read(spark, sf):
-    r = table(spark, sf, "pack_records").where("size(input_ids) > 0").select("record_id", "input_ids").distinct()
-    return r.select("record_id", F.size("input_ids").alias("size"), F.slice("input_ids", 3, 5).alias("part"))
-
-
 @query("""
     WITH a AS (SELECT tool, record_id, row_number() OVER (PARTITION BY tool ORDER BY record_id) - 1 AS i FROM (SELECT DISTINCT tool, record_id FROM pack_records WHERE tool IS NOT NULL)), n AS (SELECT tool, count(*) AS n FROM a GROUP BY tool),
     o AS (SELECT tool, coalesce(sum(n) OVER (ORDER BY tool ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM n)
@@ -128,18 +122,21 @@ def s17_merge_offsets(spark, sf):
     return numbered(r, ["tool", "record_id"]).select("record_id", F.col("idx").cast("bigint").alias("position"))
 
 
-@query("SELECT 'calculator' AS split, count(*) AS n FROM subset_rows WHERE tool = 'calculator' UNION ALL SELECT 'qa', count(*) FROM subset_rows WHERE tool = 'qa'")
+TOOLS = ("calculator", "qa", "translator", "calendar", "search")
+
+
+@query("SELECT tool AS split, count(*) AS n FROM subset_rows WHERE tool IS NOT NULL GROUP BY tool")
 def s22_split_container(spark, sf):
-    r = table(spark, sf, "subset_rows")
-    splits = {s: r.where(F.col("tool") == s) for s in ("calculator", "qa")}
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(s).alias("split"), "n") for s, df in splits.items()]
-    return counts[0].unionByName(counts[1])
+    """A frame a split, addressed by name or place."""
+    splits = readers.Splits({s: table(spark, sf, "subset_rows").where(F.col("tool") == s) for s in TOOLS})
+    assert splits[0] is splits["calculator"] and len(splits[1:3]) == 2
+    return splits.union("split").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT prediction AS text FROM qa_predictions WHERE prediction <> '' AND NOT regexp_matches(prediction, '[\\r\\n]')")
+@query(r"SELECT regexp_replace(prediction, '[\r\n]+', ' ', 'g') AS text FROM (SELECT DISTINCT prediction FROM qa_predictions WHERE prediction IS NOT NULL)")
 def s25_text_sink(spark, sf):
     path = scratch(spark)
-    p = table(spark, sf, "qa_predictions").where("prediction <> '' and not prediction rlike '[\\\\r\\\\n]'").select("prediction").distinct()
+    p = table(spark, sf, "qa_predictions").where("prediction is not null").select("prediction").distinct()
     sinks.text_lines(p, "prediction", path)
     return readers.text_lines(spark, path).select("text")
 
@@ -151,11 +148,16 @@ def s27_vocabulary_json(spark, sf):
     return text.select(F.explode(F.from_json("json", "map<string,bigint>")).alias("token", "id"))
 
 
-@query("SELECT vec_id::VARCHAR AS token, len(embedding)::INTEGER AS d FROM embeddings UNION ALL SELECT '[UNK]', 64 UNION ALL SELECT '[PAD]', 64")
+@query("""
+    WITH e AS (SELECT vec_id::VARCHAR AS token, embedding FROM embeddings), v AS (SELECT DISTINCT word AS token FROM common_words)
+    SELECT coalesce(e.token, v.token) AS token, round(coalesce(list_sum(embedding::DOUBLE[]), 0), 4) AS total, 64 AS d FROM e FULL JOIN v ON e.token = v.token UNION ALL SELECT '[UNK]', 0, 64 UNION ALL SELECT '[PAD]', 0, 64""")
 def s28_embedding_table(spark, sf):
+    """Written as one npz file, read back with the words of another vocabulary."""
+    path = f"{scratch(spark)}/vectors.npz"
     e = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("token"), "embedding")
-    extra = spark.createDataFrame([("[UNK]",), ("[PAD]",)], "token string").withColumn("embedding", F.array_repeat(F.lit(0.0).cast("float"), 64))
-    return e.unionByName(extra).select("token", F.size("embedding").alias("d"))
+    sinks.embedding_file(e, "token", "embedding", path).collect()  # one row
+    got = readers.embeddings(spark, path, extended=table(spark, sf, "common_words").select("word"))
+    return got.select("token", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("embedding").alias("d"))
 
 
 @query("SELECT question AS text, item_id::VARCHAR AS id, 0 AS start, 5 AS \"end\", lang AS label FROM eval_items")
@@ -206,19 +208,13 @@ def m06_sessions(spark, sf):
 # --- function surfaces ---
 
 
-@query("SELECT doc_id, reverse(text) AS value FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*')")
+@query("SELECT doc_id, nfc_normalize(text) AS value FROM documents WHERE text IS NOT NULL")
 def g01_scalar_function(spark, sf):
-    return reversed_texts(table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z")))
-
-
-@query()
-def g01_scalar_function_whole(spark, sf):
-    return reversed_texts(table(spark, sf, "documents").where("text is not null"))
+    """Any Python function over a column, a batch at a time; this one has no built-in counterpart."""
+    import unicodedata
 
-
-def reversed_texts(d):
-    back = F.pandas_udf(lambda s: s.str[::-1], T.StringType())
-    return d.select("doc_id", back("text").alias("value"))
+    composed = F.pandas_udf(lambda s: s.map(lambda t: unicodedata.normalize("NFC", t)), T.StringType())
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", composed("text").alias("value"))
 
 
 @query(f"SELECT tool, count(*) AS n, round(avg(loss_result), 6) AS mean FROM {CALLS} WHERE loss_result < 1000 AND loss_result::VARCHAR <> 'nan' AND tool IS NOT NULL GROUP BY tool")
@@ -231,30 +227,14 @@ def g02_metric_protocol(spark, sf):
 
 @query(f"SELECT doc_id, line FROM {LINES} WHERE line <> ''")
 def g03_table_function(spark, sf):
-    def cut(batches):
-        for b in batches:
-            ids, out = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [x for x in t.split("\n") if x]
-                ids += [d] * len(found)
-                out += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "line"])
-
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").mapInArrow(cut, "doc_id bigint, line string")
+    cut = F.explode(F.filter(F.split("text", "\n"), lambda x: x != ""))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", cut.alias("line"))
 
 
-@query("SELECT doc_id, upper(left(trim(text), 20)) AS head FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[ -~]*')")
+@query("SELECT doc_id, replace(left(trim(text, ' '), 20), ' ', '_') AS head FROM documents WHERE text IS NOT NULL")
 def g04_compose(spark, sf):
-    return heads(table(spark, sf, "documents").where(F.col("text").rlike(r"^[ -~]*\z")).select("doc_id", "text"))
-
-
-@query()
-def g04_compose_whole(spark, sf):
-    return heads(table(spark, sf, "documents").where("text is not null").select("doc_id", "text"))
-
-
-def heads(d):
-    steps = (lambda x: x.withColumn("text", F.trim("text")), lambda x: x.withColumn("text", F.left("text", F.lit(20))), lambda x: x.select("doc_id", F.upper("text").alias("head")))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    steps = (lambda x: x.withColumn("text", F.trim("text")), lambda x: x.withColumn("text", F.left("text", F.lit(20))), lambda x: x.select("doc_id", F.replace("text", F.lit(" "), F.lit("_")).alias("head")))
     for s in steps:
         d = d.transform(s)
     return d

@@ -169,13 +169,8 @@ def x45_penalty_temperature(spark, sf):
 
 
 @query("""
-    SELECT record_id, g[1]::INTEGER AS token, list_sort(list_distinct(list(g[2])))::INTEGER[] AS banned FROM (SELECT record_id, unnest([[input_ids[i], input_ids[i + 1]] for i in range(1, len(input_ids))]) AS g FROM (SELECT DISTINCT record_id, input_ids FROM pack_records WHERE len(input_ids) BETWEEN 2 AND 60)) GROUP BY ALL""")
+    SELECT record_id, g[1]::INTEGER AS token, list_sort(list_distinct(list(g[2])))::INTEGER[] AS banned FROM (SELECT record_id, unnest([[input_ids[i], input_ids[i + 1]] for i in range(1, len(input_ids))]) AS g FROM (SELECT DISTINCT record_id, input_ids FROM pack_records WHERE len(input_ids) >= 2)) GROUP BY ALL""")
 def x45_ngram_ban(spark, sf):
-    return banned_next(table(spark, sf, "pack_records").where("size(input_ids) between 2 and 60"))
-
-
-@query()
-def x45_ngram_ban_whole(spark, sf):
     return banned_next(table(spark, sf, "pack_records").where("size(input_ids) >= 2"))
 
 

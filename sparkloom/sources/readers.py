@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import io
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .tokenfile import opened
 
 SPAN = "STRUCT<text: STRING>"
 NESTED_QA = f"data ARRAY<STRUCT<paragraphs: ARRAY<STRUCT<context: STRING, qas: ARRAY<STRUCT<question: STRING, answers: ARRAY<{SPAN}>>>>>>>"
@@ -130,12 +139,86 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.md5("content").alias("md5"))
 
 
+def from_function(calls: DataFrame, argument: str, rows, schema: str) -> DataFrame:
+    """What a generator function yields for each row's argument, run where the row is; batches of 4,096."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                held = []
+                for r in rows(x):
+                    held.append(r)
+                    if len(held) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
+
+    return calls.select(argument).mapInArrow(run, kind)
+
+
+def embeddings(spark: SparkSession, path: str, unknown: str = "[UNK]", padding: str = "[PAD]", extended: DataFrame | None = None, only: bool = False) -> DataFrame:
+    """``token, embedding`` of npz files of ``vocab`` and ``embedding``, the unknown token's and the padding's zeros after
+    them. With a vocabulary ``extended`` (one column of tokens) its tokens come too, zeros where they have no vector;
+    ``only`` leaves out what isn't in it."""
+
+    def rows(file: str):
+        with np.load(io.BytesIO(opened(file).read())) as z:
+            yield from zip(z["vocab"].tolist(), z["embedding"].tolist(), strict=True)
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    got = from_function(files, "path", rows, "token string, embedding array<float>")
+    if extended is not None:
+        more = extended.toDF("token").distinct()
+        got = got.join(more, "token", "right" if only else "full")
+    got = got.unionByName(spark.createDataFrame([(unknown, None), (padding, None)], got.schema)).dropDuplicates(["token"])
+    width = got.agg(F.max(F.size("embedding")).alias("w"))  # one row
+    return got.join(F.broadcast(width), F.lit(True)).select("token", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), F.col("w"))).alias("embedding"))
+
+
+class Splits(tuple):
+    """Frames of a data set by place, slice or split name."""
+
+    def __new__(cls, frames: dict[str, DataFrame]) -> Splits:
+        made = super().__new__(cls, frames.values())
+        made.names = tuple(frames)
+        return made
+
+    def __getitem__(self, key):
+        return super().__getitem__(self.names.index(key) if isinstance(key, str) else key)
+
+    def union(self, column: str) -> DataFrame:
+        """All rows, with the name of their split."""
+        marked = [df.withColumn(column, F.lit(name)) for name, df in zip(self.names, self, strict=True)]
+        return reduce(DataFrame.unionByName, marked)
+
+
+def with_labels(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """``df`` with the label names of a column of label numbers in its metadata."""
+    return df.withMetadata(column, {"names": list(names)})
+
+
+def label_names(df: DataFrame) -> list[str]:
+    """The label names of the last column that has some; none of a frame without."""
+    return next((f.metadata["names"] for f in reversed(df.schema.fields) if "names" in f.metadata), [])
+
+
+def adapted(data: DataFrame | dict[str, DataFrame] | list[DataFrame], splits: tuple[str, ...] = ()) -> Splits | DataFrame:
+    """What a loader of another library gives: frames by split, frames in the order of ``splits``, or one frame as it is.
+    Label names stay with each frame (``label_names``)."""
+    if isinstance(data, dict):
+        return Splits(data)
+    return Splits(dict(zip(splits, data, strict=True))) if isinstance(data, list) else data
+
+
 #: Name to reader, for callers that choose by name; each takes the session and a path.
 REGISTRY = {f.__name__: f for f in (json_texts, plain_documents, word_problems, masked_facts, web_questions, open_questions, alias_questions, nested_qa, text_lines, labelled_folders, stories, checksums)}
 
 
-def load(spark: SparkSession, name: str, path: str, splits: tuple[str, ...] = (), **options) -> DataFrame | dict[str, DataFrame]:
+def load(spark: SparkSession, name: str, path: str, splits: tuple[str, ...] = (), **options) -> DataFrame | Splits:
     """A registered reader's rows; with splits a frame for each, from the folder of its name."""
     if name not in REGISTRY:
         raise ValueError(f"no reader {name!r}; there are {', '.join(sorted(REGISTRY))}")
-    return {s: REGISTRY[name](spark, f"{path}/{s}", **options) for s in splits} if splits else REGISTRY[name](spark, path, **options)
+    return Splits({s: REGISTRY[name](spark, f"{path}/{s}", **options) for s in splits}) if splits else REGISTRY[name](spark, path, **options)

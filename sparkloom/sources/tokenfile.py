@@ -1,15 +1,19 @@
 """The binary token file: a flat array of ids in ``.bin`` and sizes, pointers and document starts in ``.idx``.
 
 Registered as a data source: ``spark.read.format("tokenfile").load(prefix)`` gives ``item, doc, tokens``, a partition for
-each run of items, each read from its byte range only. ``write`` gives one pair of files for each partition of the rows.
+each run of items, each read from its byte range only; with the options ``offset`` and ``length`` only that part of each item
+is read, beside its ``size``. ``write`` gives one pair of files for each partition of the rows. Paths may lie on any file
+system that Arrow knows by its scheme, so on what all workers share.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,22 +25,42 @@ CODES = {1: np.uint8, 2: np.int8, 3: np.int16, 4: np.int32, 5: np.int64, 6: np.f
 _CODE = {np.dtype(t): c for c, t in CODES.items()}
 
 
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system a path names, and the path there; without a scheme the local one."""
+    if re.match(r"[a-zA-Z][\w+.-]*:/", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), path
+
+
+def opened(path: str):
+    """A file to read from anywhere in it."""
+    where, at = _at(path)
+    return where.open_input_file(at)
+
+
+def created(path: str):
+    """A new file; the folder it is in is made."""
+    where, at = _at(path)
+    where.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return where.open_output_stream(at)
+
+
 def write_pair(prefix: str, items: list[np.ndarray], docs: list[int], dtype=np.int32) -> None:
     """``docs`` are the items at which documents begin, closed by the number of items."""
     sizes = np.array([len(x) for x in items], np.int32)
     pointers = np.zeros(len(items), np.int64)
     np.cumsum(sizes[:-1].astype(np.int64) * np.dtype(dtype).itemsize, out=pointers[1:])
-    with open(f"{prefix}.bin", "wb") as f:
+    with created(f"{prefix}.bin") as f:
         for x in items:
             f.write(np.asarray(x, dtype).tobytes())
-    with open(f"{prefix}.idx", "wb") as f:
+    with created(f"{prefix}.idx") as f:
         f.write(MAGIC + struct.pack("<QBQQ", 1, _CODE[np.dtype(dtype)], len(items), len(docs)))
         f.write(sizes.tobytes() + pointers.tobytes() + np.array(docs, np.int64).tobytes())
 
 
 def read_index(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray]:
     """(type, sizes, byte pointers, document starts)."""
-    with open(f"{prefix}.idx", "rb") as f:
+    with opened(f"{prefix}.idx") as f:
         raw = f.read()
     if raw[:9] != MAGIC:
         raise ValueError(f"{prefix}.idx is no token index")
@@ -54,14 +78,14 @@ def write_legacy_index(prefix: str, items: list[np.ndarray], docs: list[int], dt
     sizes = np.array([len(x) for x in items], np.int64)
     data = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
     kind = np.dtype(dtype)
-    with open(f"{prefix}.idx", "wb") as f:
+    with created(f"{prefix}.idx") as f:
         f.write(LEGACY_MAGIC + struct.pack("<QQQQQQ", 1, _CODE[kind], kind.itemsize, len(items), len(sizes), len(docs)))
         f.write(np.arange(len(items) + 1, dtype=np.int64).tobytes() + data.tobytes() + sizes.tobytes() + np.array(docs, np.int64).tobytes())
 
 
 def read_legacy_index(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray]:
     """(type, sizes, byte pointers, document starts), as of the newer index."""
-    with open(f"{prefix}.idx", "rb") as f:
+    with opened(f"{prefix}.idx") as f:
         raw = f.read()
     if raw[:8] != LEGACY_MAGIC:
         raise ValueError(f"{prefix}.idx is no legacy index")
@@ -74,12 +98,13 @@ def read_legacy_index(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np
 
 def index_of(prefix: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray]:
     """Either index, told by its first bytes."""
-    with open(f"{prefix}.idx", "rb") as f:
+    with opened(f"{prefix}.idx") as f:
         return (read_legacy_index if f.read(8) == LEGACY_MAGIC else read_index)(prefix)
 
 
-def write(df: DataFrame, folder: str, doc: str, order: str, tokens: str) -> DataFrame:
-    """Writes ``folder/part-N.bin`` and ``.idx``, a pair a partition, a document whole in one; returns what was written."""
+def write(df: DataFrame, folder: str, doc: str, order: str, tokens: str, legacy: bool = False) -> DataFrame:
+    """Writes ``folder/part-N.bin`` and ``.idx``, a pair a partition, a document whole in one; returns what was written.
+    ``legacy`` writes the older index. A task that runs again writes the same files again."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -94,6 +119,8 @@ def write(df: DataFrame, folder: str, doc: str, order: str, tokens: str) -> Data
                 items.append(np.array(x or [], np.int32))
         if items:
             write_pair(f"{folder}/part-{n:05d}", items, [*starts, len(items)])
+            if legacy:
+                write_legacy_index(f"{folder}/part-{n:05d}", items, [*starts, len(items)])
             yield pa.RecordBatch.from_pydict({"prefix": [f"{folder}/part-{n:05d}"], "items": [len(items)], "tokens": [int(sum(map(len, items)))]})
 
     return df.repartition(F.col(doc)).sortWithinPartitions(doc, order).select(doc, tokens).mapInArrow(run, "prefix string, items bigint, tokens bigint")
@@ -105,7 +132,8 @@ class _Range(InputPartition):
 
 
 class TokenFileSource(DataSource):
-    """Options: ``path`` one or several prefixes, comma-separated; they are read in sorted order as one file."""
+    """Options: ``path`` one or several prefixes, comma-separated; they are read in sorted order as one file. ``offset`` and
+    ``length``: the part of each item that is read."""
 
     RUN = 65_536
 
@@ -114,15 +142,16 @@ class TokenFileSource(DataSource):
         return "tokenfile"
 
     def schema(self) -> str:
-        return "item bigint, doc bigint, tokens array<int>"
+        return "item bigint, doc bigint, size int, tokens array<int>" if "length" in self.options else "item bigint, doc bigint, tokens array<int>"
 
     def reader(self, schema) -> DataSourceReader:
-        return TokenFileReader(sorted(p.strip() for p in self.options["path"].split(",")))
+        part = (int(self.options.get("offset", 0)), int(self.options["length"])) if "length" in self.options else None
+        return TokenFileReader(sorted(p.strip() for p in self.options["path"].split(",")), part)
 
 
 class TokenFileReader(DataSourceReader):
-    def __init__(self, prefixes: list[str]) -> None:
-        self.prefixes = prefixes
+    def __init__(self, prefixes: list[str], part: tuple[int, int] | None = None) -> None:
+        self.prefixes, self.part = prefixes, part
 
     def partitions(self) -> list[InputPartition]:
         out, before, kind = [], 0, None
@@ -137,11 +166,14 @@ class TokenFileReader(DataSourceReader):
 
     def read(self, part: _Range):
         dtype, sizes, pointers, docs = index_of(part.prefix)
-        with open(f"{part.prefix}.bin", "rb") as f:
+        with opened(f"{part.prefix}.bin") as f:
             for i in range(part.first, part.last):
-                f.seek(int(pointers[i]))
-                x = np.frombuffer(f.read(int(sizes[i]) * dtype.itemsize), dtype)
-                yield part.before + i, int(np.searchsorted(docs, i, "right")) - 1, x.astype(int).tolist()
+                size = int(sizes[i])
+                skip, n = (0, size) if self.part is None else (min(self.part[0], size), min(self.part[1], max(size - self.part[0], 0)))
+                f.seek(int(pointers[i]) + skip * dtype.itemsize)
+                x = np.frombuffer(f.read(n * dtype.itemsize), dtype).astype(int).tolist()
+                row = part.before + i, int(np.searchsorted(docs, i, "right")) - 1
+                yield (*row, x) if self.part is None else (*row, size, x)
 
 
 def register(spark: SparkSession) -> None:

@@ -99,6 +99,47 @@ def test_legacy_index(spark, tmp_path):
     assert sorted(map(tuple, spark.read.format("tokenfile").load(prefix).collect())) == [(0, 0, [1, 2, 3]), (1, 1, [4, 5])]
 
 
+def test_partial_reads_and_paths_with_a_scheme(spark, tmp_path):
+    items, prefix = [np.arange(10), np.array([], int), np.array([7, 8])], f"file://{tmp_path}/deep/x"
+    tokenfile.write_pair(prefix, items, [0, 1, 2, 3])
+    tokenfile.register(spark)
+    read = spark.read.format("tokenfile").option("offset", 3).option("length", 4)
+    assert sorted(map(tuple, read.load(prefix).collect())) == [(0, 0, 10, [3, 4, 5, 6]), (1, 1, 0, []), (2, 2, 2, [])]
+
+
+def test_splits_by_name_place_and_slice(spark):
+    frames = {n: readers.with_labels(spark.range(i + 1), "id", ["a", "b"]) for i, n in enumerate(("train", "test"))}
+    splits = readers.adapted(frames)
+    assert splits["test"] is splits[1] is frames["test"] and splits[0:1] == (frames["train"],)
+    assert readers.label_names(splits[0].where("id >= 0")) == ["a", "b"] and readers.label_names(spark.range(1)) == []
+    assert readers.adapted(list(frames.values()), ("x", "y"))["y"] is frames["test"] and readers.adapted(frames["test"]) is frames["test"]
+    assert sorted(map(tuple, splits.union("s").collect())) == [(0, "test"), (0, "train"), (1, "test")]
+    with pytest.raises(ValueError):
+        splits["none"]
+
+
+def test_embedding_files(spark, tmp_path):
+    e = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "token string, v array<float>")
+    sinks.embedding_file(e, "token", "v", f"{tmp_path}/e.npz").collect()
+    more = spark.createDataFrame([("b",), ("c",)], "token string")
+    got = {only: {r.token: r.embedding for r in readers.embeddings(spark, f"{tmp_path}/e.npz", extended=more, only=only).collect()} for only in (False, True)}
+    assert got[False] == {"a": [1, 2], "b": [3, 4], "c": [0, 0], "[UNK]": [0, 0], "[PAD]": [0, 0]} and set(got[True]) == {"b", "c", "[UNK]", "[PAD]"}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sparkloom import scratch
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": named} if named else {})
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+
+    with pytest.raises(ValueError):
+        scratch.scratch(session("spark://host:7077"))
+    assert scratch.scratch(session("spark://host:7077", "hdfs://x/y/")).startswith("hdfs://x/y/") and scratch.scratch(session("local[2]"))
+
+
 def test_core_stands_alone():
     code = "import sys; sys.modules['sparkloom.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'subset_translator' in q and set(e.oracle_sql()) <= set(q); assert not any(m.startswith('sparkloom.llm.') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
