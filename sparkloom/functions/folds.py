@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_LATIN = re.compile("[A-Za-z0-9]+")
 STRINGS = T.ArrayType(T.StringType())
 
 
@@ -69,6 +72,26 @@ class Phrases:
         return out
 
 
+def found_spans(trie: Phrases):
+    """A pandas UDF of a text: its spans as structs of ``first`` and ``last``."""
+    kind = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+
+    def find(t: str) -> list[dict]:
+        return [{"first": a, "last": b} for a, b in trie.find(t)]
+
+    return per_row(find, kind)
+
+
+def overridden(length: Column, spans: Column, label: str) -> Column:
+    """A tag a character: B-label and I-label within spans, of several that overlap the last one's, O elsewhere."""
+
+    def tag(i: Column) -> Column:
+        first = F.array_max(F.transform(F.filter(spans, lambda s: (s["first"] <= i) & (i <= s["last"])), lambda s: s["first"]))
+        return F.when(first.isNull(), "O").when(first == i, f"B-{label}").otherwise(f"I-{label}")
+
+    return F.transform(F.sequence(F.lit(0), length - 1), tag)
+
+
 def tag_over(tags: list[str], spans: list[tuple[int, int]], label: str) -> list[str]:
     """Tags with the spans' characters set to B-label and I-label."""
     out = list(tags)
@@ -94,6 +117,23 @@ def word_pieces(word: str, vocabulary: set[str], unknown: str = "[UNK]", longest
     return out
 
 
+def segmenter(words: set[str]) -> Callable[[str], list[str]]:
+    """Runs of Latin letters and digits, and elsewhere the longest known word or one Han character; the rest is no word."""
+    longest = max(map(len, words), default=1)
+
+    def cut(text: str) -> list[str]:
+        out, i = [], 0
+        while i < len(text):
+            run = _LATIN.match(text, i)
+            n = run.end() - i if run else next((k for k in range(min(longest, len(text) - i), 1, -1) if text[i : i + k] in words), 1)
+            if run or "一" <= text[i] <= "鿿":
+                out.append(text[i : i + n])
+            i += n
+        return out
+
+    return cut
+
+
 def whole_word_marks(tokens: list[str], words: set[str], longest: int = 6) -> list[str]:
     """Han tokens that together form a known word: all but its first marked ##; the longest word wins."""
     out, i = [], 0
@@ -109,19 +149,11 @@ def whole_word_marks(tokens: list[str], words: set[str], longest: int = 6) -> li
     return out
 
 
-def restored_delimiters(words: list[str], delimiter: str = " ") -> list[str]:
-    """Of two empty words in a row the second becomes the delimiter; a lone one goes."""
-    out, empty = [], False
-    for w in words:
-        if w:
-            out.append(w)
-            empty = False
-        elif empty:
-            out.append(delimiter)
-            empty = False
-        else:
-            empty = True
-    return out
+def restored_delimiters(text: Column) -> Column:
+    """The words between single blanks; of two empty words in a row the second becomes a blank, a lone one goes. A word takes
+    one blank with it, what is left of a run of blanks counts in pairs; a run at the end has an empty word more."""
+    parts = F.regexp_extract_all(F.when(F.endswith(text, F.lit(" ")), F.concat(text, F.lit(" "))).otherwise(text), F.lit("[^ ]+ ?|  "), F.lit(0))
+    return F.transform(parts, lambda x: F.when(x == "  ", F.lit(" ")).otherwise(F.rtrim(x)))
 
 
 def whole_word_mask(pieces: list[str], order: list[int], share: float = 0.15) -> list[bool]:

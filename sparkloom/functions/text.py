@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,12 +56,52 @@ def chunks(t: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(t) / width).cast("int") - 1, F.lit(0))), lambda i: F.substring(t, i * width + 1, F.lit(width)))
 
 
+def unaccented() -> dict[str, str]:
+    """Characters whose decomposition has marks that take no place, or that are such marks, and what stays of them."""
+    out = {}
+    for c in map(chr, chain(range(0x80, 0xD800), range(0xF900, 0x20000), range(0x2F800, 0x2FA20))):
+        if not 0xAC00 <= ord(c) <= 0xD7A3 and (unicodedata.category(c) == "Mn" or unicodedata.decomposition(c)[:1] not in ("", "<")):
+            out[c] = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+    return out
+
+
+def nfkc_forms() -> dict[str, str]:
+    """Characters of the full-width, small, squared and enclosed blocks in their compatibility form, numbers in circles and
+    Roman numerals as digits between blanks, and one Han character."""
+    # fixed values: the blocks
+    forms = chain(range(0xFF00, 0xFFF0), range(0xFE50, 0xFE6C), range(0x3358, 0x3400), range(0x249C, 0x24EA), range(0x3200, 0x3300))
+    numbers = chain(range(0x2460, 0x249C), range(0x24EA, 0x2500), range(0x2776, 0x2794), range(0x2160, 0x2180))
+    out = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in forms}
+    out |= {chr(c): f" {int(unicodedata.numeric(chr(c)))} " for c in numbers}
+    out[chr(0xF979)] = "凉"
+    return {a: b for a, b in out.items() if a != b}
+
+
+def _mapped(text: Column, table: dict[str, str], syllables: bool = False) -> Column:
+    """Characters replaced by the table: single ones inside the JVM; only texts with one that becomes several leave it, and
+    with ``syllables`` those with Hangul syllables, which come apart."""
+    single = {a: b for a, b in table.items() if len(b) == 1 and ord(a) <= 0xFFFF and ord(b) <= 0xFFFF}
+    none = "".join(a for a, b in table.items() if not b and ord(a) <= 0xFFFF)
+    more = {a: b for a, b in table.items() if a not in single and (b or ord(a) > 0xFFFF)}
+    narrow = F.translate(text, "".join(single) + none, "".join(single.values()))
+    hangul = re.compile("[가-힣]")
+
+    def widened(t: str) -> str:
+        t = t.translate(str.maketrans(more))
+        return hangul.sub(lambda m: unicodedata.normalize("NFD", m[0]), t) if syllables else t
+
+    wide = F.pandas_udf(lambda s: s.map(widened, na_action="ignore"), "string")
+    return F.coalesce(wide(F.when(narrow.rlike("[" + "".join(more) + ("가-힣" if syllables else "") + "]"), narrow)), narrow)
+
+
 def strip_accents(t: Column) -> Column:
-    """Latin letters without their accents, by table."""
-    import unicodedata
+    """Text taken apart into letters and marks, without the marks that take no place."""
+    return _mapped(t, unaccented(), syllables=True)
+
 
-    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-    return F.translate(t, "".join(letters), "".join(unicodedata.normalize("NFD", c)[0] for c in letters))
+def nfkc_selected(t: Column) -> Column:
+    """The text with the characters of ``nfkc_forms`` in their plain form, all others as they are."""
+    return _mapped(t, nfkc_forms())
 
 
 def clean(t: Column) -> Column:

@@ -59,30 +59,67 @@ HOLIDAYS = (
 )
 
 
+def _holiday(rule: tuple, year: Column) -> Column:
+    """The day of a rule in a year; weekday() is 0 for Monday."""
+    _, month, day = rule
+    start = F.make_date(year, F.lit(month), F.lit(1))
+    if isinstance(day, int):
+        return F.date_add(start, day - 1)
+    weekday, which = day
+    if which < 0:
+        end = F.last_day(start)
+        return F.date_sub(end, F.pmod(F.weekday(end) - weekday, F.lit(7)))
+    return F.date_add(start, F.pmod(F.lit(weekday) - F.weekday(start), F.lit(7)) + 7 * (which - 1))
+
+
 def holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
     """``(name, day)`` of the years, by rule."""
-    rules = [(n, m, d if isinstance(d, int) else None, None if isinstance(d, int) else d[0], None if isinstance(d, int) else d[1]) for n, m, d in HOLIDAYS]
-    rules = spark.createDataFrame(rules, "name string, month int, day_of_month int, weekday int, which int")
     years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
-    start = F.make_date("year", "month", F.lit(1))
-    # weekday() is 0 for Monday
-    first_one = F.date_add(start, F.pmod(F.col("weekday") - F.weekday(start), F.lit(7)))
-    end = F.last_day(start)
-    last_one = F.date_sub(end, F.pmod(F.weekday(end) - F.col("weekday"), F.lit(7)))
-    day = F.when(F.col("day_of_month").isNotNull(), F.make_date("year", "month", "day_of_month")).when(F.col("which") > 0, F.date_add(first_one, 7 * (F.col("which") - 1))).otherwise(last_one)
-    return years.join(F.broadcast(rules), F.lit(True)).select("name", day.alias("day"))
+    days = F.array(*[F.struct(F.lit(r[0]).alias("name"), _holiday(r, F.col("year")).alias("day")) for r in HOLIDAYS])
+    return years.select(F.explode(days).alias("h")).select("h.name", "h.day")
 
 
 def calendar(call: Column, as_of: Column) -> Column:
-    """'[ Calendar(d) ]' and '[ Calendar(d1, d2) ]' answered: the weekday, and the days between; 'today' is ``as_of``."""
-    args = F.transform(F.split(F.regexp_extract(call, r"Calendar\(([^)]*)\)", 1), ","), lambda a: F.trim(a))
-
-    def day(i: int) -> Column:
-        a = F.get(args, i)
-        return F.when(F.lower(a).isin("today", "current", "now"), as_of).otherwise(F.try_to_date(a, "yyyy-M-d"))
-
-    one, two = day(0), day(1)
-    text = F.when(F.size(args) == 1, F.date_format(one, "EEEE")).otherwise(F.concat(F.date_format(one, "EEEE"), F.lit(", "), F.date_format(two, "EEEE"), F.lit(", "), F.abs(F.datediff(two, one)).cast("string"), F.lit(" days")))
-    return F.when(text.isNull(), call).otherwise(F.concat(F.substring_index(call, "]", 1), F.lit("-> "), text, F.lit(" ]")))
-
-
+    """'[ Calendar(d) ]' and '[ Calendar(d1,d2) ]' answered before the bracket: the weekday of each date and the holiday it is,
+    and the days between. A date is 'today' (also 'current', 'now': ``as_of``), year-month-day, or part of a holiday's name, of
+    the first date's year or that of ``as_of``. A call without a date stays as it is."""
+    args = F.transform(F.split(F.regexp_extract(call, r"Calendar\((.*)\)", 1), ","), lambda a: F.trim(a))
+    nothing = F.struct(F.lit(None).cast("date").alias("day"), F.lit("").alias("text"))
+
+    def named(day: Column) -> Column:
+        name = F.coalesce(*[F.when(_holiday(r, F.year(day)) == day, F.lit(r[0])) for r in HOLIDAYS])
+        return F.coalesce(F.concat(F.lit(", "), name, F.lit(" of "), F.year(day).cast("string")), F.lit(""))
+
+    def dated(a: Column, year: Column) -> Column:
+        given, weekday = F.try_to_date(a, "yyyy-M-d"), lambda d: F.date_format(d, "EEEE")
+        found = F.coalesce(*[F.when(F.contains(F.lit(r[0].lower()), F.lower(a)), _holiday(r, year)) for r in HOLIDAYS])
+        full = lambda d: F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(", "), weekday(d))
+        result = F.when(F.lower(a).isin("today", "current", "now"), F.struct(as_of.alias("day"), F.concat(full(as_of), named(as_of)).alias("text")))
+        result = result.when(a.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), F.struct(given.alias("day"), F.concat(weekday(given), named(given)).alias("text")))
+        return F.coalesce(result.otherwise(F.struct(found.alias("day"), full(found).alias("text"))), nothing)
+
+    def bound(value: Column, f) -> Column:
+        # an array of one binds a value that is used more than once
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def one(a: Column) -> Column:
+        return bound(dated(a, F.year(as_of)), lambda x: F.when(x["day"].isNotNull(), F.concat(a, F.lit(" is "), x["text"], F.lit(" ]"))))
+
+    def two(a: Column, b: Column) -> Column:
+        def both(x: Column) -> Column:
+            return bound(dated(b, F.coalesce(F.year(x["day"]), F.year(as_of))), lambda y: text(x, y))
+
+        def text(x: Column, y: Column) -> Column:
+            said = [F.when(z["day"].isNotNull(), F.concat(w, F.lit(" is "), z["text"], F.lit(". "))).otherwise("") for w, z in ((a, x), (b, y))]
+            n = F.datediff(y["day"], x["day"])
+            span = lambda p, q: F.concat(F.lit("The days from "), p, F.lit(" until "), q, F.lit(" is "), F.abs(n).cast("string"), F.lit(" days. "))
+            apart = F.when(n > 0, span(a, b)).when(n < 0, span(b, a)).when(n == 0, F.concat(a, F.lit(" is "), b, F.lit(". "))).otherwise("")
+            return F.when(x["day"].isNotNull() | y["day"].isNotNull(), F.concat(*said, apart, F.lit(" ]")))
+
+        return bound(dated(a, F.year(as_of)), both)
+
+    def answer(x: Column) -> Column:
+        return F.when(F.size(x) == 1, one(x[0])).when(F.size(x) == 2, two(F.get(x, F.lit(0)), F.get(x, F.lit(1))))
+
+    said = F.when(call.rlike(r"Calendar\(.*\)"), bound(args, answer))
+    return F.coalesce(F.concat(F.substring_index(call, "]", 1), F.lit("-> "), said), call)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import ngrams
@@ -67,6 +68,38 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.aggregate(a, zeros, row)), F.lit(0))
 
 
+def rouge_l(precision: Column, recall: Column, gamma: float = 1.2) -> Column:
+    """The F measure that weighs recall by gamma squared; 0 where both are."""
+    return F.coalesce(F.try_divide((1 + gamma**2) * precision * recall, recall + gamma**2 * precision), F.lit(0.0))
+
+
+def chunks(df: DataFrame, keys: list[str], order: str, tag: str) -> DataFrame:
+    """``(keys, kind, first, last)``: the chunks that tags like B-X, I-X, E-X, S-X and O spell. A chunk begins at B or S, after
+    E, S or O, and where the kind changes; it goes on to the next beginning or O."""
+    by = W.partitionBy(*keys).orderBy(order)
+    t = df.select(*keys, order, F.substring(tag, 1, 1).alias("_p"), F.expr(f"substring({tag}, 3)").alias("_k"))
+    t = t.withColumn("_q", F.coalesce(F.lag("_p").over(by), F.lit("O"))).withColumn("_l", F.coalesce(F.lag("_k").over(by), F.lit("")))
+    new = F.col("_p").isin("B", "S") | F.col("_q").isin("E", "S", "O") | (F.col("_k") != F.col("_l"))
+    t = t.withColumn("_n", F.sum(new.cast("int")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow))).where("_p <> 'O'")
+    return t.groupBy(*keys, F.col("_k").alias("kind"), "_n").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_n")
+
+
+def sentence_rates(df: DataFrame, metrics: dict[str, str]) -> DataFrame:
+    """A row a metric of counts and rates over sentences that are ``bad`` or not: right where the metric's column holds; one
+    that isn't bad is a false alarm where it isn't the ``same``. A rate of nothing is NaN."""
+    bad, nan = F.col("bad"), F.lit(float("nan"))
+    counts = [F.struct(F.lit(name).alias("metric"), F.count_if(bad & F.col(ok)).alias("tp"), F.count_if(~bad & ~F.col("same")).alias("fp"), F.count_if(bad & ~F.col(ok)).alias("fn")) for name, ok in metrics.items()]
+    got = df.agg(F.array(*counts).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    rate = lambda n: F.when(F.col("tp") + F.col(n) > 0, F.round(F.col("tp") / (F.col("tp") + F.col(n)), 9)).otherwise(nan)
+    return got.select("metric", "tp", "fp", "fn", rate("fp").alias("precision"), rate("fn").alias("recall"))
+
+
+def matches(gold: DataFrame, guess: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys of the rows, gold, guess)`` with 1 where the row is among them; both sides count a row once."""
+    both = gold.withColumn("gold", F.lit(1)).withColumn("guess", F.lit(0)).unionByName(guess.withColumn("gold", F.lit(0)).withColumn("guess", F.lit(1)))
+    return both.groupBy(*keys).agg(F.max("gold").alias("gold"), F.max("guess").alias("guess"))
+
+
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """``label, tp, fp, fn`` of each class seen on either side."""
     sides = df.select(F.explode(F.array(F.struct(F.col(truth).alias("label"), F.lit(1).alias("t"), F.lit(0).alias("g")), F.struct(F.col(guess).alias("label"), F.lit(0).alias("t"), F.lit(1).alias("g")))).alias("s"), (F.col(truth) == F.col(guess)).cast("int").alias("hit"))

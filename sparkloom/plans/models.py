@@ -28,6 +28,16 @@ class Echo:
         return list(texts)
 
 
+class WordByWord:
+    """A stand-in translator of a few words: each known word, without case, becomes its counterpart."""
+
+    def __init__(self, words: dict[str, str]) -> None:
+        self.words = words
+
+    def complete(self, texts: list[str | None]) -> list[str | None]:
+        return [None if t is None else " ".join(self.words.get(w.lower(), w) for w in t.split(" ")) for t in texts]
+
+
 def scored(df: DataFrame, text: str, model: Model, out: str = "score") -> DataFrame:
     """``df`` with the model's score of a text column; null stays null if the model says so."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])

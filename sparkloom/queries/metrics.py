@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import tokens
 from ..functions.text import answer_form
 from ..operators import metrics as M
+from ..operators.ordered import pointer_spans
 from ..registry import query, table
 from .selection import CALLS, TOKENS, calls
 from .texts import answer_sql
@@ -86,18 +87,18 @@ def _bleu(spark, sf):
 
 BLEU = f"""
     p AS (SELECT pred_id, {TOKENS.format('prediction')} AS cand, [{TOKENS.format('a')} for a in answers] AS refs FROM {PREDICTIONS} JOIN (SELECT item_id, answers FROM eval_items WHERE len(answers) > 0) USING (item_id)),
-    k AS (SELECT unnest([1, 2]) AS n),
+    k AS (SELECT unnest([1, 2, 3, 4]) AS n),
     c AS (SELECT pred_id, n, unnest([array_to_string(cand[i:i + n - 1], ' ') for i in range(1, len(cand) - n + 2)]) AS g FROM p, k),
     cc AS (SELECT pred_id, n, g, count(*) AS have FROM c GROUP BY ALL),
-    r AS (SELECT pred_id, i, n, unnest([array_to_string(refs[i][j:j + n - 1], ' ') for j in range(1, len(refs[i]) - n + 2)]) AS g FROM p, k, range(1, 20) t(i) WHERE i <= len(refs)),
+    r AS (SELECT pred_id, i, n, unnest([array_to_string(refs[i][j:j + n - 1], ' ') for j in range(1, len(refs[i]) - n + 2)]) AS g FROM p, k, unnest(range(1, len(refs) + 1)) t(i)),
     rc AS (SELECT pred_id, n, g, max(m) AS most FROM (SELECT pred_id, i, n, g, count(*) AS m FROM r GROUP BY ALL) GROUP BY ALL),
     s AS (SELECT n, sum(least(have, coalesce(most, 0)))::DOUBLE AS m, sum(have)::DOUBLE AS t FROM cc LEFT JOIN rc USING (pred_id, n, g) GROUP BY n),
     l AS (SELECT sum(len(cand))::DOUBLE AS c, sum(list_sort([[abs(len(x) - len(cand)), len(x)] for x in refs])[1][2])::DOUBLE AS r FROM p)"""
 
 
-@query(f"WITH {BLEU} SELECT round((SELECT CASE WHEN c < r THEN exp(1 - r / c) ELSE 1.0 END FROM l) * exp(sum(ln(greatest(m / t, 2.2250738585072014e-308))) / 2), 9) AS bleu FROM s")
+@query(f"WITH {BLEU} SELECT round((SELECT CASE WHEN c < r THEN exp(1 - r / c) ELSE 1.0 END FROM l) * exp(sum(ln(greatest(m / t, 2.2250738585072014e-308))) / 4), 9) AS bleu FROM s")
 def a06_bleu(spark, sf):
-    return M.bleu(M.bleu_counts(_bleu(spark, sf), "cand", "refs", 2), 2).select(F.round("bleu", 9).alias("bleu"))
+    return M.bleu(M.bleu_counts(_bleu(spark, sf), "cand", "refs", 4), 4).select(F.round("bleu", 9).alias("bleu"))
 
 
 @query(f"""
@@ -108,13 +109,22 @@ def a08_rouge_n(spark, sf):
     return p.agg((F.sum(F.size(F.array_intersect("c", "r"))).cast("double") / F.sum(F.size("r")).cast("double")).alias("rouge_1"))
 
 
-@query()
+#: A row a prediction and reference k with the length n of their longest common subsequence, by rows of the table of lengths.
+LCS = f"""
+    p AS (SELECT pred_id, {TOKENS.format('prediction')} AS cand, [{TOKENS.format('a')} for a in answers] AS refs FROM {PREDICTIONS} JOIN (SELECT item_id, answers FROM eval_items WHERE len(answers) > 0) USING (item_id)),
+    f AS (SELECT pred_id, cand, k, refs[k] AS ref, 0 AS i, [0 for x in refs[k]] AS row FROM p, unnest(range(1, len(refs) + 1)) t(k)
+      UNION ALL SELECT pred_id, cand, k, ref, i + 1, [list_max(t[1:j]) for j in range(1, len(t) + 1)] FROM (
+        SELECT *, [CASE WHEN ref[j] = cand[i + 1] THEN coalesce(CASE WHEN j > 1 THEN row[j - 1] END, 0) + 1 ELSE row[j] END for j in range(1, len(ref) + 1)] AS t FROM f WHERE i < len(cand))),
+    l AS (SELECT pred_id, k, len(cand) AS c, len(ref) AS r, coalesce(row[len(ref)], 0) AS n, lower(cand[1]) AS one, lower(ref[1]) AS other FROM f WHERE i = len(cand))"""
+_ROUGE = "coalesce(2.44 * p * r / nullif(r + 1.44 * p, 0), 0)"
+
+
+@query(f"WITH RECURSIVE {LCS} SELECT round(avg({_ROUGE}), 9) AS rouge_l FROM (SELECT pred_id, coalesce(max(n) / nullif(max(c), 0), 0)::DOUBLE AS p, max(coalesce(n / nullif(r, 0), 0))::DOUBLE AS r FROM l GROUP BY pred_id)")
 def a09_rouge_l(spark, sf):
     p = _bleu(spark, sf)
     lcs = F.transform("refs", lambda r: M.lcs_length(F.col("cand"), r))
     p = p.select(F.coalesce(F.try_divide(F.array_max(lcs).cast("double"), F.size("cand").cast("double")), F.lit(0.0)).alias("p"), F.array_max(F.zip_with(lcs, "refs", lambda n, r: F.coalesce(F.try_divide(n.cast("double"), F.size(r).cast("double")), F.lit(0.0)))).alias("r"))
-    g = 1.2**2
-    return p.agg(F.round(F.avg(F.coalesce(F.try_divide((1 + g) * F.col("p") * F.col("r"), F.col("r") + g * F.col("p")), F.lit(0.0))), 9).alias("rouge_l"))
+    return p.agg(F.round(F.avg(M.rouge_l(F.col("p"), F.col("r"))), 9).alias("rouge_l"))
 
 
 @query(f"""
@@ -195,35 +205,75 @@ def a17_confusion(spark, sf):
     return got.select("label", "tp", "fp", "fn", *[F.round(k, 9).alias(k) for k in ("precision", "recall", "f1")])
 
 
-def spans(spark, sf):
-    """Runs of tokens of a pack record with and without labels stand for gold and guessed entities."""
+# Tags of tokens stand in the records' ids: what ids divisible by 7 are guessed to be is off.
+KINDS = ("O", "B-A", "I-A", "B-B", "I-B")
+_TOKENS = "(SELECT record_id, tool, unnest(input_ids) AS x, generate_subscripts(input_ids, 1) - 1 AS pos FROM (SELECT DISTINCT record_id, tool, input_ids FROM pack_records WHERE len(input_ids) > 0))"
+
+
+def record_tokens(spark, sf):
     recs = table(spark, sf, "pack_records").where("size(input_ids) > 0").select("record_id", "tool", "input_ids").distinct()
-    t = recs.select("record_id", "tool", F.posexplode("input_ids").alias("pos", "id"))
-    return t.select("record_id", "tool", "pos", (F.col("id") % 7).alias("gold"), (F.col("id") % 5).alias("guess"))
+    return recs.select("record_id", "tool", F.posexplode("input_ids").alias("pos", "x"))
 
 
-@query("""
-    WITH t AS (SELECT record_id, tool, z[1] AS pos, z[2] % 7 AS gold, z[2] % 5 AS guess FROM (SELECT record_id, tool, unnest(list_zip(range(len(input_ids)), input_ids)) AS z FROM (SELECT DISTINCT record_id, tool, input_ids FROM pack_records WHERE len(input_ids) > 0)))
-    SELECT tool, count_if(gold = 1 AND guess = 1)::BIGINT AS correct, count_if(guess = 1)::BIGINT AS inferred, count_if(gold = 1)::BIGINT AS gold FROM t GROUP BY tool""")
+def _chunk_sql(column: str) -> str:
+    starts = "tag[1] = 'B' OR coalesce(prev, 'O') = 'O' OR substr(prev, 3) <> substr(tag, 3)"
+    t = f"SELECT record_id, tool, pos, {column} AS tag, lag({column}) OVER (PARTITION BY record_id, tool ORDER BY pos) AS prev FROM t"
+    return f"(SELECT record_id, tool, substr(tag, 3) AS kind, min(pos) AS a, max(pos) AS b FROM (SELECT *, sum(({starts})::INTEGER) OVER (PARTITION BY record_id, tool ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM ({t})) WHERE tag <> 'O' GROUP BY record_id, tool, substr(tag, 3), n)"
+
+
+_RATES = "round(coalesce(correct / nullif(inferred, 0), 0), 9)::DOUBLE AS precision, round(coalesce(correct / nullif(gold, 0), 0), 9)::DOUBLE AS recall"
+
+
+def _rates(df):
+    """Counts with precision and recall, 0 of nothing."""
+    rate = lambda n: F.round(F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col(n).cast("double")), F.lit(0.0)), 9)
+    return df.select("tool", "correct", "inferred", "gold", rate("inferred").alias("precision"), rate("gold").alias("recall"))
+
+
+@query(f"""
+    WITH t AS (SELECT record_id, tool, pos, {list(KINDS)}[x % 5 + 1] AS gold, {list(KINDS)}[CASE WHEN x % 7 = 0 THEN x // 5 ELSE x END % 5 + 1] AS guess FROM {_TOKENS}),
+    g AS {_chunk_sql('gold')}, h AS {_chunk_sql('guess')}, n AS (SELECT tool, (SELECT count(*) FROM g JOIN h USING (record_id, kind, a, b) WHERE g.tool IS NOT DISTINCT FROM k.tool AND h.tool IS NOT DISTINCT FROM k.tool) AS correct, (SELECT count(*) FROM h WHERE h.tool IS NOT DISTINCT FROM k.tool) AS inferred, (SELECT count(*) FROM g WHERE g.tool IS NOT DISTINCT FROM k.tool) AS gold FROM (SELECT DISTINCT tool FROM t) k)
+    SELECT tool, correct, inferred, gold, {_RATES} FROM n""")
 def a18_chunk_counts(spark, sf):
-    s = spans(spark, sf)
-    return s.groupBy("tool").agg(F.count_if((F.col("gold") == 1) & (F.col("guess") == 1)).alias("correct"), F.count_if(F.col("guess") == 1).alias("inferred"), F.count_if(F.col("gold") == 1).alias("gold"))
+    kind = lambda n: F.get(F.array(*map(F.lit, KINDS)), (n % 5).cast("int"))
+    x = F.col("x")
+    t = record_tokens(spark, sf).select("record_id", "tool", "pos", kind(x).alias("gold"), kind(F.when(x % 7 == 0, F.floor(x / 5)).otherwise(x)).alias("guess"))
+    m = M.matches(M.chunks(t, ["record_id", "tool"], "pos", "gold"), M.chunks(t, ["record_id", "tool"], "pos", "guess"), ["record_id", "tool", "kind", "first", "last"])
+    return _rates(m.groupBy("tool").agg(F.sum(F.col("gold") * F.col("guess")).alias("correct"), F.sum("guess").alias("inferred"), F.sum("gold").alias("gold")))
 
 
-@query("""
-    WITH t AS (SELECT record_id, list_distinct([x % 11 for x in input_ids]) AS a, list_distinct([x % 13 for x in labels]) AS b FROM (SELECT DISTINCT record_id, input_ids, labels FROM pack_records WHERE input_ids IS NOT NULL AND labels IS NOT NULL))
-    SELECT sum(len(list_intersect(a, b)))::BIGINT AS correct, sum(len(a))::BIGINT AS inferred, sum(greatest(len(b), 1))::BIGINT AS gold FROM t""")
+def _span_sql(start: str, stop: str) -> str:
+    return f"(SELECT tool, record_id, max(s.pos) AS a, e.pos AS b FROM (SELECT * FROM t WHERE {start}) s ASOF JOIN (SELECT record_id AS r, pos FROM t WHERE {stop}) e ON s.record_id = e.r AND s.pos <= e.pos GROUP BY tool, record_id, e.pos)"
+
+
+@query(f"""
+    WITH t AS {_TOKENS}, g AS {_span_sql('x % 5 = 1 AND x % 7 <> 0', 'x % 5 = 2')}, h AS {_span_sql('x % 5 = 1', 'x % 5 = 2 AND x % 11 <> 0')},
+    c AS (SELECT tool, sum(n)::BIGINT AS gold FROM (SELECT tool, greatest(count_if(x % 5 = 1 AND x % 7 <> 0), count_if(x % 5 = 2)) AS n FROM t GROUP BY tool, record_id) GROUP BY tool),
+    n AS (SELECT tool, (SELECT count(*) FROM g JOIN h USING (tool, record_id, a, b) WHERE g.tool = c.tool) AS correct, (SELECT count(*) FROM h WHERE h.tool = c.tool) AS inferred, gold FROM c WHERE tool IS NOT NULL)
+    SELECT tool, correct, inferred, gold, {_RATES} FROM n""")
 def a19_span_counts(spark, sf):
-    recs = table(spark, sf, "pack_records").where("input_ids is not null and labels is not null").select("record_id", "input_ids", "labels").distinct()
-    a, b = F.array_distinct(F.transform("input_ids", lambda x: x % 11)), F.array_distinct(F.transform("labels", lambda x: x % 13))
-    return recs.agg(F.sum(F.size(F.array_intersect(a, b))).alias("correct"), F.sum(F.size(a)).alias("inferred"), F.sum(F.greatest(F.size(b), F.lit(1))).alias("gold"))
+    """Spans by their starts and ends, guessed and gold; of gold there are as many as starts or ends, which are more."""
+    t, keys = record_tokens(spark, sf).where("tool is not null"), ["record_id", "tool"]
+    start, stop, x = F.col("x") % 5 == 1, F.col("x") % 5 == 2, F.col("x")
+    gold, guess = pointer_spans(t, keys, "pos", start & (x % 7 != 0), stop), pointer_spans(t, keys, "pos", start, stop & (x % 11 != 0))
+    m = M.matches(gold, guess, [*keys, "start", "stop"]).groupBy("tool").agg(F.sum(F.col("gold") * F.col("guess")).alias("correct"), F.sum("guess").alias("inferred"))
+    n = t.groupBy(*keys).agg(F.greatest(F.count_if(start & (x % 7 != 0)), F.count_if(stop)).alias("n")).groupBy("tool").agg(F.sum("n").alias("gold"))
+    return _rates(n.join(m, "tool", "left").fillna(0))
 
 
 @query(f"""
-    WITH {SCORED} SELECT count_if(has_ans AND form <> '')::BIGINT AS tp, count_if(has_ans AND form = '')::BIGINT AS fn, count_if(NOT has_ans AND form <> '')::BIGINT AS fp FROM s""")
+    WITH t AS (SELECT record_id, tool, x % 50 = 0 AS wrong, (x % 50 = 0 AND x % 150 <> 0) OR x % 997 = 0 AS seen, x % 11 AS good, (CASE WHEN x % 200 = 0 THEN x + 1 ELSE x END) % 11 AS put FROM {_TOKENS}),
+    r AS (SELECT record_id, tool, bool_or(wrong) AS bad, bool_and(wrong = seen) AS same, bool_and(wrong::INTEGER * good = seen::INTEGER * put) AS mended FROM t GROUP BY ALL),
+    k AS (SELECT 'detection' AS metric, count_if(bad AND same) AS tp, count_if(bad AND NOT same) AS fn, count_if(NOT bad AND NOT same) AS fp FROM r UNION ALL SELECT 'correction', count_if(bad AND mended), count_if(bad AND NOT mended), count_if(NOT bad AND NOT same) FROM r)
+    SELECT metric, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 9) ELSE 'nan'::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 9) ELSE 'nan'::DOUBLE END AS recall FROM k""")
 def a20_sentence_detection(spark, sf):
-    has, said = F.col("has_ans"), F.col("form") != ""
-    return scored(spark, sf).agg(F.count_if(has & said).alias("tp"), F.count_if(has & ~said).alias("fn"), F.count_if(~has & said).alias("fp"))
+    """Records as sentences: right if every place of an error is seen, and mended if every such place holds the right token."""
+    x = F.col("x")
+    wrong, seen = x % 50 == 0, ((x % 50 == 0) & (x % 150 != 0)) | (x % 997 == 0)
+    put = F.when(x % 200 == 0, x + 1).otherwise(x) % 11
+    t = record_tokens(spark, sf).select("record_id", "tool", wrong.alias("wrong"), seen.alias("seen"), (wrong.cast("int") * (x % 11) == seen.cast("int") * put).alias("fits"))
+    r = t.groupBy("record_id", "tool").agg(F.bool_or("wrong").alias("bad"), F.bool_and(F.col("wrong") == F.col("seen")).alias("same"), F.bool_and("fits").alias("mended"))
+    return M.sentence_rates(r, {"detection": "same", "correction": "mended"})
 
 
 @query(f"""

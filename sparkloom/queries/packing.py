@@ -9,7 +9,7 @@ from ..functions.predicates import tokens
 from ..operators import collate as B
 from ..operators import ordered as O
 from ..operators.relational import numbered, ordered_list
-from ..registry import query, table
+from ..registry import ORACLES, query, table
 from .ordered import RECORDS, records
 from .selection import TOKENS
 
@@ -176,9 +176,15 @@ def d02_eligible_places(spark, sf):
     return words(spark, sf, "x").select("item_id", D.eligible(F.col("t"), STOP).alias("places"))
 
 
-@query(f"SELECT item_id, array_to_string([CASE WHEN list_contains(pl, i - 1) THEN CASE lower(t[i]) WHEN 'which' THEN 'what' WHEN 'how' THEN 'in what way' ELSE t[i] END ELSE t[i] END for i in range(1, len(t) + 1)], ' ') AS text FROM {counted('sub')}")
+@query(f"""
+    WITH m AS (SELECT map(list(a), list(b)) AS m FROM (SELECT e.word AS a, min(d.word) AS b FROM common_words e JOIN common_words d ON e.lang = d.lang AND d.freq_rank = e.freq_rank + 1 WHERE e.lang = 'en' GROUP BY e.word))
+    SELECT item_id, array_to_string([CASE WHEN list_contains(pl, i - 1) THEN coalesce(m[lower(t[i])], t[i]) ELSE t[i] END for i in range(1, len(t) + 1)], ' ') AS text FROM {counted('sub')}, m""")
 def d03_substitute(spark, sf):
-    return words(spark, sf, "sub").select("item_id", F.array_join(D.substitute(F.col("t"), F.col("at"), {"which": "what", "how": "in what way"}), " ").alias("text"))
+    """By a dictionary: each common word by the next in rank; the table is of a fixed size."""
+    c = table(spark, sf, "common_words").where("lang = 'en'")
+    rows = c.select("freq_rank", F.col("word").alias("a")).join(c.select((F.col("freq_rank") - 1).alias("freq_rank"), F.col("word").alias("b")), "freq_rank").groupBy("a").agg(F.min("b").alias("b"))
+    words_ = {r.a: r.b for r in rows.toLocalIterator()}
+    return words(spark, sf, "sub").select("item_id", F.array_join(D.substitute(F.col("t"), F.col("at"), words_), " ").alias("text"))
 
 
 @query(f"SELECT item_id, array_to_string([CASE WHEN list_contains(pl, i - 1) THEN 'indeed ' || t[i] ELSE t[i] END for i in range(1, len(t) + 1)], ' ') AS text FROM {counted('ins')}")
@@ -198,6 +204,6 @@ def d06_delete(spark, sf):
     return words(spark, sf, "del").select("item_id", F.array_join(D.delete(F.col("t"), F.col("at")), " ").alias("text"))
 
 
-@query()
+@query(f"SELECT *, 'swap' AS strategy FROM ({ORACLES['d05_swap']}) UNION ALL SELECT *, 'delete' FROM ({ORACLES['d06_delete']})")
 def d08_strategies(spark, sf):
     return d05_swap(spark, sf).withColumn("strategy", F.lit("swap")).unionByName(d06_delete(spark, sf).withColumn("strategy", F.lit("delete")))

@@ -11,7 +11,9 @@ from ..registry import query, table
 from ..scratch import scratch
 from ..sources import readers, sinks
 from ..streaming import events as S
-from .selection import CALLS, LINES, calls, lines
+from ..functions.predicates import tokens
+from ..plans import language as L
+from .selection import CALLS, LINES, TOKENS, calls, lines
 
 TEXTS = "SELECT text FROM documents WHERE text IS NOT NULL"
 
@@ -240,11 +242,45 @@ def g04_compose(spark, sf):
     return d
 
 
-@query()
+_PAIRS = f"""p AS (SELECT unnest(list_prepend('', t)) AS prev, unnest(list_append(t, '')) AS next FROM (SELECT {TOKENS.format('text')} AS t FROM documents WHERE text IS NOT NULL)), n AS (SELECT prev, next, count(*) AS n FROM p GROUP BY ALL)"""
+
+
+def language(spark, sf):
+    return L.trained(table(spark, sf, "documents").where("text is not null"), tokens(F.col("text")))
+
+
+@query(f"""
+    WITH {_PAIRS}, t AS (SELECT prev, sum(n) AS total FROM n GROUP BY prev), v AS (SELECT count(DISTINCT next) AS v FROM n),
+    q AS (SELECT item_id, unnest(list_prepend('', t)) AS prev, unnest(list_append(t, '')) AS next FROM (SELECT item_id, {TOKENS.format('question')} AS t FROM eval_items WHERE question IS NOT NULL))
+    SELECT item_id, round(avg(ln((coalesce(n, 0) + 1) / (coalesce(total, 0) + v))), 9) AS score FROM q LEFT JOIN n USING (prev, next) LEFT JOIN t USING (prev), v GROUP BY item_id""")
 def g05_model_stage(spark, sf):
-    from ..plans.models import LengthModel, scored
+    q = table(spark, sf, "eval_items").where("question is not null")
+    return L.scores(q, "item_id", tokens(F.col("question")), language(spark, sf)).select("item_id", F.round("score", 9).alias("score"))
+
+
+def first_words(spark, sf):
+    return table(spark, sf, "eval_items").select("item_id", F.get(tokens(F.col("question")), F.lit(0)).alias("w")).where("w is not null")
 
-    return scored(table(spark, sf, "eval_items").select("item_id", "question"), "question", LengthModel())
+
+@query(f"""
+    WITH RECURSIVE {_PAIRS}, s AS (SELECT prev, next FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) AS k FROM n) WHERE k = 1),
+    f AS (SELECT item_id, {TOKENS.format('question')}[1] AS last, []::VARCHAR[] AS words, 0 AS i FROM eval_items WHERE len({TOKENS.format('question')}) > 0
+      UNION ALL SELECT item_id, next, CASE WHEN next = '' THEN words ELSE list_append(words, next) END, i + 1 FROM f JOIN s ON prev = last WHERE i < 6 AND (i = 0 OR last <> ''))
+    SELECT item_id, arg_max(words, i) AS words FROM f GROUP BY item_id""")
+def g06_greedy_decode(spark, sf):
+    return L.decoded(first_words(spark, sf), "item_id", "w", language(spark, sf), 6).select("item_id", "words")
+
+
+@query()
+def g06_beam_decode(spark, sf):
+    """Three best continuations of five words; tested against all continuations of a small model."""
+    return L.decoded(first_words(spark, sf), "item_id", "w", language(spark, sf), 5, beams=3).select("item_id", "beam", "words", F.round("score", 6).alias("score"))
+
+
+@query()
+def g06_sampled_decode(spark, sf):
+    """Drawn by the model's probabilities; tested by how often words are drawn."""
+    return L.decoded(first_words(spark, sf), "item_id", "w", language(spark, sf), 5, temperature=0.8).select("item_id", "words", F.round("score", 6).alias("score"))
 
 
 @query("SELECT a.vec_id, round(list_dot_product(a.e, b.e), 4)::DOUBLE AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id - 1 AS vec_id, embedding::DOUBLE[] AS e FROM embeddings) b USING (vec_id)")

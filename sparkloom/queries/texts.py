@@ -32,7 +32,13 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-texts("x01_collapse_runs", X.collapse_runs, None)
+@query(f"""
+    WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM {DOCS}), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM c), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, c, run) AS n, row_number() OVER (PARTITION BY doc_id, c, run ORDER BY i) AS k FROM r)
+    SELECT doc_id, coalesce((SELECT string_agg(c, '' ORDER BY i) FROM n WHERE n.doc_id = d.doc_id AND (n <= 100 OR k = 1 OR c = chr(10))), '') AS value FROM {DOCS} d""")
+def x01_collapse_runs(spark, sf):
+    return docs(spark, sf).select("doc_id", X.collapse_runs(F.col("text")).alias("value"))
+
+
 texts("x02_newline_sentences", lambda t: F.split(t, "\n"), "string_split(text, chr(10))")
 texts("x03_chinese_sentences", X.chinese_sentences, r"""string_split(rtrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([。！？?])([^”’])', '\1' || chr(10) || '\2', 'g'),
       '(\.{6})([^”’])', '\1' || chr(10) || '\2', 'g'), '(…{2})([^”’])', '\1' || chr(10) || '\2', 'g'), '([。！？?][”’])([^，。！？?])', '\1' || chr(10) || '\2', 'g'), ' '), chr(10))""")
@@ -48,8 +54,27 @@ def answer_sql(col: str) -> str:
 
 texts("x07_answer_form", X.answer_form, answer_sql("text"))
 texts("x08_char_form", X.char_form, r"translate(regexp_replace(text, '[ \t\n\r\f]+', '', 'g'), '，。！？：；（）', ',.!?:;()')")
-texts("x14_nfkc_forms", lambda t: F.translate(t, X.FULL + "①②③", X.HALF + "123"), f"translate(text, {quoted(X.FULL + '①②③')}, {quoted(X.HALF + '123')})")
-texts("x15_strip_accents", X.strip_accents, None)
+_FORMS = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in X.nfkc_forms().items())
+
+
+@query(f"""
+    WITH f(a, b) AS (VALUES {_FORMS}), c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM {DOCS}), n AS (SELECT doc_id, string_agg(coalesce(b, c), '' ORDER BY i) AS value FROM c LEFT JOIN f ON a = c GROUP BY doc_id)
+    SELECT doc_id, coalesce(value, '') AS value FROM {DOCS} LEFT JOIN n USING (doc_id)""")
+def x14_nfkc_forms(spark, sf):
+    return docs(spark, sf).select("doc_id", X.nfkc_selected(F.col("text")).alias("value"))
+
+
+_MARKS = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in X.unaccented().items())
+
+
+@query(f"""
+    WITH f(a, b) AS (VALUES {_MARKS}), c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM {DOCS}), u AS (SELECT *, unicode(c) - 44032 AS u FROM c),
+    j AS (SELECT doc_id, i, CASE WHEN u BETWEEN 0 AND 11171 THEN chr((4352 + u // 588)::INTEGER) || chr((4449 + u % 588 // 28)::INTEGER) || CASE WHEN u % 28 > 0 THEN chr((4519 + u % 28)::INTEGER) ELSE '' END ELSE c END AS c FROM u), n AS (SELECT doc_id, string_agg(coalesce(b, c), '' ORDER BY i) AS value FROM j LEFT JOIN f ON a = c GROUP BY doc_id)
+    SELECT doc_id, coalesce(value, '') AS value FROM {DOCS} LEFT JOIN n USING (doc_id)""")
+def x15_strip_accents(spark, sf):
+    return docs(spark, sf).select("doc_id", X.strip_accents(F.col("text")).alias("value"))
+
+
 texts("x16_clean", X.clean, r"regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]', '', 'g'), '[\t\n\r]', ' ', 'g')")
 texts("x17_split_punctuation", X.split_punctuation, r"regexp_extract_all(text, '[!-/:-@\[-`{-~]|[^!-/:-@\[-`{-~]+')")
 texts("x18_space_han", X.space_han, r"regexp_replace(text, '([一-鿿])', ' \1 ', 'g')")
@@ -65,14 +90,15 @@ texts("x48_hashes", lambda t: F.concat(F.sha1(t), F.md5(t)), "sha1(text) || md5(
 texts("x49_utf8_length", lambda t: F.octet_length(t).cast("bigint"), "strlen(text)")
 
 
-@query("SELECT c.item_id, levenshtein(regexp_replace(lower(c.question), '[^ -~]', '?', 'g'), regexp_replace(lower(d.question), '[^ -~]', '?', 'g'))::INTEGER AS distance, c.other FROM (SELECT item_id, question, item_id + 3 AS other FROM eval_items) c JOIN eval_items d ON d.item_id = c.other")
+@query()
 def x09_edit_distance(spark, sf):
+    """In characters of any script, which DuckDB counts in bytes; tested against the plain table of distances."""
     it = table(spark, sf, "eval_items").select("item_id", "question")
-    return it.withColumn("other", F.col("item_id") + 3).join(it.toDF("other", "q2"), "other").select("item_id", F.levenshtein(*(F.regexp_replace(F.lower(c), "[^ -~]", "?") for c in ("question", "q2"))).alias("distance"), "other")
+    return it.withColumn("other", F.col("item_id") + 3).join(it.toDF("other", "q2"), "other").select("item_id", F.levenshtein(F.lower("question"), F.lower("q2")).alias("distance"), "other")
 
 
 @query("""
-    SELECT c.item_id, (SELECT coalesce(max(i), 0) FROM range(1, 400) t(i) WHERE i <= least(length(c.question), length(d.question)) AND substr(c.question, 1, i) = substr(d.question, 1, i))::INTEGER AS n
+    SELECT c.item_id, (SELECT coalesce(max(i), 0) FROM unnest(range(1, least(length(c.question), length(d.question)) + 1)) t(i) WHERE substr(c.question, 1, i) = substr(d.question, 1, i))::INTEGER AS n
     FROM eval_items c JOIN eval_items d ON d.item_id = c.item_id + 3""")
 def x12_common_prefix(spark, sf):
     it = table(spark, sf, "eval_items").select("item_id", "question")
@@ -97,13 +123,22 @@ def x33_calculator(spark, sf):
     return rows.select("row_id", tools.calculator(F.col("text")).alias("answered"))
 
 
-@query("""
-    SELECT o_orderkey, '[ Calendar(' || strftime(o_orderdate, '%Y-%-m-%-d') || ',today) -> ' || dayname(o_orderdate) || ', ' || dayname(DATE '2024-06-01') || ', ' || abs(date_diff('day', o_orderdate::DATE, DATE '2024-06-01'))::VARCHAR || ' days ]' AS answered FROM orders""")
+_HOLIDAY = """CASE WHEN month(d) = 1 AND day(d) = 1 THEN 'New Year''s Day' WHEN month(d) = 1 AND isodow(d) = 1 AND day(d) BETWEEN 15 AND 21 THEN 'Martin Luther King Jr. Day' WHEN month(d) = 2 AND isodow(d) = 1 AND day(d) BETWEEN 15 AND 21 THEN 'Washington''s Birthday'
+      WHEN month(d) = 5 AND isodow(d) = 1 AND day(d) >= 25 THEN 'Memorial Day' WHEN month(d) = 6 AND day(d) = 19 THEN 'Juneteenth National Independence Day' WHEN month(d) = 7 AND day(d) = 4 THEN 'Independence Day' WHEN month(d) = 9 AND isodow(d) = 1 AND day(d) <= 7 THEN 'Labor Day'
+      WHEN month(d) = 10 AND isodow(d) = 1 AND day(d) BETWEEN 8 AND 14 THEN 'Columbus Day' WHEN month(d) = 11 AND day(d) = 11 THEN 'Veterans Day' WHEN month(d) = 11 AND isodow(d) = 4 AND day(d) BETWEEN 22 AND 28 THEN 'Thanksgiving' WHEN month(d) = 12 AND day(d) = 25 THEN 'Christmas Day' END"""
+
+
+@query(f"""
+    WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, strftime(o_orderdate, '%Y-%-m-%-d') AS s, o_orderkey % 3 AS k FROM orders), h AS (SELECT *, s || ' is ' || dayname(d) || coalesce(', ' || {_HOLIDAY} || ' of ' || year(d), '') AS one FROM o),
+    e AS (SELECT *, CASE WHEN k = 1 THEN DATE '2024-06-01' WHEN k = 2 THEN make_date(year(d), 12, 25) END AS e, CASE WHEN k = 1 THEN 'today' WHEN k = 2 THEN 'christmas' END AS t FROM h)
+    SELECT o_orderkey, '[ Calendar(' || s || coalesce(',' || t, '') || ') ' || '-> ' || one || CASE WHEN t IS NULL THEN ' ]' ELSE '. ' || t || ' is ' || strftime(e, '%Y-%m-%d') || ', ' || dayname(e) || '. ' ||
+      CASE WHEN e > d THEN 'The days from ' || s || ' until ' || t || ' is ' || date_diff('day', d, e) || ' days. ' WHEN e < d THEN 'The days from ' || t || ' until ' || s || ' is ' || date_diff('day', e, d) || ' days. ' ELSE s || ' is ' || t || '. ' END || ' ]' END AS answered FROM e""")
 def x34_calendar(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
-    call = F.concat(F.lit("[ Calendar("), F.date_format("d", "yyyy-M-d"), F.lit(",today) ]"))
-    answered = tools.calendar(call, F.to_date(F.lit("2024-06-01")))
-    return o.select("o_orderkey", F.regexp_replace(answered, r"\) +->", ") ->").alias("answered"))
+    """Calls of one date, of a date and today, of a date and a holiday of its year."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-M-d").alias("s"))
+    second = F.when(F.col("o_orderkey") % 3 == 1, ",today").when(F.col("o_orderkey") % 3 == 2, ",christmas").otherwise("")
+    call = F.concat(F.lit("[ Calendar("), "s", second, F.lit(") ]"))
+    return o.select("o_orderkey", tools.calendar(call, F.to_date(F.lit("2024-06-01"))).alias("answered"))
 
 
 @query(f"SELECT DISTINCT cand_id, '[ ' || string_split(call_text, ']')[1] || ']' AS call FROM {CALLS} WHERE call_text IS NOT NULL")

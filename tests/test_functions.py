@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays, folds, predicates, text, tools
 from sparkloom.operators import collate, joins, metrics, ordered, relational
-from sparkloom.plans import models, templates
+from sparkloom.plans import language, models, templates
 
 
 def one(spark, value, kind, f):
@@ -33,7 +33,17 @@ def test_collapse_runs(spark, t, want):
 
 
 def test_strip_accents(spark):
-    assert one(spark, "Éçà ñ Việt", "string", text.strip_accents) == "Eca n Viet"
+    import unicodedata
+
+    for t in ("Éçà ñ Việt", "हिन्दी में", "한국 ガ é é", "شُكْرًا Ё 𝅗𝅥", "", "plain\n"):
+        want = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        assert one(spark, t, "string", text.strip_accents) == want
+    assert one(spark, None, "string", text.strip_accents) is None
+
+
+def test_selected_forms(spark):
+    for t, want in (("ＡＢ１ ﾊﾟ", "AB1 ハ" + chr(0x309A)), ("⑩Ⅳ❷", " 10  4  2 "), ("㈱㍻㊙", "(株)平成秘"), (chr(0xF979) + "é½", "凉é½"), ("", "")):
+        assert one(spark, t, "string", text.nfkc_selected) == want
 
 
 @pytest.mark.parametrize("e, want", [("18 + 12 * 3", 54), ("7/2", 3.5), ("-(2)*3", -6), ("__import__('os')", None), ("2**9", None), ("1/0", None), ("(" * 500, None), ("", None), ("True", None)])
@@ -65,11 +75,25 @@ def test_other_script_letters(spark):
         assert one(spark, f"a{c}b", "string", predicates.other_script) is False, c
 
 
-def test_calendar(spark):
-    as_of = F.to_date(F.lit("2024-06-01"))
-    assert one(spark, "[ Calendar(1998-12-25) ]", "string", lambda c: tools.calendar(c, as_of)) == "[ Calendar(1998-12-25) -> Friday ]"
-    assert one(spark, "[ Calendar(2024-5-30,today) ]", "string", lambda c: tools.calendar(c, as_of)).endswith("Thursday, Saturday, 2 days ]")
-    assert one(spark, "[ Calendar(soon) ]", "string", lambda c: tools.calendar(c, as_of)) == "[ Calendar(soon) ]"
+@pytest.mark.parametrize(
+    "call, want",
+    [
+        ("[ Calendar(1998-12-25,Christmas) ]", "1998-12-25 is Friday, Christmas Day of 1998. Christmas is 1998-12-25, Friday. 1998-12-25 is Christmas.  ]"),
+        ("[ Calendar(2024-6-25) ]", "2024-6-25 is Tuesday ]"),
+        ("[ Calendar(Today) ]", "Today is 2024-06-01, Saturday ]"),
+        ("[ Calendar(labor day) ]", "labor day is 2024-09-02, Monday ]"),
+        ("[ Calendar(2024-5-30, today) ]", "2024-5-30 is Thursday. today is 2024-06-01, Saturday. The days from 2024-5-30 until today is 2 days.  ]"),
+        ("[ Calendar(memorial,2023-01-01) ]", "memorial is 2024-05-27, Monday. 2023-01-01 is Sunday, New Year's Day of 2023. The days from 2023-01-01 until memorial is 512 days.  ]"),
+        ("[ Calendar(2001-09-09,soon) ]", "2001-09-09 is Sunday.  ]"),
+        ("[ Calendar(soon) ]", None), ("[ Calendar(2024-13-41) ]", None), ("[ Calendar(a,b,c) ]", None), ("no call", None), ("", None),
+    ],
+)
+def test_calendar(spark, call, want):
+    got = one(spark, call, "string", lambda c: tools.calendar(c, F.to_date(F.lit("2024-06-01"))))
+    assert got == (call if want is None else call.split("]")[0] + "-> " + want)
+
+
+def test_holidays(spark):
     days = {r.name: str(r.day) for r in tools.holidays(spark, 2024, 2024).collect()}
     assert days["Thanksgiving"] == "2024-11-28" and days["Memorial Day"] == "2024-05-27" and len(days) == 11
 
@@ -155,8 +179,8 @@ def test_numbers_of_many_rows(spark, parts):
 
 def test_fuzzy_pairs_match_all_pairs(spark):
     rnd = random.Random(3)
-    a = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
-    b = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
+    a = sorted({"".join(rnd.choice("aéc中") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
+    b = sorted({"".join(rnd.choice("aéc中") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
 
     def edits(x, y):
         row = list(range(len(y) + 1))
@@ -172,6 +196,72 @@ def test_fuzzy_pairs_match_all_pairs(spark):
 
     got = {(r.x, r.y) for r in joins.fuzzy_pairs(spark.createDataFrame([(x,) for x in a], "x string"), spark.createDataFrame([(y,) for y in b], "y string"), "x", "y").collect()}
     assert got == {(x, y) for x in a for y in b if edits(x, y) <= 2}
+    both = spark.createDataFrame([(x, y) for x in a[:20] for y in b[:20]], "x string, y string").select("x", "y", F.levenshtein("x", "y").alias("n"))
+    assert all(r.n == edits(r.x, r.y) for r in both.collect())
+
+
+def test_segments():
+    cut = folds.segmenter({"中文", "中文字", "学校"})
+    assert cut("中文字学abc12、校 é学校") == ["中文字", "学", "abc12", "校", "学校"] and cut("") == []
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    texts = ["a b c", "a b d", "a b c", "b a", "c", "d a b c d", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    m = language.trained(df, predicates.tokens(F.col("t"))).cache()
+    after = {}
+    for r in m.collect():
+        after.setdefault(r.prev, {})[r.next] = r.logp
+    return m, after
+
+
+def test_beams_match_all_continuations(spark, model):
+    m, after = model
+
+    def all_of(last, steps):
+        if steps == 0:
+            return [((), 0.0, False)]
+        out = []
+        for w, p in after.get(last, {"": 0.0}).items():
+            out += [((), p, True)] if w == "" else [((w, *more), p + q, done) for more, q, done in all_of(w, steps - 1)]
+        return out
+
+    start = spark.createDataFrame([(i, w) for i, w in enumerate(("a", "b", "c", "none"))], "i int, w string")
+    got = {}
+    for r in language.decoded(start, "i", "w", m, 3, beams=50).collect():
+        got.setdefault(r.i, []).append((tuple(r.words), round(r.score, 6)))
+    for i, w in enumerate(("a", "b", "c", "none")):
+        want = sorted(((words, round(s, 6)) for words, s, _ in all_of(w, 3)), key=lambda x: (-x[1], x[0]))
+        assert sorted(got[i], key=lambda x: (-x[1], x[0])) == want
+    best = {r.i: r.words for r in language.decoded(start, "i", "w", m, 1).collect()}
+    for i, w in enumerate(("a", "b", "c")):
+        top = min(after[w].items(), key=lambda x: (-x[1], x[0]))[0]
+        assert best[i] == ([top] if top else [])
+    assert best[3] == []
+
+
+def test_draws_follow_the_probabilities(spark, model):
+    import math
+
+    m, after = model
+    start = spark.range(4000).select(F.col("id").alias("i"), F.lit("b").alias("w"))
+    got = [tuple(r.words) for r in language.decoded(start, "i", "w", m, 1, temperature=1.0).collect()]
+    assert len(got) == 4000
+    for w, p in after["b"].items():
+        assert abs(got.count((w,) if w else ()) / 4000 - math.exp(p)) < 0.03
+
+
+def test_scores_of_word_pairs(spark, model):
+    import math
+
+    m, after = model
+    q = spark.createDataFrame([(1, "a zz"), (2, "")], "i int, t string")
+    got = {r.i: r.score for r in language.scores(q, "i", predicates.tokens(F.col("t")), m).collect()}
+    v = len({w for by in after.values() for w in by})
+    n = {(r.prev, r.next): (r.n, r.total) for r in m.collect()}
+    chance = lambda a, b: math.log((n.get((a, b), (0, 0))[0] + 1) / (next((t for (x, _), (_, t) in n.items() if x == a), 0) + v))
+    assert abs(got[1] - sum(chance(a, b) for a, b in (("", "a"), ("a", "zz"), ("zz", ""))) / 3) < 1e-9 and abs(got[2] - chance("", "")) < 1e-9
 
 
 def test_folds():
@@ -181,10 +271,21 @@ def test_folds():
     assert folds.Phrases(["ab", "abc", "cd"]).find("abcd") == [(0, 2), (2, 3)]
     assert folds.tag_over(list("OOO"), [(1, 2)], "X") == ["O", "B-X", "I-X"]
     assert folds.whole_word_marks(list("学校很a"), {"学校"}) == ["学", "##校", "很", "a"]
-    assert folds.restored_delimiters(["a", "", "", "b", ""]) == ["a", " ", "b"]
     assert folds.whole_word_mask(["a", "##b", "c", "d", "e", "f"], [0, 1, 2], 0.2) == [False, False, True, False, False, False]
 
 
+@pytest.mark.parametrize("words, want", [(["a", "", "", "b", ""], ["a", " ", "b"]), (["", "", "", "", ""], [" ", " "]), (["a", "b"], ["a", "b"]), ([""], []), (["a\nb", "", "", "", "", "c\t"], ["a\nb", " ", " ", "c\t"]), (["", "a", "", "", ""], ["a", " "])])
+def test_restored_delimiters(spark, words, want):
+    assert one(spark, " ".join(words), "string", folds.restored_delimiters) == want
+
+
+def test_chunks(spark):
+    tags = ["B-A", "I-A", "I-B", "O", "I-A", "S-A", "I-A", "B-A", "E-A", "I-A"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(tags)] + [(2, 0, "O"), (3, 0, "I-A")], "k int, i int, t string")
+    got = sorted(map(tuple, metrics.chunks(df, ["k"], "i", "t").collect()))
+    assert got == [(1, "A", 0, 1), (1, "A", 4, 4), (1, "A", 5, 5), (1, "A", 6, 6), (1, "A", 7, 8), (1, "A", 9, 9), (1, "B", 2, 2), (3, "A", 0, 0)]
+
+
 def test_templates():
     assert templates.parse('a {"mask": true}b') == [{"hard": "a "}, {"mask": True}, {"hard": "b"}]
     with pytest.raises(ValueError):
