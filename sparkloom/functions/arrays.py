@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +24,13 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it uses more than once, made once a row: an array of one binds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def softmax(x: Column) -> Column:
-    shifted = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(shifted, lambda v: v / total(shifted))
+    return bound(F.array_max(x), lambda m: bound(F.transform(x, lambda v: F.exp(v - m)), lambda s: bound(total(s), lambda t: F.transform(s, lambda v: v / t))))
 
 
 def indices_over(x: Column, limit: Column) -> Column:

@@ -78,20 +78,16 @@ def nfkc_forms() -> dict[str, str]:
 
 
 def _mapped(text: Column, table: dict[str, str], syllables: bool = False) -> Column:
-    """Characters replaced by the table: single ones inside the JVM; only texts with one that becomes several leave it, and
-    with ``syllables`` those with Hangul syllables, which come apart."""
-    single = {a: b for a, b in table.items() if len(b) == 1 and ord(a) <= 0xFFFF and ord(b) <= 0xFFFF}
-    none = "".join(a for a, b in table.items() if not b and ord(a) <= 0xFFFF)
-    more = {a: b for a, b in table.items() if a not in single and (b or ord(a) > 0xFFFF)}
-    narrow = F.translate(text, "".join(single) + none, "".join(single.values()))
-    hangul = re.compile("[가-힣]")
-
-    def widened(t: str) -> str:
-        t = t.translate(str.maketrans(more))
+    """Characters replaced by the table, with ``syllables`` Hangul taken apart too. No ASCII character is in a table, so ASCII
+    texts stay inside the JVM."""
+    codes, hangul = str.maketrans(table), re.compile("[가-힣]")
+
+    def mapped(t: str) -> str:
+        t = t.translate(codes)
         return hangul.sub(lambda m: unicodedata.normalize("NFD", m[0]), t) if syllables else t
 
-    wide = F.pandas_udf(lambda s: s.map(widened, na_action="ignore"), "string")
-    return F.coalesce(wide(F.when(narrow.rlike("[" + "".join(more) + ("가-힣" if syllables else "") + "]"), narrow)), narrow)
+    wide = F.pandas_udf(lambda s: s.map(mapped, na_action="ignore"), "string")
+    return F.coalesce(wide(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def strip_accents(t: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import bound
+
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
@@ -72,6 +74,16 @@ def _holiday(rule: tuple, year: Column) -> Column:
     return F.date_add(start, F.pmod(F.lit(weekday) - F.weekday(start), F.lit(7)) + 7 * (which - 1))
 
 
+def _is_holiday(rule: tuple, day: Column) -> Column:
+    """Whether a day is the rule's, by its month, weekday and place in the month."""
+    _, month, on = rule
+    if isinstance(on, int):
+        return (F.month(day) == month) & (F.day(day) == on)
+    weekday, which = on
+    place = F.day(day) + 7 > F.day(F.last_day(day)) if which < 0 else F.ceil(F.day(day) / 7) == which
+    return (F.month(day) == month) & (F.weekday(day) == weekday) & place
+
+
 def holidays(spark: SparkSession, first: int, last: int) -> DataFrame:
     """``(name, day)`` of the years, by rule."""
     years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
@@ -87,7 +99,7 @@ def calendar(call: Column, as_of: Column) -> Column:
     nothing = F.struct(F.lit(None).cast("date").alias("day"), F.lit("").alias("text"))
 
     def named(day: Column) -> Column:
-        name = F.coalesce(*[F.when(_holiday(r, F.year(day)) == day, F.lit(r[0])) for r in HOLIDAYS])
+        name = F.coalesce(*[F.when(_is_holiday(r, day), F.lit(r[0])) for r in HOLIDAYS])
         return F.coalesce(F.concat(F.lit(", "), name, F.lit(" of "), F.year(day).cast("string")), F.lit(""))
 
     def dated(a: Column, year: Column) -> Column:
@@ -98,10 +110,6 @@ def calendar(call: Column, as_of: Column) -> Column:
         result = result.when(a.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"), F.struct(given.alias("day"), F.concat(weekday(given), named(given)).alias("text")))
         return F.coalesce(result.otherwise(F.struct(found.alias("day"), full(found).alias("text"))), nothing)
 
-    def bound(value: Column, f) -> Column:
-        # an array of one binds a value that is used more than once
-        return F.get(F.transform(F.array(value), f), F.lit(0))
-
     def one(a: Column) -> Column:
         return bound(dated(a, F.year(as_of)), lambda x: F.when(x["day"].isNotNull(), F.concat(a, F.lit(" is "), x["text"], F.lit(" ]"))))
 

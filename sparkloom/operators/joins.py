@@ -57,9 +57,15 @@ def nearest(points: DataFrame, key: str, vector: str, queries: Column, k: int, d
 
 
 def within_budget(df: DataFrame, key: str, order: Column, size: str, budget: int) -> DataFrame:
-    """Of each key the rows in that order while their sizes fit the budget, up to the first that doesn't."""
-    total = F.sum(size).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.withColumn("total", total).where(F.col("total") <= budget)
+    """Of each key the rows in that order while their sizes fit the budget, up to the first that doesn't. Sizes aren't
+    negative, so what doesn't fit within a hash part of the key's rows fits nowhere: hot keys are cut before their rows meet."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(32))
+
+    def fits(rows: DataFrame, *keys: str) -> DataFrame:
+        total = F.sum(size).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+        return rows.withColumn("total", total).where(F.col("total") <= budget)
+
+    return fits(fits(df.withColumn("_salt", salt), key, "_salt").drop("_salt", "total"), key)
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, rounds: int = 20) -> DataFrame:

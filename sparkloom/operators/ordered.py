@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.folds import per_row
-from .relational import numbered, running
+from .relational import numbered, numbered_within, running
 
 
 def fixed_samples(df: DataFrame, order: list[str], tokens: str, length: int) -> DataFrame:
@@ -45,8 +45,7 @@ def validated(df: DataFrame, asked: str, weight: str) -> DataFrame:
 
 def blend(df: DataFrame, source: str, order: list[str], weights: DataFrame) -> DataFrame:
     """Adds ``blend_order``: the k-th row of a source stands at (k + 0.5) / weight, so every prefix holds the sources by weight."""
-    k = F.row_number().over(W.partitionBy(source).orderBy(*order)) - 1
-    return df.withColumn("k", k).join(weights, source).withColumn("blend_order", (F.col("k") + 0.5) / F.col("weight"))
+    return numbered_within(df, source, order, "k").join(weights, source).withColumn("blend_order", (F.col("k") + 0.5) / F.col("weight"))
 
 
 def blocks(df: DataFrame, keys: list[str], order: str, starts: Column, out: str) -> DataFrame:

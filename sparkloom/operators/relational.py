@@ -59,6 +59,25 @@ def running(df: DataFrame, order: list, value: str, out: str, total: str | None
     return (got.withColumn(total, F.col("__total")) if total else got).drop("__id", "__part", "__own", "__before", "__total")
 
 
+def numbered_within(df: DataFrame, key: str, order: list, out: str) -> DataFrame:
+    """Rows of each key numbered from 0, in parallel within a key too: the rows of all keys are numbered in a row. There are
+    few keys; null is one."""
+    n = numbered(df, [key, *order], "__i")
+    first = n.groupBy(F.col(key).alias("__k")).agg(F.min("__i").alias("__first"))
+    return n.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("__k"))).withColumn(out, F.col("__i") - F.col("__first")).drop("__i", "__k", "__first")
+
+
+def ranked(df: DataFrame, key: str, value: str, out: str, down: bool = False) -> DataFrame:
+    """The rank of each row's value within its key, from 1, equal values alike with the first of their places. Values are
+    counted first, and the counts summed over ranges, so no key is one task's. There are few keys; null is one."""
+    n = df.groupBy(key, value).agg(F.count("*").alias("__n"))
+    run = running(n, [key, F.desc(value) if down else F.col(value)], "__n", "__b")
+    first = run.groupBy(F.col(key).alias("__k")).agg(F.min("__b").alias("__first"))
+    run = run.join(F.broadcast(first), F.col(key).eqNullSafe(F.col("__k")))
+    run = run.select(F.col(key).alias("__k"), F.col(value).alias("__v"), (F.col("__b") - F.col("__first") + 1).alias(out))
+    return df.join(run, F.col(key).eqNullSafe(F.col("__k")) & (F.col(value) == F.col("__v"))).drop("__k", "__v")
+
+
 def ordered_list(order: str, *cols: str) -> Column:
     """Structs of a group in the order of a column."""
     return F.array_sort(F.collect_list(F.struct(order, *cols)))

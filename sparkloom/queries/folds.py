@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +57,16 @@ def dictionary(spark, sf):
 
 @query(f"WITH {_PHRASES.format(id='doc_id', text='text', table='documents')} SELECT id AS doc_id, first, last FROM a")
 def x13_phrase_matches(spark, sf):
-    spans = X.found_spans(dictionary(spark, sf))
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(spans(F.col("text"))).alias("s")).select("doc_id", "s.first", "s.last")
+    trie = dictionary(spark, sf)
+
+    def run(batches):
+        for b in batches:
+            found = [trie.find(t) for t in b.column(1).to_pylist()]
+            ids = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
+            at = np.array([p for x in found for p in x], np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at[:, 0]), pa.array(at[:, 1])], names=["doc_id", "first", "last"])
+
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, first int, last int")
 
 
 @query(f"""

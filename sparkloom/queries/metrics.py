@@ -9,6 +9,7 @@ from ..functions.predicates import tokens
 from ..functions.text import answer_form
 from ..operators import metrics as M
 from ..operators.ordered import pointer_spans
+from ..operators.relational import numbered_within
 from ..registry import query, table
 from .selection import CALLS, TOKENS, calls
 from .texts import answer_sql
@@ -183,8 +184,8 @@ def a15_pearson(spark, sf):
     WITH r AS (SELECT tool, row_number() OVER (PARTITION BY tool ORDER BY x DESC, cand_id) - row_number() OVER (PARTITION BY tool ORDER BY y DESC, cand_id) AS d FROM {BINARY})
     SELECT tool, round(1 - 6 * sum(d::DOUBLE * d) / (count(*)::DOUBLE * (count(*)::DOUBLE * count(*) - 1)), 9) AS spearman FROM r GROUP BY tool""")
 def a16_spearman(spark, sf):
-    rank = lambda c: F.row_number().over(W.partitionBy("tool").orderBy(F.desc(c), "cand_id"))
-    r = binary(spark, sf).select("tool", (rank("x") - rank("y")).cast("double").alias("d"))
+    r = numbered_within(binary(spark, sf).select("tool", "x", "y", "cand_id"), "tool", [F.desc("x"), "cand_id"], "i")
+    r = numbered_within(r, "tool", [F.desc("y"), "cand_id"], "j").select("tool", (F.col("i") - F.col("j")).cast("double").alias("d"))
     n = F.count("*").cast("double")
     return r.groupBy("tool").agg(F.round(1 - 6 * F.sum(F.col("d") * F.col("d")) / (n * (n * n - 1)), 9).alias("spearman"))
 

@@ -87,7 +87,8 @@ def w11_ngrams(spark, sf):
 
 @query(f"SELECT cand_id, rank() OVER (PARTITION BY tool ORDER BY loss_result DESC) AS rank FROM {CALLS} WHERE loss_result::VARCHAR <> 'nan'")
 def w13_rank(spark, sf):
-    return calls(spark, sf).where("not isnan(loss_result)").select("cand_id", F.rank().over(W.partitionBy("tool").orderBy(F.desc("loss_result"))).cast("bigint").alias("rank"))
+    c = calls(spark, sf).where("not isnan(loss_result)").select("cand_id", "tool", "loss_result")
+    return R.ranked(c, "tool", "loss_result", "rank", down=True).select("cand_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL)"

@@ -177,6 +177,24 @@ def test_numbers_of_many_rows(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_ranks_and_budgets_of_skewed_keys(spark):
+    rnd = random.Random(7)
+    rows = [(i, "ab"[i % 9 == 0] if i % 13 else None, rnd.randrange(50), rnd.randrange(0, 9)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, k string, v int, n int")
+    got = {r.i: (r.up, r.down, r.at) for r in relational.numbered_within(relational.ranked(relational.ranked(df, "k", "v", "up"), "k", "v", "down", down=True), "k", ["i"], "at").collect()}
+    by = {}
+    for i, k, v, _ in rows:
+        by.setdefault(k, []).append((i, v))
+    want = {i: (1 + sum(x < v for _, x in r), 1 + sum(x > v for _, x in r), sum(j < i for j, _ in r)) for r in by.values() for i, v in r}
+    assert got == want
+    total, fits = {}, set()
+    for i, k, _, n in rows:
+        total[k] = total.get(k, 0) + n
+        if total[k] <= 300:
+            fits.add((i, total[k]))
+    assert {(r.i, r.total) for r in joins.within_budget(df, "k", F.col("i"), "n", 300).collect()} == fits
+
+
 def test_fuzzy_pairs_match_all_pairs(spark):
     rnd = random.Random(3)
     a = sorted({"".join(rnd.choice("aéc中") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
