@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .glyphs import transducer
+from .shared import checkpointed
 from .words import MIN_WORDS, words
 
 STATS = ("line_words", "word_length", "symbol_share", "digit_share", "upper_share", "common_share", "ends_in_punctuation")
@@ -357,7 +358,7 @@ def rated_sample(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     best = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select("doc_id", "text").where("text is not null")
     # no more than `sample` rows of two short values
-    rated = docs.join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"])
+    rated = checkpointed(docs.join(F.broadcast(best), "doc_id").dropDuplicates(["doc_id"]))
     # a window over the sample's sizes only, so over `sample` rows of two numbers
     sizes = rated.select("doc_id", F.octet_length("text").cast("bigint").alias("n"))
     kept = sizes.withColumn("sum", F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("sum") <= bytes_)
