@@ -44,6 +44,20 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, a: str, b: str, most: int = 2
     return both.withColumn("distance", F.levenshtein(a, b)).where(F.col("distance") <= most)
 
 
+def paired(left: DataFrame, right: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """``left`` joined with ``right`` on the key. The rows of a key with more than ``block`` on a side meet block by block, so
+    that no task has all its pairs; both sides may be hot."""
+    for n, df in (("l", left), ("r", right)):
+        many = df.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias(f"__{n}")).where(f"__{n} > 1")
+        left, right = (x.join(many, key, "left").withColumn(f"__{n}", F.coalesce(f"__{n}", F.lit(1))) for x in (left, right))
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*[c for c in df.columns if not c.startswith("__")]), F.col(f"__{own}")).cast("int")
+        return df.withColumn(f"__{own}b", at).withColumn(f"__{other}b", F.explode(F.sequence(F.lit(0), F.col(f"__{other}") - 1))).drop("__l", "__r")
+
+    return placed(left, "l", "r").join(placed(right, "r", "l"), [key, "__lb", "__rb"]).drop("__lb", "__rb")
+
+
 def nearest(points: DataFrame, key: str, vector: str, queries: Column, k: int, distance) -> DataFrame:
     """The ``k`` nearest other points of each query point, exactly: blocks of queries go against blocks of points, each pair
     of blocks keeps its own best ``k``, and only those meet. ``queries`` says which points ask; they are a stated set."""

@@ -77,7 +77,13 @@ def x55_tag_override(spark, sf):
     return q.select("item_id", X.overridden(F.col("n"), F.col("spans"), "TERM").alias("tags"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE v AS (SELECT list(DISTINCT p) AS vs FROM (SELECT word AS p FROM common_words UNION SELECT unnest(string_split(word, '')) FROM common_words UNION SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0123456789', '')))),
+    q AS (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) AS k FROM (SELECT item_id, {TOKENS.format('lower(question)')} AS t FROM eval_items)),
+    f AS (SELECT DISTINCT w, CASE WHEN length(w) > 100 THEN '' ELSE w END AS rest, CASE WHEN length(w) > 100 THEN ['[UNK]'] ELSE [] END::VARCHAR[] AS ps FROM q
+      UNION ALL SELECT w, CASE WHEN n IS NULL THEN '' ELSE substr(rest, n + 1) END, CASE WHEN n IS NULL THEN ['[UNK]'] ELSE list_append(ps, CASE WHEN len(ps) > 0 THEN '##' ELSE '' END || substr(rest, 1, n)) END
+        FROM (SELECT *, list_max([length(p) for p in vs if starts_with(rest, p)]) AS n FROM f, v WHERE rest <> ''))
+    SELECT item_id, flatten(list(ps ORDER BY k)) AS pieces FROM q JOIN f USING (w) WHERE rest = '' GROUP BY item_id""")
 def x21_word_pieces(spark, sf):
     # the vocabulary is a table of a fixed size, and the letters
     known = {r.word for r in table(spark, sf, "common_words").select("word").distinct().toLocalIterator()}
@@ -90,7 +96,12 @@ def x21_word_pieces(spark, sf):
     return questions(spark, sf).select("item_id", X.per_row(pieces, X.STRINGS)(tokens(F.lower("question"))).alias("pieces"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE v AS (SELECT list(DISTINCT word) AS vs FROM common_words WHERE lang = 'zh' AND length(word) BETWEEN 2 AND 6),
+    f AS (SELECT doc_id, text AS rest, []::VARCHAR[] AS marks FROM documents WHERE regexp_matches(text, '[一-鿿]')
+      UNION ALL SELECT doc_id, substr(rest, n + 1), list_concat(marks, [CASE WHEN i = 1 THEN '' ELSE '##' END || substr(rest, i, 1) for i in range(1, n + 1)])
+        FROM (SELECT *, coalesce(list_max([length(x) for x in vs if starts_with(rest, x)]), 1) AS n FROM f, v WHERE rest <> ''))
+    SELECT doc_id, marks FROM f WHERE rest = ''""")
 def x25_whole_word_marks(spark, sf):
     # the words of one language of a table of a fixed size
     words = {r.word for r in table(spark, sf, "common_words").where("lang = 'zh'").select("word").distinct().toLocalIterator()}

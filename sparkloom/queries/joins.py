@@ -154,7 +154,7 @@ def j14_history_budget(spark, sf):
     SELECT a.sample_id, a.cand_id AS subject, b.cand_id AS object, round(exp(-a.s) * exp(-b.s), 9) AS prob FROM e a JOIN e b ON a.sample_id = b.sample_id AND a.cand_id <> b.cand_id""")
 def j15_entity_pairs(spark, sf):
     e = calls(spark, sf).where("loss_call < 0.5 and not isnan(loss_call)").select("sample_id", "cand_id", F.col("loss_call").alias("s"))
-    both = e.toDF("sample_id", "subject", "a").join(e.toDF("sample_id", "object", "b"), "sample_id").where("subject <> object")
+    both = J.paired(e.toDF("sample_id", "subject", "a"), e.toDF("sample_id", "object", "b"), "sample_id").where("subject <> object")
     return both.select("sample_id", "subject", "object", F.round(F.exp(-F.col("a")) * F.exp(-F.col("b")), 9).alias("prob"))
 
 

@@ -301,7 +301,7 @@ def g09_dual_encoder(spark, sf):
 def g13_relation_rules(spark, sf):
     """Subject, predicate, object by a rule over types and places: two different calls, the second close behind."""
     c = calls(spark, sf).where("tool is not null and pos is not null").select("sample_id", "cand_id", "tool", "call_text", "pos")
-    both = c.toDF("sample_id", "subject", "ta", "ca", "pa").join(c.toDF("sample_id", "object", "tb", "cb", "pb"), "sample_id").where("pb > pa and pb - pa <= 40 and ca <> cb")
+    both = J.paired(c.toDF("sample_id", "subject", "ta", "ca", "pa"), c.toDF("sample_id", "object", "tb", "cb", "pb"), "sample_id").where("pb > pa and pb - pa <= 40 and ca <> cb")
     return both.select("sample_id", "subject", "object", F.concat("ta", F.lit("_then_"), "tb").alias("predicate"))
 
 

@@ -195,6 +195,15 @@ def test_ranks_and_budgets_of_skewed_keys(spark):
     assert {(r.i, r.total) for r in joins.within_budget(df, "k", F.col("i"), "n", 300).collect()} == fits
 
 
+def test_pairs_of_hot_keys_in_blocks(spark):
+    a = [(i % 7 if i % 3 else 0, i) for i in range(200)]
+    b = [(i % 5, -i) for i in range(90)] + [(None, 1)]
+    left, right = spark.createDataFrame(a, "k int, x int"), spark.createDataFrame(b, "k int, y int")
+    for block in (4, 1000):
+        got = sorted(map(tuple, joins.paired(left, right, "k", block).select("k", "x", "y").collect()))
+        assert got == sorted((k, x, y) for k, x in a for j, y in b if j == k)
+
+
 def test_fuzzy_pairs_match_all_pairs(spark):
     rnd = random.Random(3)
     a = sorted({"".join(rnd.choice("aéc中") for _ in range(rnd.randrange(0, 9))) for _ in range(60)})
