@@ -61,13 +61,15 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, id_col: str =
     goals = targets.select(source_key(F.col("source")).alias("source"), F.struct("weight", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("cap")).alias("g")).where("source is not null and weight > 0")
     goals = goals.groupBy("source").agg(F.min("g").alias("g")).select("source", "g.weight", "g.cap")
     whole = W.partitionBy()  # only over tables of one row a source of targets
-    goals = checkpointed(goals.withColumn("share", F.col("weight") / F.sum("weight").over(whole)))
+    goals = goals.withColumn("share", F.col("weight") / F.sum("weight").over(whole))
 
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), F.length(text_col).cast("bigint").alias("n_chars"), F.unhex(F.md5(text_col)).alias("digest"))
     docs = docs.where("n_chars > 0").join(goals, "source").groupBy("source", "weight", "cap", "doc_id").agg(F.min(F.struct("digest", "n_chars")).alias("d"))
     docs = checkpointed(docs.select("source", "weight", "cap", "doc_id", "d.digest", "d.n_chars"))
     stock = docs.groupBy("source").agg(F.sum("n_chars").alias("chars"))
-    stock = checkpointed(goals.join(stock, "source", "left").fillna(0, ["chars"]).withColumn("budget", F.sum("chars").over(whole)))
+    stock = goals.join(stock, "source", "left").fillna(0, ["chars"]).withColumn("budget", F.sum("chars").over(whole))
+    rows = stock.collect()  # a row a source of targets
+    stock = documents.sparkSession.createDataFrame(rows, stock.schema)
 
     # copies of a text take turns: the copy of rank j has the uses j, j + copies, ... below the cap; ranks beyond the cap have none
     several = docs.groupBy("source", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
@@ -83,19 +85,23 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, id_col: str =
 
     # a row a source and number of uses, so as many as sources and caps allow
     totals = queue.groupBy("source", "uses").agg(F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest")).collect()
-    facts = {r.source: r for r in stock.select("source", "weight", "budget").collect()}
+    facts = {r.source: r for r in rows}
     by = {s: [(r.uses, float(r.chars)) for r in totals if r.source == s] for s in facts}
     supply = {s: sum(k * n for k, n in by[s]) for s in facts}
     # what is cut at a use's end may lack a use of each source
     slack = sum(max((r.longest for r in totals if r.source == s), default=0) for s in facts)
     latest = last_finish([(facts[s].weight, supply[s]) for s in facts], max((r.budget for r in facts.values()), default=0) + slack)
-    limits = documents.sparkSession.createDataFrame([(s, _rounds(by[s], facts[s].weight * latest), int(supply[s])) for s in facts], "source string, rounds int, supply bigint")
+    limits, begin = [], 0
+    for s in sorted(facts, key=str.encode):
+        rounds = max(1, _rounds(by[s], facts[s].weight * latest))
+        limits.append((s, rounds, int(supply[s]), int(begin)))
+        begin += sum(min(k, rounds) * n for k, n in by[s])
+    limits = documents.sparkSession.createDataFrame(limits, "source string, rounds int, supply bigint, begin bigint")
 
     queue = queue.join(F.broadcast(limits), "source")  # a row a source of targets
-    queue = queue.select("source", "weight", "doc_id", "n_chars", F.explode(F.sequence(F.lit(1), F.least("uses", F.greatest("rounds", F.lit(1))))).alias("use_no"), F.xxhash64(F.lit(seed), "source", "doc_id").alias("mark"))
+    queue = queue.select("source", "weight", "doc_id", "n_chars", F.explode(F.sequence(F.lit(1), F.least("uses", "rounds"))).alias("use_no"), F.xxhash64(F.lit(seed), "source", "doc_id").alias("mark"), "begin")
     queue = running(queue, ["source", "use_no", "mark", "doc_id"], "n_chars", "before")
-    begins = queue.groupBy("source").agg(F.min("before").alias("begin"))
-    queue = queue.join(F.broadcast(begins), "source").withColumn("served", F.col("before") - F.col("begin") + F.col("n_chars"))
+    queue = queue.withColumn("served", F.col("before") - F.col("begin") + F.col("n_chars"))
     queue = queue.withColumn("finish", F.col("served") / F.col("weight")).where((F.col("served") - F.col("n_chars")) / F.col("weight") <= F.lit(latest))
     queue = running(queue.select("doc_id", "source", "use_no", "n_chars", "finish"), ["finish", "source", "doc_id", "use_no"], "n_chars", "start")
     budget = max((r.budget for r in facts.values()), default=0)
