@@ -159,10 +159,11 @@ def j15_entity_pairs(spark, sf):
 
 
 @query("""
-    SELECT tool || ' of ' || split_name AS prompt, list_sort(list(DISTINCT row_id)) AS examples FROM subset_rows WHERE text IS NOT NULL GROUP BY ALL""")
+    SELECT DISTINCT tool || ' of ' || split_name AS prompt, row_id AS example FROM subset_rows WHERE text IS NOT NULL""")
 def j16_prompt_examples(spark, sf):
+    """A row a prompt and example, as a prompt may have very many."""
     r = table(spark, sf, "subset_rows").where("text is not null")
-    return r.groupBy(F.concat("tool", F.lit(" of "), "split_name").alias("prompt")).agg(F.array_sort(F.collect_set("row_id")).alias("examples"))
+    return r.select(F.concat("tool", F.lit(" of "), "split_name").alias("prompt"), F.col("row_id").alias("example")).distinct()
 
 
 # --- set operations ---
