@@ -68,6 +68,15 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(F.aggregate(a, zeros, row)), F.lit(0))
 
 
+def rouge_n(df: DataFrame, candidate: str, reference: str, sizes: tuple[int, ...]) -> DataFrame:
+    """``n, rouge``: the different n-grams both sides have, over those of the references; null where those have none."""
+    def grams(column: str, n: int) -> Column:
+        return F.array_distinct(F.transform(ngrams(F.col(column), n), lambda g: F.array_join(g, " ")))
+
+    both = F.array(*[F.struct(F.lit(n).alias("n"), F.size(F.array_intersect(grams(candidate, n), grams(reference, n))).alias("hit"), F.size(grams(reference, n)).alias("all")) for n in sizes])
+    return df.select(F.explode(both).alias("g")).groupBy("g.n").agg(F.try_divide(F.sum("g.hit").cast("double"), F.sum("g.all").cast("double")).alias("rouge"))
+
+
 def rouge_l(precision: Column, recall: Column, gamma: float = 1.2) -> Column:
     """The F measure that weighs recall by gamma squared; 0 where both are."""
     return F.coalesce(F.try_divide((1 + gamma**2) * precision * recall, recall + gamma**2 * precision), F.lit(0.0))

@@ -102,12 +102,18 @@ def a06_bleu(spark, sf):
     return M.bleu(M.bleu_counts(_bleu(spark, sf), "cand", "refs", 4), 4).select(F.round("bleu", 9).alias("bleu"))
 
 
+def _grams(col: str, n: int) -> str:
+    return f"list_distinct([array_to_string({col}[i:i + {n - 1}], ' ') for i in range(1, len({col}) - {n} + 2)])"
+
+
 @query(f"""
-    WITH p AS (SELECT pred_id, list_distinct({TOKENS.format('prediction')}) AS c, list_distinct({TOKENS.format('answers[1]')}) AS r FROM {PREDICTIONS} JOIN (SELECT item_id, answers FROM eval_items WHERE len(answers) > 0) USING (item_id))
-    SELECT sum(len(list_intersect(c, r)))::DOUBLE / sum(len(r))::DOUBLE AS rouge_1 FROM p""")
+    WITH p AS (SELECT {TOKENS.format('prediction')} AS c, {TOKENS.format('answers[1]')} AS r FROM {PREDICTIONS} JOIN (SELECT item_id, answers FROM eval_items WHERE len(answers) > 0) USING (item_id)),
+    g AS (SELECT 1 AS n, {_grams('c', 1)} AS c, {_grams('r', 1)} AS r FROM p UNION ALL SELECT 2, {_grams('c', 2)}, {_grams('r', 2)} FROM p)
+    SELECT n, round(sum(len(list_intersect(c, r)))::DOUBLE / sum(len(r))::DOUBLE, 9) AS rouge FROM g GROUP BY n""")
 def a08_rouge_n(spark, sf):
-    p = _bleu(spark, sf).select(F.array_distinct("cand").alias("c"), F.array_distinct(F.get("refs", 0)).alias("r"))
-    return p.agg((F.sum(F.size(F.array_intersect("c", "r"))).cast("double") / F.sum(F.size("r")).cast("double")).alias("rouge_1"))
+    """Of each prediction's reference the share of its different n-grams that the prediction has, over all predictions."""
+    p = _bleu(spark, sf).withColumn("ref", F.coalesce(F.get("refs", F.lit(0)), F.array().cast("array<string>")))
+    return M.rouge_n(p, "cand", "ref", (1, 2)).select("n", F.round("rouge", 9).alias("rouge"))
 
 
 #: A row a prediction and reference k with the length n of their longest common subsequence, by rows of the table of lengths.

@@ -277,6 +277,12 @@ def g06_beam_decode(spark, sf):
     return L.decoded(first_words(spark, sf), "item_id", "w", language(spark, sf), 5, beams=3).select("item_id", "beam", "words", F.round("score", 6).alias("score"))
 
 
+@query()
+def g06_group_beam_decode(spark, sf):
+    """Two groups of two beams, three words, the second group kept from the first's words; tested against a plain search."""
+    return L.decoded_in_groups(first_words(spark, sf), "item_id", "w", language(spark, sf), 3, 2, 2, 1.5).select("item_id", "group", "beam", "words", F.round("score", 6).alias("score"))
+
+
 @query()
 def g06_sampled_decode(spark, sf):
     """Drawn by the model's probabilities; tested by how often words are drawn."""

@@ -268,6 +268,35 @@ def test_beams_match_all_continuations(spark, model):
     assert best[3] == []
 
 
+def test_groups_of_beams_match_a_plain_search(spark, model):
+    m, after = model
+    steps, beams, groups, diversity = 3, 2, 2, 0.7
+
+    def search(word):
+        lives = [[(0.0, (), word, False)] for _ in range(groups)]
+        for _ in range(steps):
+            taken = {}
+            for g in range(groups):
+                found = [(x, False) for x in lives[g] if x[3]]
+                for score, words, last, done in lives[g]:
+                    for w, p in ({} if done else after.get(last, {"": 0.0})).items():
+                        found.append(((score + p - diversity * taken.get(w, 0), words if w == "" else (*words, w), w, w == ""), True))
+                found.sort(key=lambda x: (-round(x[0][0], 9), x[0][1]))
+                lives[g] = [x for x, _ in found[:beams]]
+                for x, new in found[:beams]:
+                    if new:
+                        taken[x[2]] = taken.get(x[2], 0) + 1
+        return lives
+
+    start = spark.createDataFrame([(i, w) for i, w in enumerate("abcd")], "i int, w string")
+    got = {}
+    for r in language.decoded_in_groups(start, "i", "w", m, steps, beams, groups, diversity).orderBy("i", "group", "beam").collect():
+        got.setdefault((r.i, r.group), []).append((round(r.score, 6), tuple(r.words)))
+    for i, w in enumerate("abcd"):
+        for g, live in enumerate(search(w)):
+            assert got[i, g] == [(round(s, 6), words) for s, words, _, _ in live]
+
+
 def test_draws_follow_the_probabilities(spark, model):
     import math
 
