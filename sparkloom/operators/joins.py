@@ -58,11 +58,12 @@ def paired(left: DataFrame, right: DataFrame, key: str, block: int = 4096) -> Da
     return placed(left, "l", "r").join(placed(right, "r", "l"), [key, "__lb", "__rb"]).drop("__lb", "__rb")
 
 
-def nearest(points: DataFrame, key: str, vector: str, queries: Column, k: int, distance) -> DataFrame:
-    """The ``k`` nearest other points of each query point, exactly: blocks of queries go against blocks of points, each pair
-    of blocks keeps its own best ``k``, and only those meet. ``queries`` says which points ask; they are a stated set."""
+def nearest(points: DataFrame, key: str, vector: str, queries: Column, k: int, distance, block: int = 20_000) -> DataFrame:
+    """The ``k`` nearest other points of each query point, exactly: the queries go against blocks of points, each block keeps
+    its own best ``k``, and only those meet. ``queries`` says which points ask; they are a stated set. There are as many
+    blocks as the session has shuffle partitions, more where a block would have over ``block`` points."""
     asked = points.where(queries).select(F.col(key).alias("q"), F.col(vector).alias("_qv"))
-    blocks = 16
+    blocks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points.count() // block))
     asked = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     held = points.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
     pairs = asked.join(held, "_b").where(F.col("q") != F.col(key)).withColumn("distance", distance(F.col("_qv"), F.col(vector)))

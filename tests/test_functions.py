@@ -195,6 +195,36 @@ def test_ranks_and_budgets_of_skewed_keys(spark):
     assert {(r.i, r.total) for r in joins.within_budget(df, "k", F.col("i"), "n", 300).collect()} == fits
 
 
+def test_ranges_of_skewed_orders_are_even(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        # nearly all values lie in a thousandth of the range
+        df = spark.range(40_000, numPartitions=5).select("id", F.when(F.col("id") % 1000 == 0, F.col("id") * 1000.0).otherwise(F.col("id") / 40_000).alias("v"))
+        fixed, part, _ = relational._parts(df, ["v", "id"])
+        sizes = [r["count"] for r in fixed.groupBy(part.alias("p")).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * 40_000 / 8
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_nearest_points_match_all_distances(spark):
+    rnd = random.Random(12)
+    rows = [(i, [rnd.random() for _ in range(3)]) for i in range(120)] + [(500, [0.5, 0.5, 0.5]), (501, [0.5, 0.5, 0.5])]
+    points = spark.createDataFrame(rows, "i int, v array<double>")
+    for block in (7, 10_000):
+        got = {(r.q, r["rank"]): r.i for r in joins.nearest(points, "i", "v", F.col("i") % 20 == 0, 3, arrays.euclidean, block).collect()}
+        want = {}
+        for q, x in rows:
+            if q % 20 == 0:
+                near = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), i) for i, y in rows if i != q)
+                want |= {(q, n + 1): i for n, (_, i) in enumerate(near[:3])}
+        assert got == want
+
+
 def test_pairs_of_hot_keys_in_blocks(spark):
     a = [(i % 7 if i % 3 else 0, i) for i in range(200)]
     b = [(i % 5, -i) for i in range(90)] + [(None, 1)]
