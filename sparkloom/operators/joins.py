@@ -58,6 +58,19 @@ def paired(left: DataFrame, right: DataFrame, key: str, block: int = 4096) -> Da
     return placed(left, "l", "r").join(placed(right, "r", "l"), [key, "__lb", "__rb"]).drop("__lb", "__rb")
 
 
+def related(entities: DataFrame, rules: list[tuple[str, str, str, int]], group: str, name: str, kind: str, at: str, text: str) -> DataFrame:
+    """``(group, subject, object, predicate)``: two entities of a group that a rule joins. A rule is the kinds of subject and
+    object, the predicate, and how far the object may lie behind the subject (before it, for a negative distance); the two
+    differ in their text. Entities meet by group and kind, those of hot groups in blocks; rules are a short list."""
+    entities = entities.where(F.col(group).isNotNull() & F.col(kind).isNotNull())
+    table = F.broadcast(entities.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(rules)], "ka string, kb string, predicate string, most int, rule int"))
+    a = entities.select(group, F.col(name).alias("subject"), F.col(kind).alias("ka"), F.col(at).alias("pa"), F.col(text).alias("ta")).join(table, "ka").drop("ka")
+    b = entities.select(group, F.col(name).alias("object"), F.col(kind).alias("kb"), F.col(at).alias("pb"), F.col(text).alias("tb"))
+    both = paired(a.withColumn("k", F.struct(group, "kb")).drop("kb"), b.withColumn("k", F.struct(group, "kb")).drop(group, "kb"), "k")
+    far = (F.col("pb") - F.col("pa")) * F.signum(F.col("most")).cast("int")
+    return both.where((far > 0) & (far <= F.abs("most")) & (F.col("ta") != F.col("tb"))).select(group, "subject", "object", "predicate")
+
+
 def nearest(points: DataFrame, key: str, vector: str, queries: Column, k: int, distance, block: int = 20_000) -> DataFrame:
     """The ``k`` nearest other points of each query point, exactly: the queries go against blocks of points, each block keeps
     its own best ``k``, and only those meet. ``queries`` says which points ask; they are a stated set. There are as many

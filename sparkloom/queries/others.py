@@ -295,14 +295,21 @@ def g09_dual_encoder(spark, sf):
     return e.join(F.broadcast(means), F.lit(True)).select("vec_id", (-best["l"]).alias("label"))
 
 
+#: Kinds of subject and object, predicate, and how far the object may lie behind the subject, or before it.
+RULES = (
+    ("calculator", "calculator", "continues", 40), ("calculator", "calendar", "dates", 60), ("calendar", "calculator", "counts", -60), ("qa", "search", "looks_up", 80),
+    ("search", "qa", "answers", -80), ("translator", "translator", "repeats", 25), ("translator", "search", "looks_up", 30), ("qa", "qa", "follows", -40),
+)
+
+
 @query(f"""
-    WITH c AS (SELECT sample_id, cand_id, tool, call_text, pos FROM {CALLS} WHERE tool IS NOT NULL AND pos IS NOT NULL)
-    SELECT a.sample_id, a.cand_id AS subject, b.cand_id AS object, a.tool || '_then_' || b.tool AS predicate FROM c a JOIN c b ON a.sample_id = b.sample_id AND b.pos > a.pos AND b.pos - a.pos <= 40 WHERE a.call_text <> b.call_text""")
+    WITH c AS (SELECT sample_id, cand_id, tool, call_text, pos FROM {CALLS} WHERE tool IS NOT NULL AND pos IS NOT NULL), r(ka, kb, predicate, most) AS (VALUES {", ".join(map(str, RULES))})
+    SELECT a.sample_id, a.cand_id AS subject, b.cand_id AS object, predicate FROM c a JOIN r ON r.ka = a.tool JOIN c b ON a.sample_id = b.sample_id AND b.tool = r.kb
+    WHERE a.call_text <> b.call_text AND CASE WHEN most > 0 THEN b.pos > a.pos AND b.pos <= a.pos + most ELSE b.pos < a.pos AND b.pos >= a.pos + most END""")
 def g13_relation_rules(spark, sf):
-    """Subject, predicate, object by a rule over types and places: two different calls, the second close behind."""
-    c = calls(spark, sf).where("tool is not null and pos is not null").select("sample_id", "cand_id", "tool", "call_text", "pos")
-    both = J.paired(c.toDF("sample_id", "subject", "ta", "ca", "pa"), c.toDF("sample_id", "object", "tb", "cb", "pb"), "sample_id").where("pb > pa and pb - pa <= 40 and ca <> cb")
-    return both.select("sample_id", "subject", "object", F.concat("ta", F.lit("_then_"), "tb").alias("predicate"))
+    """Subject, predicate, object by rules over kinds and places of two different calls."""
+    c = calls(spark, sf).where("tool is not null and pos is not null")
+    return J.related(c, list(RULES), "sample_id", "cand_id", "tool", "pos", "call_text")
 
 
 @query(f"SELECT item_id, question, {_BY_WORD.format('output')} AS output FROM (SELECT item_id, question, {_BY_WORD.format('question')} AS output FROM eval_items, {_WORDS.format('en', 'de')}), {_WORDS.format('de', 'en')}")
