@@ -6,12 +6,13 @@ hold the points, a node by its largest count in each coordinate, so that the sam
 One R-tree over everything can't prune: points of unrelated long texts lie as close as those of related ones in
 nearly all coordinates (README has the figures). So the forest has one tree a cell, and a cell holds the documents with
 the same token in their prefixes: the tokens of a document in one order for all documents, as many as two sets at the
-threshold can't both lack. So every pair shares a cell. The order has tokens that are rare in a sample first, which keeps
-cells small. Cells of up to ``CELL`` documents are one leaf. Pairs that survive the bound are verified on their token sets.
+threshold can't both lack. So every pair shares a cell. The order has rare tokens first, as counted over all documents,
+which keeps cells small. Cells of up to ``CELL`` documents are one leaf. Pairs that survive the bound are verified on their token sets.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,23 +29,33 @@ LEAF, CELL, BLOCK = 64, 256, 2048
 DIMS, FULL = 128, 15
 #: Bytes of text whose postings make a bucket, about, so that a task's memory doesn't grow with the input.
 BUCKET_BYTES = 24 << 20
-#: Members from which a cell, as the sample tells, is split into blocks before any task gathers it.
+#: Members from which a cell, as the counts tell, is split into blocks before any task gathers it.
 HOT = 1 << 20
-#: Documents, about, whose tokens set the order, and the counters for them. They change the cells' sizes, never the result.
-SAMPLE, COUNTERS, COUNTERS_A_SLICE = 50_000, 1 << 21, 1 << 16
+#: Counters of tokens, as a power of two: one for so many bytes of text, within bounds, and those of a slice. A counter that
+#: several tokens share counts them all; that changes the cells' sizes, never the result.
+BYTES_A_COUNTER, FEWEST_BITS, MOST_BITS, COUNTERS_A_SLICE = 6, 16, 26, 1 << 16
 _U = np.uint64
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced_hits(slot: np.ndarray, slots: int) -> pa.RecordBatch:
+    """Slot numbers packed by slice, two bytes each."""
+    slot = np.sort(slot)
+    cuts = np.searchsorted(slot, np.arange(0, slots + 1, COUNTERS_A_SLICE))
+    used = np.flatnonzero(np.diff(cuts)).tolist()
+    hits = [(slot[cuts[i] : cuts[i + 1]] % COUNTERS_A_SLICE).astype(np.uint16).tobytes() for i in used]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(hits, pa.binary())], names=["part", "hits"])
+
+
+def _slots(bits: int):
     """Documents to the counters their tokens hit, packed by slice."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 8192):
-            ws = [w if len(w) >= MIN_WORDS else [] for w in map(words, batch.column("text").slice(at, 8192).to_pylist())]
-            slot = np.sort((mix(shingles(ws)[0]) >> _U(43)).astype(np.uint32))
-            cuts = np.searchsorted(slot, np.arange(0, COUNTERS + 1, COUNTERS_A_SLICE))
-            used = np.flatnonzero(np.diff(cuts)).tolist()
-            hits = [(slot[cuts[i] : cuts[i + 1]] % COUNTERS_A_SLICE).astype(np.uint16).tobytes() for i in used]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(hits, pa.binary())], names=["part", "hits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                ws = [w if len(w) >= MIN_WORDS else [] for w in map(words, batch.column("text").slice(at, 8192).to_pylist())]
+                yield _sliced_hits((mix(shingles(ws)[0]) >> _U(64 - bits)).astype(np.uint32), 1 << bits)
+
+    return run
 
 
 def _heat(table: pa.Table) -> pa.Table:
@@ -61,12 +72,11 @@ def _sliced(rows: DataFrame, to_slices, combine, kind: str) -> list[tuple[int, b
     return [(r[0], r[1]) for r in got]
 
 
-def token_heat(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """How common tokens are in a sample of the documents, a byte for each of the ``COUNTERS`` hashes of tokens."""
-    share = min(1.0, SAMPLE / max(n_docs, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("text")
-    heat = np.zeros(COUNTERS, np.uint8)
-    for part, counts in _sliced(some, _slots, _heat, "heat"):
+def token_heat(docs: DataFrame, text_bytes: int) -> np.ndarray:
+    """How many of all documents have a token, a byte for each of the counters its hash may hit."""
+    bits = min(max((text_bytes // BYTES_A_COUNTER).bit_length(), FEWEST_BITS), MOST_BITS)
+    heat = np.zeros(1 << bits, np.uint8)
+    for part, counts in _sliced(docs.select("text"), _slots(bits), _heat, "heat"):
         heat[part * COUNTERS_A_SLICE : (part + 1) * COUNTERS_A_SLICE] = np.frombuffer(counts, np.uint8)
     return heat
 
@@ -78,11 +88,7 @@ MARKS = 1 << 23
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slot numbers to slices."""
     for batch in batches:
-        slot = np.sort(batch.column(0).to_numpy())
-        cuts = np.searchsorted(slot, np.arange(0, MARKS + 1, COUNTERS_A_SLICE))
-        used = np.flatnonzero(np.diff(cuts)).tolist()
-        hits = [(slot[cuts[i] : cuts[i + 1]] % COUNTERS_A_SLICE).astype(np.uint16).tobytes() for i in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(hits, pa.binary())], names=["part", "hits"])
+        yield _sliced_hits(batch.column(0).to_numpy(), MARKS)
 
 
 def _marked(table: pa.Table) -> pa.Table:
@@ -116,7 +122,7 @@ def prefix_keys(tokens: np.ndarray, offsets: np.ndarray, heat: np.ndarray, thres
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
     h = mix(tokens) >> _U(21)
-    packed = doc.astype(np.uint64) << _U(51) | heat[h >> _U(22)].astype(np.uint64) << _U(43) | h
+    packed = doc.astype(np.uint64) << _U(51) | heat[h >> _U(44 - len(heat).bit_length())].astype(np.uint64) << _U(43) | h
     packed.sort()
     rank = np.arange(len(doc)) - np.repeat(offsets[:-1], n)
     on = rank < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]
@@ -199,8 +205,10 @@ def _scan(buckets: int, heat: np.ndarray, threshold: float, hot: int):
     """Documents to packed postings a bucket, and to their points. Postings of tokens of at least the heat ``hot`` aren't
     gathered by cell but spread over the buckets, with the whole key."""
 
+    packed_heat = zlib.compress(heat, 1)  # every executor gets a copy, on its disk too
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        heat, turn = np.frombuffer(zlib.decompress(packed_heat), np.uint8), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
@@ -374,10 +382,10 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.55, id_col: str =
     ``block`` and ``hot`` say which cells are a leaf, blocks and split early; they change the cost only.
     """
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes")).collect()[0]
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint")).alias("bytes")).collect()[0]
     buckets = max(partitions(documents.sparkSession), -(-(size.bytes or 0) // BUCKET_BYTES))
-    heat = token_heat(docs, size.n)
-    warmest = int(8 * np.log2(1 + hot * min(1.0, SAMPLE / max(size.n, 1))))
+    heat = token_heat(docs, size.bytes or 0)
+    warmest = int(8 * np.log2(1 + hot))
     packed = docs.mapInArrow(_scan(buckets, heat, threshold, warmest), "bucket int, sets binary, cells binary, at binary, ranks binary, docs binary, sizes binary, points binary")
     found = checkpointed(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_cells(threshold, cell), "kind string, a bigint, b bigint, n bigint, vec binary"))
 

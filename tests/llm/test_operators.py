@@ -129,6 +129,21 @@ def test_rtree_finds_what_the_bound_allows():
         assert set(np.flatnonzero(ok).tolist()) <= got
 
 
+def test_token_counts_take_every_document(spark):
+    """More documents than a sample would hold: one token in all of them, another in two, the rest in one."""
+    n = 60_000
+    mine = [F.concat(F.lit(f"w{i}x"), "id") for i in range(8)]
+    two = F.when(F.col("id") < 2, "in just two").otherwise("")
+    rows = spark.range(n).select(F.concat_ws(" ", F.lit("one for all"), *mine, two, F.lit("end")).alias("text"))
+    heat = neardup.token_heat(rows, 1 << 26)
+    bits = len(heat).bit_length() - 1
+    at = [int(neardup.mix(shingles([t.encode().split()])[0])[0]) >> (64 - bits) for t in ("one for all", "in just two")]
+    assert heat[at[0]] == int(8 * np.log2(1 + n)) and heat[at[1]] >= int(8 * np.log2(3))
+    counted = np.round(2 ** (heat / 8) - 1)
+    # each document has ten tokens or more of its own besides the common one
+    assert counted[counted < 50].sum() >= 0.9 * 9 * n
+
+
 def test_large_cells_are_set_aside():
     cell = np.array([7] * 5 + [9] * 2, np.uint32)
     a, b, c, m = neardup._leaf_pairs(cell, np.array([5, 1, 2, 3, 4, 8, 9], np.uint64), largest=3)
