@@ -34,6 +34,8 @@ HOT = 1 << 20
 #: Counters of tokens, as a power of two: one for so many bytes of text, within bounds, and those of a slice. A counter that
 #: several tokens share counts them all; that changes the cells' sizes, never the result.
 BYTES_A_COUNTER, FEWEST_BITS, MOST_BITS, COUNTERS_A_SLICE = 6, 16, 26, 1 << 16
+#: What ``_heat`` makes of a count of one: the token is in one document, as counters never count too little.
+ONCE = 8
 _U = np.uint64
 
 
@@ -118,14 +120,14 @@ def _where_marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def prefix_keys(tokens: np.ndarray, offsets: np.ndarray, heat: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the documents' prefixes: (64-bit key, document, rank in the order, heat), of at most 8,192 documents. Sets of sizes m and n at the
     threshold have threshold * max(m, n) tokens in common or more. The first of these in the order stands in both
-    prefixes, as in each set at least that many tokens follow or are it."""
+    prefixes, as in each set at least that many tokens follow or are it. Tokens that one document has are in no pair and left out."""
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
     h = mix(tokens) >> _U(21)
     packed = doc.astype(np.uint64) << _U(51) | heat[h >> _U(44 - len(heat).bit_length())].astype(np.uint64) << _U(43) | h
     packed.sort()
     rank = np.arange(len(doc)) - np.repeat(offsets[:-1], n)
-    on = rank < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]
+    on = (rank < (n - np.ceil(threshold * n - 1e-9) + 1)[doc]) & ((packed >> _U(43)).astype(np.uint8) != ONCE)
     return mix(packed[on] & _U((1 << 43) - 1)), doc[on], rank[on], (packed[on] >> _U(43)).astype(np.uint8)
 
 
@@ -221,7 +223,7 @@ def _scan(buckets: int, heat: np.ndarray, threshold: float, hot: int):
                     continue
                 sets = set_ids(tokens, offsets)
                 pts = points(tokens, offsets)
-                rows = {"bucket": [turn % buckets], "sets": [sets[own].tobytes()], "cells": [None], "at": [None], "ranks": [None], "docs": [ids[own].astype(np.int64).tobytes()], "sizes": [n[own].astype(np.int64).tobytes()], "points": [pts[own].tobytes()]}
+                rows = {"bucket": [turn % buckets], "sets": [sets[own].tobytes()], "cells": [None], "at": [None], "ranks": [None], "docs": [ids[own].astype(np.int64).tobytes()], "sizes": [n[own].astype(np.uint32).tobytes()], "points": [pts[own].tobytes()]}
                 turn += 1
                 key, doc, rank, warm = prefix_keys(tokens, offsets, heat, threshold)
                 if (warm >= hot).any():
@@ -237,7 +239,7 @@ def _scan(buckets: int, heat: np.ndarray, threshold: float, hot: int):
                     x, y = cuts[b], cuts[b + 1]
                     if x < y:
                         used, local = np.unique(doc[x:y], return_inverse=True)
-                        for name, value in (("bucket", b), ("sets", sets[used].tobytes()), ("cells", key[x:y].tobytes()), ("at", local.astype(np.uint16).tobytes()), ("ranks", rank[x:y].tobytes()), ("docs", None), ("sizes", n[used].astype(np.int64).tobytes()), ("points", None)):
+                        for name, value in (("bucket", b), ("sets", sets[used].tobytes()), ("cells", key[x:y].tobytes()), ("at", local.astype(np.uint16).tobytes()), ("ranks", rank[x:y].tobytes()), ("docs", None), ("sizes", n[used].astype(np.uint32).tobytes()), ("points", None)):
                             rows[name].append(value)
                 kinds = [pa.int32(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
@@ -280,41 +282,55 @@ def _leaf_pairs(cell: np.ndarray, sets: np.ndarray, n: np.ndarray | None = None,
 
 
 def _cells(threshold: float, largest: int):
-    """A bucket's postings to pairs (kind p) and members of large cells (c); the documents' points go through (m)."""
+    """A bucket's postings to pairs (kind p) and members of large cells (c); the documents' points go through (m). Many to
+    a row, as a row each takes several times the disk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, sets, sizes, ranks = [], [], [], []
 
-        def rows(kind: str, a, b, n=None, vec=None) -> pa.RecordBatch:
-            k = len(a)
-            cols = [pa.array([kind] * k, pa.string()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64()) if n is not None else pa.nulls(k, pa.int64()), pa.array(vec, pa.binary()) if vec is not None else pa.nulls(k, pa.binary())]
+        def row(kind: str, a: bytes, b: bytes, n: bytes | None = None, vec: bytes | None = None) -> pa.RecordBatch:
+            cols = [pa.array([kind], pa.string()), *(pa.array([x], pa.binary()) for x in (a, b, n, vec))]
             return pa.RecordBatch.from_arrays(cols, names=["kind", "a", "b", "n", "vec"])
 
         for batch in batches:
             for r in batch.to_pylist():
-                s = np.frombuffer(r["sets"], np.uint64)
                 if r["docs"] is not None:
-                    p = r["points"]
-                    yield rows("m", np.frombuffer(r["docs"], np.int64), s, np.frombuffer(r["sizes"], np.int64), [p[i : i + DIMS // 2] for i in range(0, len(p), DIMS // 2)])
+                    yield row("m", r["docs"], r["sets"], r["sizes"], r["points"])
                 elif r["ranks"] is None:
-                    yield rows("c", np.frombuffer(r["cells"], np.uint64), s)
+                    yield row("c", r["cells"], r["sets"])
                 else:
                     cells.append(np.frombuffer(r["cells"], np.uint32))
                     at = np.frombuffer(r["at"], np.uint16)
-                    sets.append(s[at])
-                    sizes.append(np.frombuffer(r["sizes"], np.int64)[at])
+                    sets.append(np.frombuffer(r["sets"], np.uint64)[at])
+                    sizes.append(np.frombuffer(r["sizes"], np.uint32)[at].astype(np.int64))
                     ranks.append(np.frombuffer(r["ranks"], np.uint16))
         if cells:
             # a bucket's rows may be of several buckets; the keys differ in their low bits, which only adds chance pairs
             a, b, c, m = _leaf_pairs(*map(np.concatenate, (cells, sets, sizes, ranks)), threshold, largest)
-            for at in range(0, len(a), 50_000):
-                yield rows("p", a[at : at + 50_000], b[at : at + 50_000])
-            for at in range(0, len(c), 50_000):
-                yield rows("c", c[at : at + 50_000].astype(np.uint64), m[at : at + 50_000])
+            for at in range(0, len(a), 8192):
+                yield row("p", a[at : at + 8192].tobytes(), b[at : at + 8192].tobytes())
+            for at in range(0, len(c), 8192):
+                yield row("c", c[at : at + 8192].astype(np.uint64).tobytes(), m[at : at + 8192].tobytes())
 
     return run
 
 
+def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many pairs, or of many members of large cells, to a row each."""
+    for batch in batches:
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many documents to a row each."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            p = r["vec"]
+            cols = [pa.array(np.frombuffer(r["a"], np.int64)), pa.array(np.frombuffer(r["b"], np.int64)), pa.array(np.frombuffer(r["n"], np.uint32).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([p[i : i + DIMS // 2] for i in range(0, len(p), DIMS // 2)], pa.binary())], names=["doc_id", "set_id", "n", "vec"])
+
+
 def _bounded(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -387,16 +403,17 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.55, id_col: str =
     heat = token_heat(docs, size.bytes or 0)
     warmest = int(8 * np.log2(1 + hot))
     packed = docs.mapInArrow(_scan(buckets, heat, threshold, warmest), "bucket int, sets binary, cells binary, at binary, ranks binary, docs binary, sizes binary, points binary")
-    found = checkpointed(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_cells(threshold, cell), "kind string, a bigint, b bigint, n bigint, vec binary"))
+    found = checkpointed(packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_cells(threshold, cell), "kind string, a binary, b binary, n binary, vec binary"))
 
-    members = found.where("kind = 'm'").select(F.col("a").alias("doc_id"), F.col("b").alias("set_id"))
-    nodes = found.where("kind = 'm'").groupBy(F.col("b").alias("set_id")).agg(F.min("a").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
-    pairs = found.where("kind = 'p'").select("a", "b").distinct()
+    points_of = found.where("kind = 'm'").mapInArrow(_members, "doc_id bigint, set_id bigint, n bigint, vec binary")
+    members = points_of.select("doc_id", "set_id")
+    nodes = points_of.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec"))
+    pairs = found.where("kind = 'p'").mapInArrow(_one_each, "a bigint, b bigint").distinct()
     va, vb = (nodes.select(F.col("set_id").alias(k), F.col("n").alias(f"n{k}"), F.col("vec").alias(f"v{k}")) for k in "ab")
     close = pairs.join(va, "a").join(vb, "b").where(F.col("na") >= threshold * F.col("nb")).where(F.col("nb") >= threshold * F.col("na")).mapInArrow(_bounded(threshold), "a bigint, b bigint")
 
     # a large cell's blocks hold sizes within a factor of the threshold, so that only a block's own and the next sizes meet it
-    large = found.where("kind = 'c'").select(F.col("a").alias("cell"), F.col("b").alias("a")).distinct().join(nodes.select(F.col("set_id").alias("a"), "n", "vec"), "a")
+    large = found.where("kind = 'c'").mapInArrow(_one_each, "a bigint, b bigint").select(F.col("a").alias("cell"), F.col("b").alias("a")).distinct().join(nodes.select(F.col("set_id").alias("a"), "n", "vec"), "a")
     large = large.withColumn("step", F.floor(F.ln("n") / F.lit(float(-np.log(threshold)))).cast("int"))
     blocks = large.groupBy("cell", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     near = blocks.select("cell", (F.col("step") - 1).alias("step"), F.col("blocks").alias("above")).join(blocks, ["cell", "step"], "right").withColumn("above", F.coalesce("above", F.lit(0)))
@@ -417,8 +434,9 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.55, id_col: str =
     both = close.unionByName(in_trees).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     both = checkpointed(both)
     wanted = checkpointed(both.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(nodes.select("set_id", "doc_id"), "set_id"))
-    texts = _where_marked(docs, wanted).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = checkpointed(texts.select("text").mapInArrow(_token_sets, "set_id bigint, tokens binary"))
+    # token sets are shuffled, not texts; those of other texts that come with an id wanted for one are left out
+    some = _where_marked(docs, wanted).select("text").mapInArrow(_token_sets, "set_id bigint, tokens binary")
+    sets = checkpointed(some.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]))
     ta, tb = (sets.select(F.col("set_id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     links = both.join(ta, "a").join(tb, "b").mapInArrow(_verified(threshold), "a bigint, b bigint, similarity double")
     return members, links.dropDuplicates(["a", "b"])
@@ -427,10 +445,19 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.55, id_col: str =
 def duplicate_pairs(documents: DataFrame, threshold: float = 0.55, **limits: int) -> DataFrame:
     """Every two documents at the threshold or over, equal token sets too: ``(doc_id_a, doc_id_b)``, the smaller id first, each once."""
     members, links = near_duplicates(documents, threshold, **limits)
-    members = checkpointed(members.distinct())
-    found = across(checkpointed(links.select("a", "b")), members, "set_id", "doc_id").unionByName(within(members, "set_id", "doc_id"))
+    members, links = checkpointed(members.distinct()), checkpointed(links.select("a", "b"))
+    several = checkpointed(members.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id"))
+
+    def met(nodes: DataFrame, member: str) -> DataFrame:
+        return across(links, nodes, "set_id", member).unionByName(within(nodes, "set_id", member))
+
+    # an id with one text meets another such id once, and many copies make many pairs, so these aren't shuffled again
+    if several.isEmpty():
+        return met(members, "doc_id").select(F.least("left", "right").alias("doc_id_a"), F.greatest("left", "right").alias("doc_id_b"))
     # an id that comes with several texts may meet another, or itself, more than once
-    return found.where("left <> right").select(F.least("left", "right").alias("doc_id_a"), F.greatest("left", "right").alias("doc_id_b")).distinct()
+    nodes = members.join(several.withColumn("texts", F.lit(True)), "doc_id", "left").select("set_id", F.struct("doc_id", F.coalesce("texts", F.lit(False)).alias("texts")).alias("member"))
+    found = met(checkpointed(nodes), "member").select(F.least("left.doc_id", "right.doc_id").alias("doc_id_a"), F.greatest("left.doc_id", "right.doc_id").alias("doc_id_b"), (F.col("left.texts") | F.col("right.texts")).alias("texts"))
+    return found.where("not texts").drop("texts").unionByName(found.where("texts and doc_id_a <> doc_id_b").drop("texts").distinct())
 
 
 def duplicate_groups(documents: DataFrame, threshold: float = 0.55) -> DataFrame:

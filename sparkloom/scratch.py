@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,8 +26,12 @@ def scratch(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut: lost executors cost nothing that is done."""
+    """``df`` written to the shared folder, its lineage cut: lost executors cost nothing that is done. Shuffles and tables
+    of earlier steps that nothing refers to any more leave the disk first, not when the driver happens to collect garbage."""
     spark = df.sparkSession
+    spark.sparkContext._jsc.emptyRDD().count()  # listeners hold the last query until they hear of another job
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(_base(spark))
     return df.checkpoint()

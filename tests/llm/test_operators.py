@@ -144,6 +144,19 @@ def test_token_counts_take_every_document(spark):
     assert counted[counted < 50].sum() >= 0.9 * 9 * n
 
 
+def test_tokens_of_one_document_make_no_postings():
+    tokens, offsets = shingles([[b"%d" % i for i in range(40)]])
+    for count, some in ((1, False), (2, True)):
+        heat = np.full(1 << 16, int(8 * np.log2(1 + count)), np.uint8)
+        assert bool(len(neardup.prefix_keys(tokens, offsets, heat, 0.55)[0])) == some
+
+
+def test_pairs_of_copies_are_not_shuffled_to_be_distinct(spark):
+    found = neardup.duplicate_pairs(docs(spark, [(i, PROSE, None) for i in range(6)]))
+    assert "Aggregate [doc_id_a" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs(found) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
+
+
 def test_large_cells_are_set_aside():
     cell = np.array([7] * 5 + [9] * 2, np.uint32)
     a, b, c, m = neardup._leaf_pairs(cell, np.array([5, 1, 2, 3, 4, 8, 9], np.uint64), largest=3)
